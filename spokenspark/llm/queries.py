@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import OP9_SQL, op9_decontamination
+from .language_id import op2_language_id
 from .packing import op10_best_fit_packing
+from .secrets import OP3_SQL, op3_secret_scan
 from .simhash import op8_simhash
+from .url_filters import OP1_SQL, op1_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
+    "op2_language_id": op2_language_id,
+    "op3_secret_scan": op3_secret_scan,
     "op8_simhash": op8_simhash,
+    "op9_decontamination": op9_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": OP1_SQL,
+    "op3_secret_scan": OP3_SQL,
+    "op9_decontamination": OP9_SQL,
+}
