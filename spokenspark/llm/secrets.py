@@ -139,7 +139,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [i for i, r in enumerate(RULES) if r.base]
     names = F.array(*[F.lit(r.kind) for r in RULES])
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = {f"n_{RULES[i].kind}": F.size(F.filter("found", lambda s, i=i: s["rank"] == i)).cast("long") for i in base}
+    of_rank = lambda i: F.size(F.filter("found", lambda s: s["rank"] == i)).cast("long")
+    counts = {f"n_{RULES[i].kind}": of_rank(i) for i in base}
     found = found.select("doc_id", "found").withColumns(counts)
     own = F.filter("found", lambda s: s["rank"].isin(base))
     return found.select("doc_id", *counts, F.sha2(said(own), 256).alias("base_sha256"), said(F.col("found")).alias("spans"))
