@@ -11,12 +11,14 @@ from .language_id import op2_language_id
 from .packing import op10_best_fit_packing
 from .secrets import OP3_SQL, op3_secret_scan
 from .simhash import op8_simhash
+from .syncmers import op4_fingerprints
 from .url_filters import OP1_SQL, op1_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op4_fingerprints": op4_fingerprints,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
