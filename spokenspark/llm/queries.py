@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP9_SQL, op9_decontamination
+from .html_text import op5_html_text
 from .language_id import op2_language_id
+from .lm_scoring import op7_lm_scoring
 from .packing import op10_best_fit_packing
 from .secrets import OP3_SQL, op3_secret_scan
 from .simhash import op8_simhash
+from .substring_dedup import op6_substring_dedup
 from .syncmers import op4_fingerprints
 from .url_filters import OP1_SQL, op1_url_filters
 
@@ -19,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_fingerprints": op4_fingerprints,
+    "op5_html_text": op5_html_text,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
