@@ -38,7 +38,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     urls = pages.select("page_id", F.col("url").cast("string").alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("n")).withColumns({"host": host, "path": path})
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.expr(f"filter(cast(split('{','.join(map(str, lengths))}', ',') AS array<int>), i -> i <= length(path))"), lambda i: F.expr("path").substr(F.lit(1), i))
+    prefixes = F.transform(F.expr(f"filter(cast(array({', '.join(map(str, lengths))}) AS array<int>), i -> i <= length(path))"), lambda i: F.expr("path").substr(F.lit(1), i))
     cross = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.sha2(F.concat_ws("\x00", h, p), 256))))
     asked = urls.select("page_id", "url", "n", "host", "path", F.explode_outer(cross).alias("asked")).withColumn("short", F.substring("asked", 1, SHORT))
     met = asked.join(own, "short", "left").withColumn("r", F.when(F.col("asked") == F.col("digest"), F.col("r")))
