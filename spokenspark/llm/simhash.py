@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, stored, table
 
+#: Sketches of a text and the shingles in each: with a similarity of 0.8 two texts share one of them in 99.98 of 100 cases.
+SKETCHES, IN_SKETCH = 16, 4
+_MIX = [int(x) | 1 for x in np.random.default_rng(64).integers(1 << 62, 1 << 63, SKETCHES)]
+
 #: Shingle hashes whose bits are counted in one go.
 BLOCK = 1 << 14
 
@@ -75,6 +79,83 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2) -> Dat
     return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")  # two plain scans: a hot fingerprint's side can be split
 
 
+def _bits(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is 1 if it is set in over half of them."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.uint32) > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def sketches(text: str | None, shingle: int) -> tuple[int, int, list[int], np.ndarray]:
+    """Of a text: a hash of its words, its fingerprint, fingerprints of small samples of its shingles, and its distinct shingles
+    by 32 bits. A sample has the shingles that come first in an order of its own, so that alike texts often have the same."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, 0, [], np.zeros(0, np.int32)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64))
+    own = []
+    for mix in _MIX:
+        order = h * np.uint64(mix)
+        order ^= order >> np.uint64(32)
+        k = min(IN_SKETCH, len(h))
+        own.append(_bits(np.sort(h[np.argpartition(order, k - 1)[:k]])))
+    return digest(b" ".join(words), 7) - (1 << 63), simhash(text, shingle), own, np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
+    """doc_id and component_id of every row: the smallest doc_id reachable over near copies.
+
+    Texts are linked if their fingerprints differ in at most `distance` bits, as in near_duplicates, or if their shingle sets
+    have a Jaccard index of at least `similarity`. A fingerprint of all shingles differs in some ten bits at 0.8, which no
+    ball of two bits reaches; so each text also has fingerprints of small samples of its shingles, and texts that share one
+    are compared. Equal word sequences are one text. A sample's texts are not paired with each other but with three of
+    them: the one that shares most samples with other texts (of a text and its copies that is the text itself) and those
+    with the least and the largest hash. All counts and choices are aggregates.
+
+    Null and empty texts are alike. Rows with a null doc_id keep it. Rows come out as often as they go in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                found = [sketches(t.as_py(), shingle) for t in batch.column(1)]
+                columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3] for f in found], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "node", "fp", "sketches", "shingles"])
+
+    marked = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node long, fp long, sketches array<long>, shingles array<int>"), "sketches")
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("sketches").alias("sketches")), "nodes")
+
+    # whole fingerprints: nodes of one fingerprint are tied to the least of them, and fingerprints by their balls
+    owner = stored(nodes.groupBy("fp").agg(F.min("node").alias("owner")), "owners")
+    ball = F.expr(f"cast(split('{','.join(map(str, masks(distance // 2)))}', ',') AS array<bigint>)")
+    met = owner.select("owner", "fp", F.explode(ball).alias("mask")).select("owner", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    met = met.groupBy("variant").agg(F.sort_array(F.collect_set(F.struct("fp", "owner"))).alias("all")).where(F.size("all") > 1)
+    links = met.select(F.col("all")[0]["owner"].alias("b"), F.explode(F.slice("all", 2, 1 << 20)).alias("x")).selectExpr("x.owner AS a", "b")
+    links = links.unionAll(nodes.join(owner, "fp").where("node <> owner").selectExpr("node AS a", "owner AS b"))
+
+    # samples: members of a group are compared with its centers
+    member = nodes.select("node", F.posexplode("sketches").alias("l", "sketch"))
+    sizes = stored(member.groupBy("l", "sketch").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = stored(member.join(sizes, ["l", "sketch"]), "shared")
+    rank = shared.groupBy("node").agg(F.sum("n").alias("rank"))
+    central = shared.join(rank, "node").groupBy("l", "sketch").agg(F.max(F.struct("rank", "node"))["node"].alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    central = stored(central.select("l", "sketch", F.array_distinct(F.array("c", "lo", "hi")).alias("centers")), "centers")
+    asked = stored(shared.join(central, ["l", "sketch"]).select("node", F.explode("centers").alias("center")).where("node <> center").selectExpr("least(node, center) AS a", "greatest(node, center) AS b").distinct(), "asked")
+    named = asked.selectExpr("explode(array(a, b)) AS node").distinct()
+    sets = stored(marked.join(named, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    both = asked.join(sets.selectExpr("node AS a", "shingles AS x"), "a").join(sets.selectExpr("node AS b", "shingles AS y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+    roots = connected_components(links.unionAll(alike))
+    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = stored(rooted.join(least, "root").select("node", "component_id"), "classes")
+    return marked.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "component_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -251,6 +251,26 @@ def test_simhash_links(spark):
     assert len(near) == 65 and all(any((a ^ m) in {b ^ k for k in near} for m in near) for a, b in links)
 
 
+def test_similar_documents(spark, docs):
+    """A text and its copies with one word in forty changed: the copies are alike only through the text."""
+    import random
+
+    rng, base = random.Random(3), [f"w{i * 7919 % 1009}" for i in range(240)]
+    texts = {1000: " ".join(base), 1001: " ".join(f"v{i * 31 % 509}" for i in range(240))}
+    for k in range(60):
+        w = list(base)
+        for i in rng.sample(range(6, 240, 6), 5):
+            w[i] = f"new{k}x{i}"
+        texts[1002 + k] = " ".join(w)
+    data = docs.select("doc_id", "text", "key").unionAll(spark.createDataFrame([(i, t, "k") for i, t in texts.items()], "doc_id long, text string, key string"))
+    got = [(r["doc_id"], r["component_id"]) for r in rows_of(simhash.similar_documents(data))]
+    assert len(got) == len(TEXTS) + 2 + len(texts)
+    root = dict(x for x in got if x[0] is not None)
+    assert all(root[i] == (1001 if i == 1001 else 1000) for i in texts)
+    assert root[1] == root[2] == root[0] == 0 and root[5] == root[4] == 4 and root[7] == root[6] == 6 and root[10] == 10
+    assert simhash.similar_documents(data.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (103, 101), (7, 7)] + [(200, 200 + i) for i in range(1, 40)]
     got = {r["node"]: r["root"] for r in rows_of(connected_components(spark.createDataFrame(edges, "a long, b long")))}

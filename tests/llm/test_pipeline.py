@@ -11,10 +11,13 @@ def test_pipeline_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     kept = [r for r in rows if r.text and any(c.isalpha() for c in r.text)]
     fp = {r.doc_id: simhash.simhash(r.text, 5) % (1 << 64) for r in kept}
+    shingles = {r.doc_id: {tuple(w[i : i + 5]) for w in [r.text.encode().lower().split()] for i in range(max(1, len(w) - 4))} for r in kept}
+    alike = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2 or len(x := shingles[a] & shingles[b]) and len(x) >= 0.8 * len(shingles[a] | shingles[b])
+    near = {a: [b for b in fp if alike(a, b)] for a in fp}
     least = {i: i for i in fp}
-    for _ in range(4):
+    for _ in range(8):
         for a in fp:
-            least[a] = min(least[b] for b in fp if (fp[a] ^ fp[b]).bit_count() <= 2)
+            least[a] = min(least[b] for b in near[a])
     kept = [r for r in kept if least[r.doc_id] == r.doc_id]
     wins = decontamination.windows([tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()], 10)
     sizes = {len(w) for w in wins}
