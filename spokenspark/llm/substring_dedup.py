@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
+#: Different parts of one anchor that one task compares; an anchor with more has its strings spread.
+CROWD = 2_000
 #: Bytes hashed in one go; blocks overlap, so a long text needs little memory.
 BLOCK = 1 << 20
 _PRIMES = (0x100000001B3, 0x9E3779B97F4A7C15 | 1)
@@ -96,9 +98,10 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     1. Each text gives its anchors; an anchor that occurs once in the corpus marks strings that do, and they are left.
     2. Equal texts go on as one text. Its other anchors' strings are cut out with what they span, and equal cuts go on as
        one cut: what occurs twice as a whole is repeated as a whole.
-    3. The strings inside the different cuts are counted by a 128-bit name, and names that count twice are joined back.
-    Every count is an aggregate with a sum on the way, and every join is of two stored tables, so a passage that a third of
-    the texts share is spread over the tasks.
+    3. The different cuts of an anchor meet in a task, which names each string inside by 128 bits and looks for equal names.
+    An anchor with more than CROWD different cuts has its strings counted by name over all tasks instead, and names that
+    count twice are joined back; so a passage that a third of the texts share is spread.
+    Every count is an aggregate with a sum on the way, and every join is of two stored tables.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("second"), "text")})
@@ -120,7 +123,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     marked = stored(docs.select("k1", "k2", "doc_id", "text").mapInArrow(mark, "k1 long, k2 long, doc_id long, n_bytes long, sha string, anchor array<long>, first array<long>, last array<long>"), "marked")
     often = stored(marked.select(F.explode("anchor").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor"), "often")
     each = marked.select("k1", "k2", F.explode(F.arrays_zip("anchor", "first", "last")).alias("a")).select("k1", "k2", "a.*").join(often, "anchor")
-    runs = stored(each.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs")), "runs")
+    runs = stored(each.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("first", "last", "anchor"))).alias("runs")), "runs")
     texts = stored(docs.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies")).join(runs, ["k1", "k2"]), "texts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,26 +133,81 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                 b = _bytes(text)
                 for r in runs.as_py():
                     part = b[r["first"] : r["last"] + length]
-                    rows.append((k1.as_py(), k2.as_py(), r["first"], r["last"], xxhash.xxh64_intdigest(part) - (1 << 63), xxhash.xxh64_intdigest(part, 1) - (1 << 63)))
-            yield _batch({c: pa.array(v, pa.int64()) for c, v in zip(("k1", "k2", "first", "last", "c1", "c2"), zip(*rows) if rows else [()] * 6)})
+                    rows.append((r["anchor"], k1.as_py(), k2.as_py(), r["first"], r["last"], xxhash.xxh64_intdigest(part) - (1 << 63), xxhash.xxh64_intdigest(part, 1) - (1 << 63)))
+            yield _batch({c: pa.array(v, pa.int64()) for c, v in zip(("anchor", "k1", "k2", "first", "last", "c1", "c2"), zip(*rows) if rows else [()] * 7)})
 
-    cuts = stored(texts.select("k1", "k2", "text", "runs").mapInArrow(cut, "k1 long, k2 long, first long, last long, c1 long, c2 long"), "cuts")
-    kinds = stored(cuts.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("own")), "kinds")
+    cuts = stored(texts.select("k1", "k2", "text", "runs").mapInArrow(cut, "anchor long, k1 long, k2 long, first long, last long, c1 long, c2 long"), "cuts")
+    kinds = stored(cuts.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("own")), "kinds")
+    crowded = stored(kinds.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor", F.lit(True).alias("crowded")), "crowded")
+    owned = kinds.join(crowded, "anchor", "left").groupBy(F.col("own.k1").alias("k1"), F.col("own.k2").alias("k2"))
+    owned = texts.select("k1", "k2", "text").join(owned.agg(F.collect_list(F.struct("own.first", "own.last", "anchor", "c1", "c2", "crowded")).alias("own")), ["k1", "k2"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, own in zip(batch.column(0), batch.column(1)):
+                b = _bytes(text)
+                rows += [(r["anchor"], r["c1"], r["c2"], bool(r["crowded"]), b[r["first"] : r["last"] + length]) for r in own.as_py()]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield _batch({c: pa.array(v, t) for c, v, t in zip(("anchor", "c1", "c2", "crowded", "part"), zip(*rows) if rows else [()] * 5, types)})
+
+    parts = stored(owned.select("text", "own").mapInArrow(part, "anchor long, c1 long, c2 long, crowded boolean, part binary"), "parts")
+
+    def names(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Of all strings of a batch's parts: the part's row, the place in it and the two names."""
+        sizes = np.array([len(x) for x in batch.column("part").to_pylist()], np.int64)
+        data = np.frombuffer(b"".join(batch.column("part").to_pylist()), np.uint8)
+        begins, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+        row = np.repeat(np.arange(len(sizes)), counts)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        h1, h2 = (string_hashes(data, length, w)[begins[row] + at] for w in (0, 1))
+        return row, at.astype(np.int32), h1, h2
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of the anchor; equal strings have equal anchors, so each run of anchors is judged by itself."""
+        held: list[pa.RecordBatch] = []
+
+        def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+            row, at, h1, h2 = names(batch)
+            order = np.lexsort((h2, h1))
+            a, b = h1[order], h2[order]
+            same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            again = np.zeros(len(row), bool)
+            again[order[1:][same]] = True
+            again[order[:-1][same]] = True
+            row, at = row[again], at[again]
+            rows, starts = np.unique(row, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(at))
+            return _batch({"c1": batch.column("c1").take(pa.array(rows)), "c2": batch.column("c2").take(pa.array(rows)), "ats": lists})
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(0)):
-                data = np.frombuffer(_bytes(text), np.uint8)
-                for r in batch.column(1)[i].as_py():
-                    part = data[r["first"] : r["last"] + length]
-                    h1, h2 = (string_hashes(part, length, w).view(np.int64) for w in (0, 1))
-                    n = len(h1)
-                    yield _batch({"c1": pa.array(np.full(n, r["c1"])), "c2": pa.array(np.full(n, r["c2"])), "at": pa.array(np.arange(n, dtype=np.int32)), "h1": pa.array(h1), "h2": pa.array(h2)})
-
-    ones = kinds.groupBy(F.col("own.k1").alias("k1"), F.col("own.k2").alias("k2")).agg(F.collect_list(F.struct("own.first", "own.last", "c1", "c2")).alias("own"))
-    strings = texts.select("k1", "k2", "text").join(ones, ["k1", "k2"]).select("text", "own").mapInArrow(name, "c1 long, c2 long, at int, h1 long, h2 long")
+            for k in range(0, batch.num_rows, 2048):
+                held.append(batch.slice(k, 2048))
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                anchor = whole.column("anchor").to_numpy()
+                upto = int(np.searchsorted(anchor, anchor[-1]))
+                if upto:
+                    yield judge(whole.slice(0, upto))
+                held = [whole.slice(upto)]
+        if held and held[0].num_rows:
+            yield judge(held[0])
+
+    # the usual case: the few parts of an anchor meet in one task
+    few = parts.where("NOT crowded").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(meet, "c1 long, c2 long, ats array<int>")
+
+    # an anchor that many different parts have: each string is spread by its own name
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2048):
+                batch = whole.slice(k, 2048)
+                row, at, h1, h2 = names(batch)
+                take = pa.array(row)
+                yield _batch({"c1": batch.column("c1").take(take), "c2": batch.column("c2").take(take), "at": pa.array(at), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64))})
+
+    strings = parts.where("crowded").select("c1", "c2", "part").mapInArrow(name, "c1 long, c2 long, at int, h1 long, h2 long")
     twice = stored(strings.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "twice")
-    hit = stored(strings.join(twice, ["h1", "h2"]).groupBy("c1", "c2").agg(F.sort_array(F.collect_set("at")).alias("ats")), "hit")
+    many = strings.join(twice, ["h1", "h2"]).groupBy("c1", "c2").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    hit = stored(few.unionByName(many), "hit")
     judged = stored(cuts.join(kinds.where("n > 1").select("c1", "c2", F.lit(True).alias("whole")), ["c1", "c2"], "left").join(hit, ["c1", "c2"], "left").where("whole OR ats IS NOT NULL").select("k1", "k2", "first", "last", "whole", "ats"), "judged")
     per_text = judged.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "whole", "ats")).alias("found"))
 
