@@ -217,6 +217,25 @@ def test_lm_base_scores(spark, docs, frequent):
     assert got == sorted(want)
 
 
+def test_lm_learns_from_whole_texts(spark, monkeypatch):
+    """Words behind the first 2,048 ids are learned, and windows come from all places and grow with the input."""
+    texts = {i: " the old fox" * 800 + " zebra runs" * 1500 for i in range(1, 7)} | {0: " zebra runs" * 60, 7: " quartz bowls" * 60, 8: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in rows_of(lm_scoring.score(docs, F.col("doc_id") % 7 == 0))}
+    assert got[0] > -60 and got[7] < -300 and len(got) == len(texts)
+    tokens = lm_scoring.tokenized(docs.selectExpr("doc_id AS key", "doc_id", "false AS held_out", "text"), packing.default_ranks()).persist()
+    bpe = packing.subwords(packing.default_ranks())
+    ids = [np.frombuffer(bpe.ids(t or ""), "<u4") for t in texts.values()]
+    want = np.bincount(np.concatenate([*ids, np.full(len(ids), lm_scoring.START)]), minlength=lm_scoring.VOCABULARY)
+    assert np.array_equal(lm_scoring.id_counts(tokens), want)
+    every = sum(len(lm_scoring.windows(x)[0]) for x in ids)
+    assert lm_scoring.drawn_windows(tokens, 1.0).count() == every and 0.15 * every < lm_scoring.drawn_windows(tokens, 0.2).count() < 0.25 * every
+    monkeypatch.setattr(lm_scoring, "TASK_WINDOWS", 400)  # several tasks, whose weights are averaged
+    got = {r["doc_id"]: r["score"] for r in rows_of(lm_scoring.score(docs, F.col("doc_id") % 7 == 0))}
+    assert got[0] > -80 and got[7] < -300
+    assert lm_scoring.score(docs.limit(0), F.lit(False)).count() == 0
+
+
 def test_simhash(spark, docs):
     def slow(text):
         w = (text or "").encode().lower().split()
