@@ -36,8 +36,14 @@ def anchors(data: str) -> Column:
       END""")
 
 
+def or_whole(hashes: Column, data: Column) -> Column:
+    """The hashes, or that of the whole if a text that isn't empty has no anchor: one is sure only from 2K - S - 1 bytes on."""
+    bound = F.transform(F.array(hashes), lambda h: F.when((F.size(h) > 0) | (F.octet_length(data) == 0), h).otherwise(F.array(F.hash(data))))
+    return F.get(bound, F.lit(0))  # the hashes are computed once
+
+
 def fingerprint(hashes: Column) -> Column:
-    """Hex digits of the distinct anchor hashes in order; equal texts have equal ones, an empty text has none."""
+    """Hex digits of the distinct anchor hashes in order; equal texts have equal ones, only an empty text has none."""
     return F.lower(F.array_join(F.transform(F.array_sort(hashes), lambda h: F.lpad(F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), ""))
 
 
@@ -76,7 +82,8 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document (doc_id, text).
 
-    The edited text's anchors are those of its two parts that lie wholly inside them and those across the seam. Null
+    The edited text's anchors are those of its two parts that lie wholly inside them and those across the seam. A text
+    without an anchor (of 2K - S - 2 bytes at most) is one anchor as a whole, so that different texts are not alike. Null
     texts count as empty; a single document is its own next one. Repeated rows are documents of their own.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -98,6 +105,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "others": F.array_distinct(hashes(F.col("next_anchors"))),
         "changed": F.array_distinct(F.concat(hashes(inside("anchors", "n_head")), hashes(inside("next_anchors", "n_tail")), across)),
     })
+    pairs = pairs.withColumns({c: or_whole(F.col(c), F.col(text).cast("binary")) for c, text in (("own", "text"), ("others", "next_text"), ("changed", "edited"))})
     return pairs.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness("own", "changed").alias("near_edited"), likeness("own", "others").alias("near_next"),

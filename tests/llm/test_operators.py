@@ -126,6 +126,23 @@ def test_fingerprints(spark, docs, monkeypatch):
     assert syncmers.fingerprints(docs).count() == len(TEXTS) + 2 and syncmers.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_of_short_texts(spark):
+    """Texts of 24 to 38 bytes often have no closed syncmer; different ones must still differ, equal ones be equal."""
+    data = hashlib.sha256(b"short").hexdigest() * 40
+    texts = [data[41 * i : 41 * i + 24 + i % 15] for i in range(45)] + ["", ""]
+    bare = [not closed_syncmers(t.encode()) for t in texts]
+    assert sum(bare) > 10
+    got = {r["doc_id"]: r for r in rows_of(syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert (got[i]["fingerprint"] == "") == (t == "") and (got[i]["edited_fingerprint"] == "") == (edited == "")
+        assert not (bare[i] and t) or len(got[i]["fingerprint"]) == 8
+        a, b, c = (closed_syncmers(x.encode()) or {x.encode()} for x in (t, edited, after))
+        assert got[i]["near_edited"] == pytest.approx(len(a & b) / len(a | b)) and got[i]["near_next"] == pytest.approx(len(a & c) / len(a | c))
+    assert len({got[i]["fingerprint"] for i, t in enumerate(texts) if bare[i]}) == len({t for i, t in enumerate(texts) if bare[i]})
+
+
 def test_html_blocks():
     page = '<html><body><nav>menu <a href="/x">link</a></nav><article><h1>Ti&amp;tle</h1><p>One <b>bo</b>ld<br>two<p>Three &lt; 4</p><script>var t="</p>";</script></article><div class="ad-box">Buy</div><footer>&copy; me'
     found = html_text.blocks(page)
