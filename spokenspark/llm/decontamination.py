@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-#: Benchmark characters that are looked up in one pass over the documents.
-BLOCK_CHARS = 8_000_000
+#: Different benchmark words that every task holds; a benchmark with more is looked up in several passes over the documents.
+BLOCK_TERMS = 1_000_000
 _WORD = bytes(c for c in range(256) if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or 0x41 <= c <= 0x5A)
 _FOLD = bytes((c + 32 if 0x41 <= c <= 0x5A else c) if c in _WORD else 0x20 for c in range(256))
 
@@ -23,18 +23,42 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def windows(items: list[tuple], size: int) -> dict[tuple[bytes, ...], set[str]]:
-    """Each run of `size` item words (the whole item if it is shorter), with the items that have it."""
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        w = words(text)
-        for i in range(max(1, len(w) - size + 1) if w else 0):
-            found.setdefault(tuple(w[i : i + size]), set()).add(str(item))
-    return found
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and two hashes that name a row: the same in every pass, whatever the order of rows. Repeated rows share them."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(F.xxhash64(doc, F.lit(1), text).alias("key"), F.xxhash64(text).alias("text_hash"), doc.alias("doc_id"), text.alias("text"))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def benchmark_words(items: DataFrame) -> DataFrame:
+    """(word) of all items (item_id, text), each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array({w for t in batch.column(0) for w in words(t.as_py())}, pa.binary())], ["word"])
+
+    return items.select("text").mapInArrow(run, "word binary").distinct()
+
+
+def windows(items: DataFrame, terms: dict[bytes, int], counts: np.ndarray, size: int) -> DataFrame:
+    """win (term numbers of each run of `size` item words, the whole item if it is shorter), items (those that have it), and the
+    places in it of its rarest and its second rarest different words (the same if it has one word only)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[tuple, None] = {}
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                w = [terms[x] for x in words(text.as_py())]
+                for i in range(max(1, len(w) - size + 1) if w else 0):
+                    win = tuple(w[i : i + size])
+                    order = sorted(range(len(win)), key=lambda i: (counts[win[i]], win[i], i))
+                    second = next((i for i in order if win[i] != win[order[0]]), order[0])
+                    rows[(item, win, order[0], second)] = None
+            columns = zip(*rows) if rows else [()] * 4
+            kinds = (pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["item_id", "win", "first", "second"])
+
+    made = items.mapInArrow(run, "item_id string, win array<int>, first int, second int")
+    return made.groupBy("win", "first", "second").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
 def term_counts(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
@@ -57,14 +81,15 @@ def term_counts(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
 def postings(docs: DataFrame, terms: dict[bytes, int], posted: set[bytes], reach: int) -> DataFrame:
     """The index: a row per occurrence of a posted term with the ids of the words within `reach` of it (-1: no benchmark word,
     -2: beyond the text); and one row per document, with term null and its number of words in pos."""
+    text_at, names = 3, ["key", "text_hash", "doc_id", "term", "pos", "near"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = np.zeros(len(terms) + 2, bool)
         rare[[terms[w] for w in posted]] = True
         span = np.arange(-reach, reach + 1)
         for batch in batches:
-            keys, ids, of, at, near, n_words = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], [], [], []
-            for i, text in enumerate(batch.column(2)):
+            of, at, near, n_words = [], [], [], []
+            for i, text in enumerate(batch.column(text_at)):
                 w = words(text.as_py())
                 n_words.append(len(w))
                 coded = np.full(len(w) + 2 * reach, -2, np.int32)
@@ -77,57 +102,51 @@ def postings(docs: DataFrame, terms: dict[bytes, int], posted: set[bytes], reach
             flat = np.concatenate(near) if near else np.zeros((0, 2 * reach + 1), np.int32)
             lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, 2 * reach + 1, dtype=np.int32), pa.array(flat.ravel()))
             pos = np.concatenate(at) - reach if at else np.zeros(0, np.int64)
-            names = ["key", "doc_id", "term", "pos", "near"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in of], pa.int64()), pa.array([ids[i] for i in of], pa.int64()), pa.array(flat[:, reach]), pa.array(pos, pa.int64()), lists], names
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(keys), pa.int32()), pa.array(n_words, pa.int64()), pa.nulls(len(keys), pa.list_(pa.int32()))], names
-            )
-
-    return _texts(docs).mapInArrow(run, "key long, doc_id long, term int, pos long, near array<int>")
-
-
-def _block(docs: DataFrame, items: list[tuple], size: int, near: int) -> tuple[DataFrame, DataFrame]:
-    """Documents (key, doc_id, n_words) and matches (key, start, length, item_id, exact) for a block of items."""
-    spark = docs.sparkSession
-    found = windows(items, size)
-    terms = {w: i for i, w in enumerate(sorted({w for win in found for w in win}))}
+            mine = [c.take(pa.array(of, pa.int64())) for c in batch.columns[:text_at]]
+            yield pa.RecordBatch.from_arrays([*mine, pa.array(flat[:, reach]), pa.array(pos, pa.int64()), lists], names)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], pa.nulls(n, pa.int32()), pa.array(n_words, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], names)
+
+    return _texts(docs).mapInArrow(run, "key long, text_hash long, doc_id long, term int, pos long, near array<int>")
+
+
+def _block(docs: DataFrame, items: DataFrame, size: int, near: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (key, text_hash, doc_id, n_words) and matches (key, text_hash, start, length, items, exact, alike) for a block of items."""
+    terms = {bytes(r["word"]): i for i, r in enumerate(benchmark_words(items).orderBy("word").toLocalIterator())}
     counts = term_counts(docs, terms) if terms else np.zeros(0, np.int64)
-    rows, posted = [], set()
-    for win, owners in found.items():
-        off = min(range(len(win)), key=lambda i: (counts[terms[win[i]]], win[i], i))
-        posted.add(win[off])
-        rows.append((terms[win[off]], off, [terms[w] for w in win], sorted(owners)))
-    index = stored(postings(docs, terms, posted, size - 1), "postings")
-    sought = spark.createDataFrame(rows, "term int, off int, win array<int>, items array<string>")
+    sought = stored(windows(items, terms, counts, size), "windows")
+    sought = sought.select("win", "items", F.explode(F.array_distinct(F.array("first", "second"))).alias("off"), F.col("first").alias("rarest"))
+    sought = sought.select(F.get("win", F.col("off")).alias("term"), "off", "win", "items", (F.col("off") == F.col("rarest")).alias("rarest"))
+    posted = {r["term"] for r in sought.select("term").distinct().toLocalIterator()}  # some of the terms of this block
+    named = list(terms)
+    index = stored(postings(docs, terms, {named[i] for i in posted}, size - 1), "postings")
     met = index.where("term IS NOT NULL").join(sought, "term").withColumn("length", F.size("win"))
-    exact = F.slice("near", F.lit(size) - F.col("off"), F.col("length")) == F.col("win")
+    exact = F.col("rarest") & (F.slice("near", F.lit(size) - F.col("off"), F.col("length")) == F.col("win"))
     alike = F.size(F.array_intersect("near", "win")) >= F.least(F.lit(near), F.size(F.array_distinct("win")))
-    met = met.select("key", (F.col("pos") - F.col("off")).alias("start"), "length", "items", exact.alias("exact"), alike.alias("alike"))
-    matches = met.where("exact OR alike").select("key", "start", "length", "exact", F.explode("items").alias("item_id"))
-    return index.where("term IS NULL").select("key", "doc_id", F.col("pos").alias("n_words")), matches
+    met = met.select("key", "text_hash", (F.col("pos") - F.col("off")).alias("start"), "length", "items", exact.alias("exact"), alike.alias("alike"))
+    matches = met.where("exact OR alike").select("key", "text_hash", "start", "length", "exact", F.explode("items").alias("item_id"))
+    return index.where("term IS NULL").select("key", "text_hash", "doc_id", F.col("pos").alias("n_words")), matches
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, near: int = 9) -> DataFrame:
     """For every document: n_words, n_hit (words inside any occurrence of an item's window), items (those with an exact
-    window), near_items (those of which `near` distinct window words or more stand within `size` - 1 words of its rarest one)
-    and contaminated.
+    window), near_items (those with a window of which `near` different words or more, or all if it has fewer, stand within
+    `size` - 1 words of an occurrence of its rarest or second rarest one), contaminated, and text_hash (xxhash64 of the text).
 
     docs: doc_id, text; benchmark: item_id, text. The corpus frequency of every benchmark word is counted over all
-    documents; each window is sought by its rarest word only, whose postings carry the words around them, so the other
-    words' lists are intersected at their offsets without another shuffle. Very long benchmarks are looked up in blocks of
-    BLOCK_CHARS characters. Null and empty texts have no words. Items with a null id or no word are left out; items with
-    equal ids are one. Repeated documents are each judged for themselves. No items: nothing is contaminated.
+    documents; each window is sought by its two rarest words only, whose postings carry the words around them, so the other
+    words' lists are intersected at their offsets without another shuffle. Windows are made, joined and grouped by Spark; a
+    task holds at most about BLOCK_TERMS words of the benchmark, and a larger one takes several passes over the documents.
+    Null and empty texts have no words. Items with a null id or no word are left out; items with equal ids are one. Repeated
+    documents are each judged for themselves. No items: nothing is contaminated.
     """
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    blocks = 1 + int(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS
-    mine = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    blocks = 1 + benchmark_words(items).count() // BLOCK_TERMS
     counted: DataFrame | None = None
     matches: DataFrame | None = None
     for b in range(blocks):
-        of, found = _block(docs, [tuple(r) for r in items.where(mine == b).collect()], size, near)
-        counted = of if counted is None else counted  # keys are the same in each pass over the same files
+        of, found = _block(docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), size, near)
+        counted = of if counted is None else counted
         matches = found if matches is None else matches.unionAll(found)
     spans = F.array_sort(F.collect_set(F.when(F.col("exact"), F.struct("start", (F.col("start") + F.col("length")).alias("end")))))
     covered = F.aggregate(
@@ -138,13 +157,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, near: i
         ),
         lambda acc: acc["n"],
     )
-    per_doc = matches.groupBy("key").agg(
+    per_doc = matches.groupBy("key", "text_hash").agg(
         spans.alias("spans"), F.collect_set(F.when(F.col("exact"), F.col("item_id"))).alias("items"), F.collect_set("item_id").alias("near_items")
     )
-    per_doc = per_doc.select("key", covered.alias("n_hit"), F.array_sort("items").alias("items"), F.array_sort("near_items").alias("near_items"))
+    per_doc = per_doc.select("key", "text_hash", covered.alias("n_hit"), F.array_sort("items").alias("items"), F.array_sort("near_items").alias("near_items"))
     none = F.array().cast("array<string>")
-    return counted.join(per_doc, "key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"),
+    return counted.join(per_doc, ["key", "text_hash"], "left").select(
+        "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"),
         F.coalesce("near_items", none).alias("near_items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: Labelled documents per language, expected, that a model is fitted on. Only the fit is bounded; every text is predicted whole.
 SAMPLE = 2_000
@@ -145,6 +145,24 @@ def identify(docs: DataFrame, model: Profiles) -> DataFrame:
     return out.mapInArrow(run, schema)
 
 
+def in_language(docs: DataFrame, model: Profiles, share: float = 0.4, at_least: int = 256) -> DataFrame:
+    """The rows of docs (doc_id, text, lang) that the model finds to be in one of its languages; columns stay.
+
+    A text that is `und` goes. For each language, `share` of the cosine that 99 of 100 texts labelled with it and of
+    `at_least` characters reach is the least one; a text of that length below its language's least goes. A shorter text
+    has too few 3-grams to tell noise from a language and stays. A language without a labelled text of that length
+    rejects nothing.
+    """
+    place = {c.lower(): "text" if c.lower() == "text" else f"_{i}" for i, c in enumerate(docs.columns)}
+    scored = stored(identify(docs.select(*[docs[c].alias(place[c.lower()]) for c in docs.columns]), model), "scored")
+    long_ = F.length("text") >= at_least
+    known = scored.where(long_ & F.col(place["lang"]).isNotNull()).groupBy(F.col(place["lang"]).cast("string").alias("lang")).agg(F.percentile_approx("score", 0.01, 10_000).alias("q"))
+    least = {r["lang"]: share * r["q"] for r in known.toLocalIterator() if r["lang"] in model.languages}
+    floor = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), F.col("lang_pred")), F.lit(0.0)) if least else F.lit(0.0)
+    kept = scored.where((F.col("lang_pred") != UNKNOWN) & (~long_ | (F.col("score") >= floor)))
+    return kept.select(*[F.col(place[c.lower()]).alias(c) for c in docs.columns])
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2

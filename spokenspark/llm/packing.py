@@ -19,13 +19,16 @@ from .common import stored, table
 GROUP = 50_000
 #: Chunks of text whose ids a worker remembers.
 REMEMBERED = 300_000
+#: The vocabulary's special token and its id.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50_256
 
 
 class Subwords(dict):
     """Text to ids of a byte-level BPE, by chunks that start at a space and are remembered.
 
     The vocabulary's pattern never joins a character with white space after it, so a text without white space before
-    a space can be cut before each space. Other texts are encoded in one go.
+    a space can be cut before each space. Other texts are encoded in one go. As in the tokenizer file, the special token's
+    string in a text is its id, and what stands before and after it is encoded apart.
     """
 
     def __init__(self, ranks_path: str):
@@ -45,6 +48,8 @@ class Subwords(dict):
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if SPECIAL in text:
+            return SPECIAL_ID.to_bytes(4, "little").join(self.ids(part) if part else b"" for part in text.split(SPECIAL))
         if self._run.search(text) or text[:1].isspace():
             return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
         first, *rest = text.split(" ")

@@ -8,14 +8,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored, table
+from .common import connected_components, dropped, stored, table
 
 #: Sketches of a text and the shingles in each: with a similarity of 0.8 two texts share one of them in 99.98 of 100 cases.
 SKETCHES, IN_SKETCH = 16, 4
 _MIX = [int(x) | 1 for x in np.random.default_rng(64).integers(1 << 62, 1 << 63, SKETCHES)]
+#: Bins of a signature: one byte of the least shingle hash in each, zero where there is none.
+BINS = 128
+#: Members of a group that are paired as it is; a larger one is split by further samples.
+SMALL = 64
 
 #: Shingle hashes whose bits are counted in one go.
 BLOCK = 1 << 14
@@ -53,6 +57,17 @@ def masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
+def ball_links(distinct: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links that join all of the distinct fingerprints (fp) of at most `distance` differing bits, one star a variant."""
+    if distance % 2:
+        raise ValueError("distance must be even: its half is the radius of the balls")
+    ball = F.expr(f"cast(split('{','.join(map(str, masks(distance // 2)))}', ',') AS array<bigint>)")
+    variants = distinct.select("fp", F.explode(ball).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    met = variants.groupBy("variant").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
+    links = met.select(F.col("fps")[0].alias("b"), F.explode(F.slice("fps", 2, 1 << 20)).alias("a"))
+    return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links of at most `distance` bits) of every row.
 
@@ -63,16 +78,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2) -> Dat
     are linked like any other. Rows with a null doc_id keep it and never name a component unless all its rows do.
     Repeated rows come out as often as they go in; an empty table gives no rows.
     """
-    if distance % 2:
-        raise ValueError("distance must be even: its half is the radius of the balls")
     marked = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    ball = F.expr(f"cast(split('{','.join(map(str, masks(distance // 2)))}', ',') AS array<bigint>)")
-    variants = distinct.select("fp", F.explode(ball).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    met = variants.groupBy("variant").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
-    links = met.select(F.col("fps")[0].alias("b"), F.explode(F.slice("fps", 2, 1 << 20)).alias("a"))
-    links = links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    roots = connected_components(links)
+    roots = connected_components(ball_links(distinct.select("fp"), distance))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stored(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "classes")
@@ -85,75 +93,186 @@ def _bits(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.uint32) > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def sketches(text: str | None, shingle: int) -> tuple[int, int, list[int], np.ndarray]:
-    """Of a text: a hash of its words, its fingerprint, fingerprints of small samples of its shingles, and its distinct shingles
-    by 32 bits. A sample has the shingles that come first in an order of its own, so that alike texts often have the same."""
+def shingle_hashes(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
+    """A hash of a text's words, and the hashes of its shingles in order, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, 0, [], np.zeros(0, np.int32)
+        return 0, np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64))
+    return digest(b" ".join(words), 7) - (1 << 63), np.fromiter((digest(g, 42) for g in grams), np.uint64)
+
+
+def _folded_bits(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def sketches(text: str | None, shingle: int) -> tuple[int, int, list[int], bytes]:
+    """Of a text: a hash of its words, its fingerprint, fingerprints of small samples of its shingles, and its signature.
+
+    A sample has the shingles that come first in an order of its own, so that alike texts often have the same. The
+    signature has a byte of the least hash in each of BINS ranges: the share of equal bytes estimates the similarity."""
+    node, all_ = shingle_hashes(text, shingle)
+    if not len(all_):
+        return node, 0, [], bytes(BINS)
+    h = np.unique(all_)
     own = []
-    for mix in _MIX:
+    for place, mix in enumerate(_MIX):
         order = h * np.uint64(mix)
         order ^= order >> np.uint64(32)
         k = min(IN_SKETCH, len(h))
-        own.append(_bits(np.sort(h[np.argpartition(order, k - 1)[:k]])))
-    return digest(b" ".join(words), 7) - (1 << 63), simhash(text, shingle), own, np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+        own.append((_bits(np.sort(h[np.argpartition(order, k - 1)[:k]])) ^ mix * (place + 1)) % (1 << 64))
+    at = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << np.uint64(57))
+    first = h[np.minimum(at, len(h) - 1)]
+    byte = np.where((first >> np.uint64(57)) == np.arange(BINS), (first >> np.uint64(20)) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
+    return node, _folded_bits(all_), [x - (1 << 64) if x >> 63 else x for x in own], byte.tobytes()
+
+
+def _text_hash() -> Column:
+    return F.xxhash64("text")
+
+
+def _alike(pairs: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose signatures don't speak against the similarity: four standard deviations below it at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+            used = ((x > 0) | (y > 0)).sum(axis=1)
+            least = similarity - 4 * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
+            yield batch.filter(pa.array(((x == y) & (x > 0)).sum(axis=1) >= least * used)).select([0, 1])
+
+    with_a = pairs.join(signatures.selectExpr("node AS a", "signature AS x").hint("merge"), "a")
+    both = with_a.join(signatures.selectExpr("node AS b", "signature AS y").hint("merge"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard index of at least `similarity`.
+
+    Only a text that stands in some pair is read again, one for each node: the one with the node's least doc_id."""
+    asked = pairs.selectExpr("explode(array(a, b)) AS node").distinct()
+    wanted = nodes.select("node", "least", "text_hash").hint("merge").join(asked, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                rows = whole.slice(k, 256)
+                found = [shingle_hashes(t.as_py(), shingle) for t in rows.column(1)]
+                sets = pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for _, h in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(0), sets], ["node", "shingles"])
+
+    here = wanted.withColumnRenamed("text_hash", "h")
+    read = texts.hint("merge").join(here, (texts.text_hash == here.h) & texts.doc_id.eqNullSafe(here.least)).select("node", "text")
+    sets = stored(read.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(z.as_py(), np.uint32) for z in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common > 0 and common >= similarity * (len(x) + len(y) - common))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    with_a = pairs.join(sets.selectExpr("node AS a", "shingles AS x").hint("merge"), "a")
+    both = with_a.join(sets.selectExpr("node AS b", "shingles AS y").hint("merge"), "b")
+    out = stored(both.select("a", "b", "x", "y").mapInArrow(same, "a long, b long"), "alike")
+    dropped(sets)
+    return out
+
+
+def _crossing(shared: DataFrame, roots: DataFrame) -> list[DataFrame]:
+    """Pairs (a, b) of different roots that share a group (node, bucket).
+
+    A group of up to SMALL members is paired as it is. The members of a larger one are dealt to groups that share another
+    sample as well: alike texts share several. What is still large when all samples have been used is joined with itself."""
+    joined = shared.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    now, found = stored(joined.select("node", "root", "bucket"), "members"), []
+    for level in range(4):
+        sizes = stored(now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket", "n"), "open")
+        open_ = now.join(sizes, "bucket")
+        groups = open_.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("all"))
+        pairs = groups.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: (y["node"] > F.col("x.node")) & (y["root"] != F.col("x.root")))).alias("y"))
+        found.append(pairs.selectExpr("x.node AS a", "y.node AS b"))
+        large = open_.where(F.col("n") > SMALL).select("node", "root", "bucket")
+        if large.isEmpty():
+            return found
+        if level == 3:
+            other = large.selectExpr("node AS b", "root AS root_b", "bucket")
+            return [*found, large.join(other, "bucket").where("b > node AND root <> root_b").selectExpr("node AS a", "b")]
+        again = large.join(shared.selectExpr("node", "bucket AS other").hint("merge"), "node").where("bucket <> other")
+        now = stored(again.select("node", "root", F.xxhash64("bucket", "other").alias("bucket")), "members")
+    return found
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
-    """doc_id and component_id of every row: the smallest doc_id reachable over near copies.
+    """doc_id, text_hash (xxhash64 of the text) and component_id of every row: the smallest doc_id reachable over near copies.
 
     Texts are linked if their fingerprints differ in at most `distance` bits, as in near_duplicates, or if their shingle sets
     have a Jaccard index of at least `similarity`. A fingerprint of all shingles differs in some ten bits at 0.8, which no
     ball of two bits reaches; so each text also has fingerprints of small samples of its shingles, and texts that share one
-    are compared. Equal word sequences are one text. A sample's texts are not paired with each other but with three of
-    them: the one that shares most samples with other texts (of a text and its copies that is the text itself) and those
-    with the least and the largest hash. All counts and choices are aggregates.
+    are candidates (at 0.8 two texts share none in 2 of 10,000 cases). Equal word sequences are one text.
+
+    First each group of candidates is compared with its center, the text that shares most samples with others (of a text
+    and its copies that is the text itself); then those members of a group that are not yet in one component are compared
+    with each other, in groups that further samples split until they are small. A pair is compared by signatures of BINS
+    bytes and, if these allow it, on all shingles of the whole texts. Joins are by sorted merges at every size.
 
     Null and empty texts are alike. Rows with a null doc_id keep it. Rows come out as often as they go in.
     """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", _text_hash())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 batch = whole.slice(k, 1024)
-                found = [sketches(t.as_py(), shingle) for t in batch.column(1)]
-                columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3] for f in found], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "node", "fp", "sketches", "shingles"])
+                found = list(zip(*(sketches(t.as_py(), shingle) for t in batch.column(2))))
+                columns = [pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "text_hash", "node", "fp", "sketches", "signature"])
 
-    marked = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node long, fp long, sketches array<long>, shingles array<int>"), "sketches")
-    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("sketches").alias("sketches")), "nodes")
+    made = texts.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, node long, fp long, sketches array<long>, signature binary")
+    marked = stored(made, "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    nodes = marked.groupBy("node").agg(first.alias("_f"), F.min("fp").alias("fp"), F.first("sketches").alias("sketches"), F.first("signature").alias("signature"))
+    nodes = stored(nodes.select("node", "_f.doc_id", "_f.text_hash", "fp", "sketches", "signature").withColumnRenamed("doc_id", "least"), "nodes")
 
     # whole fingerprints: nodes of one fingerprint are tied to the least of them, and fingerprints by their balls
     owner = stored(nodes.groupBy("fp").agg(F.min("node").alias("owner")), "owners")
-    ball = F.expr(f"cast(split('{','.join(map(str, masks(distance // 2)))}', ',') AS array<bigint>)")
-    met = owner.select("owner", "fp", F.explode(ball).alias("mask")).select("owner", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    met = met.groupBy("variant").agg(F.sort_array(F.collect_set(F.struct("fp", "owner"))).alias("all")).where(F.size("all") > 1)
-    links = met.select(F.col("all")[0]["owner"].alias("b"), F.explode(F.slice("all", 2, 1 << 20)).alias("x")).selectExpr("x.owner AS a", "b")
+    near = stored(ball_links(owner.select("fp"), distance), "balls")
+    links = near.join(owner.selectExpr("fp AS a", "owner AS x"), "a").join(owner.selectExpr("fp AS b", "owner AS y"), "b").selectExpr("x AS a", "y AS b")
     links = links.unionAll(nodes.join(owner, "fp").where("node <> owner").selectExpr("node AS a", "owner AS b"))
 
-    # samples: members of a group are compared with its centers
-    member = nodes.select("node", F.posexplode("sketches").alias("l", "sketch"))
-    sizes = stored(member.groupBy("l", "sketch").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = stored(member.join(sizes, ["l", "sketch"]), "shared")
+    # samples: members of a group are compared with its center
+    member = nodes.select("node", F.explode("sketches").alias("bucket"))
+    sizes = stored(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = stored(member.hint("merge").join(sizes, "bucket"), "shared")
     rank = shared.groupBy("node").agg(F.sum("n").alias("rank"))
-    central = shared.join(rank, "node").groupBy("l", "sketch").agg(F.max(F.struct("rank", "node"))["node"].alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    central = stored(central.select("l", "sketch", F.array_distinct(F.array("c", "lo", "hi")).alias("centers")), "centers")
-    asked = stored(shared.join(central, ["l", "sketch"]).select("node", F.explode("centers").alias("center")).where("node <> center").selectExpr("least(node, center) AS a", "greatest(node, center) AS b").distinct(), "asked")
-    named = asked.selectExpr("explode(array(a, b)) AS node").distinct()
-    sets = stored(marked.join(named, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    both = asked.join(sets.selectExpr("node AS a", "shingles AS x"), "a").join(sets.selectExpr("node AS b", "shingles AS y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-    roots = connected_components(links.unionAll(alike))
-    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    central = stored(shared.hint("merge").join(rank, "node").groupBy("bucket").agg(F.max(F.struct("rank", "node"))["node"].alias("center")), "centers")
+    asked = shared.select("node", "bucket").hint("merge").join(central, "bucket").where("node <> center").selectExpr("node AS a", "center AS b").distinct()
+    allowed = stored(_alike(stored(asked, "asked"), nodes.select("node", "signature"), similarity), "allowed")
+    alike = _verified(allowed, texts, nodes, shingle, similarity)
+    known = stored(links.unionAll(alike), "links")
+    roots = stored(connected_components(known), "roots")
+
+    # members of a group that the center has not tied
+    pairs = [p for p in _crossing(shared.select("node", "bucket"), roots)]
+    crossing = pairs[0]
+    for p in pairs[1:]:
+        crossing = crossing.unionAll(p)
+    allowed = stored(_alike(stored(crossing.distinct(), "crossing"), nodes.select("node", "signature"), similarity), "allowed")
+    if not allowed.isEmpty():
+        more = _verified(allowed, texts, nodes, shingle, similarity)
+        if not more.isEmpty():
+            roots = stored(connected_components(roots.selectExpr("node AS a", "root AS b").unionAll(more)), "roots")
+
+    rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stored(rooted.join(least, "root").select("node", "component_id"), "classes")
-    return marked.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "component_id")
+    return marked.select("doc_id", "text_hash", "node").join(classes, "node", "left").select("doc_id", "text_hash", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

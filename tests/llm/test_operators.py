@@ -307,16 +307,76 @@ def test_similar_documents(spark, docs):
     assert simhash.similar_documents(data.limit(0)).count() == 0
 
 
+def test_similar_documents_without_a_hub(spark, monkeypatch):
+    """Separately edited copies of an absent text, some alike and some not, in groups that must be split: against all pairs."""
+    import random
+
+    monkeypatch.setattr(simhash, "SMALL", 3)
+    rng, base = random.Random(5), [f"w{i * 7919 % 1009}" for i in range(200)]
+    texts = {}
+    for k in range(90):
+        w, cut = list(base), rng.randrange(0, 110)
+        for i in range(cut, cut + 8 + k % 20):
+            w[i] = f"n{k}x{i}"
+        texts[k] = " ".join(w)
+    sets = {k: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for k, t in texts.items()}
+    alike = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    least = {k: k for k in texts}
+    for _ in texts:
+        for a, b in alike:
+            least[a] = least[b] = min(least[a], least[b])
+    assert 5 < len(set(least.values())) and len(alike) > 50
+    data = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in rows_of(simhash.similar_documents(data))} == least
+    nodes = data.selectExpr("doc_id AS node", "0L AS bucket")  # no sample is shared: the group is joined with itself
+    roots = data.selectExpr("doc_id AS node", "doc_id AS root")
+    found = [tuple(r) for p in simhash._crossing(nodes.unionAll(nodes.selectExpr("node", "1L")), roots) for r in p.collect()]
+    assert set(found) == set(combinations(range(90), 2))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (103, 101), (7, 7)] + [(200, 200 + i) for i in range(1, 40)]
     got = {r["node"]: r["root"] for r in rows_of(connected_components(spark.createDataFrame(edges, "a long, b long")))}
     assert all(got[i] == 1 for i in range(2, 61)) and got[103] == got[101] == 100 and all(got[200 + i] == 200 for i in range(1, 40))
 
 
+def benchmark_windows(items, size):
+    found = {}
+    for item, text in items:
+        w = decontamination.words(text)
+        for i in range(max(1, len(w) - size + 1) if w else 0):
+            found.setdefault(tuple(w[i : i + size]), set()).add(str(item))
+    return found
+
+
+@pytest.mark.parametrize("block", [1_000_000, 4])
+def test_proximity(spark, monkeypatch, block):
+    """near_items against brute force; one word of a window may be another one, its rarest too. Small blocks change nothing."""
+    monkeypatch.setattr(decontamination, "BLOCK_TERMS", block)
+    text = [f"t{i}" for i in range(40)]
+    changed = [" ".join("other" if i == k else x for i, x in enumerate(text[3:13])) for k in range(10)]
+    texts = [" ".join(text), *changed, " ".join(reversed(text[3:13])), "t3 t4 t5 t6 t7 other other t10 t11 t12", " ".join(text[3:8]) + " " + "x " * 30 + " ".join(text[8:13]), "", None, "t30 t31"]
+    items = [("a", " ".join(text[3:13])), ("b", " ".join(text[:20])), ("c", "t30 t31"), ("d", "t1 t1 t1")]
+    docs = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)], "doc_id long, text string")  # doc_ids repeat with other texts
+    counts = Counter(w for t in texts for w in decontamination.words(t))
+    want = []
+    for t in texts:
+        w, own, exact = decontamination.words(t), set(), set()
+        for win, ids in benchmark_windows(items, 10).items():
+            rare = sorted(set(win), key=lambda x: (counts[x], x))[:2]
+            if any(w[i] in rare and len(set(w[max(0, i - 9) : i + 10]) & set(win)) >= min(9, len(set(win))) for i in range(len(w))):
+                own |= ids
+            if any(tuple(w[i : i + len(win)]) == win for i in range(len(w))):
+                exact |= ids
+        want.append((len(w), sorted(exact), sorted(own)))
+    got = [(r["n_words"], r["items"], r["near_items"]) for r in rows_of(decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string")))]
+    assert sorted(got) == sorted(want) and all(n == ["a"] or n == ["a", "b"] for _, e, n in want[1:11])
+
+
 def test_decontamination(spark, docs):
     items = [("a", " ".join(WORDS[:14])), ("b", "Same WORDS here"), ("c", None), ("d", "!!"), (None, "x"), ("e", "fox, jumps over! the lazy dog and then runs far"), ("b", "for both")]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    wins = decontamination.windows([i for i in items if i[0] and i[1]], 10)
+    wins = benchmark_windows([i for i in items if i[0] and i[1]], 10)
     want = []
     for t in [*TEXTS, TEXTS[4], "no id here"]:
         w, hit, own = decontamination.words(t), set(), set()
@@ -338,9 +398,9 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    bpe = packing.subwords(packing.default_ranks())
-    for text in [*TEXTS, " lead", "a\n b", "  x   y", "it's 12,5 — don't", "tab\tand space  x"]:
+    bpe, end = packing.subwords(packing.default_ranks()), packing.SPECIAL
+    special = [end, f"{end}a b", f"a {end} b", f"a b {end}", f"a{end}{end} b{end}", f"x <|endoftext {end}|> y", f" {end} \n{end}  z"]
+    for text in [*TEXTS, *special, " lead", "a\n b", "  x   y", "it's 12,5 — don't", "tab\tand space  x"]:
         assert np.frombuffer(bpe.ids(text or ""), "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
     out = rows_of(packing.best_fit_packing(docs, limit=512))
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in enumerate(TEXTS)}

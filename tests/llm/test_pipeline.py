@@ -3,6 +3,7 @@ import zlib
 import corpus_pipeline
 from spokenspark.llm import decontamination, simhash
 from spokenspark.llm.packing import default_ranks, subwords
+from test_operators import benchmark_windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +20,7 @@ def test_pipeline_against_brute_force(spark):
         for a in fp:
             least[a] = min(least[b] for b in near[a])
     kept = [r for r in kept if least[r.doc_id] == r.doc_id]
-    wins = decontamination.windows([tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()], 10)
+    wins = benchmark_windows([tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()], 10)
     sizes = {len(w) for w in wins}
     clean = lambda t: not any(tuple(w[i : i + n]) in wins for w in [decontamination.words(t)] for n in sizes for i in range(len(w) - n + 1))
     kept = [r for r in kept if clean(r.text)]
