@@ -18,8 +18,8 @@ SKETCHES, IN_SKETCH = 16, 4
 _MIX = [int(x) | 1 for x in np.random.default_rng(64).integers(1 << 62, 1 << 63, SKETCHES)]
 #: Bins of a signature: one byte of the least shingle hash in each, zero where there is none.
 BINS = 128
-#: Members of a group that are paired as it is; a larger one is split by further samples.
-SMALL = 64
+#: Members of a group that are compared with each other, and how often those of a larger one are compared with one of them.
+SMALL, TURNS = 32, 3
 
 #: Shingle hashes whose bits are counted in one go.
 BLOCK = 1 << 14
@@ -185,28 +185,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int
     return out
 
 
-def _crossing(shared: DataFrame, roots: DataFrame) -> list[DataFrame]:
+def _crossing(shared: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of different roots that share a group (node, bucket).
 
-    A group of up to SMALL members is paired as it is. The members of a larger one are dealt to groups that share another
-    sample as well: alike texts share several. What is still large when all samples have been used is joined with itself."""
-    joined = shared.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    now, found = stored(joined.select("node", "root", "bucket"), "members"), []
-    for level in range(4):
-        sizes = stored(now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket", "n"), "open")
-        open_ = now.join(sizes, "bucket")
-        groups = open_.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("all"))
-        pairs = groups.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: (y["node"] > F.col("x.node")) & (y["root"] != F.col("x.root")))).alias("y"))
-        found.append(pairs.selectExpr("x.node AS a", "y.node AS b"))
-        large = open_.where(F.col("n") > SMALL).select("node", "root", "bucket")
-        if large.isEmpty():
-            return found
-        if level == 3:
-            other = large.selectExpr("node AS b", "root AS root_b", "bucket")
-            return [*found, large.join(other, "bucket").where("b > node AND root <> root_b").selectExpr("node AS a", "b")]
-        again = large.join(shared.selectExpr("node", "bucket AS other").hint("merge"), "node").where("bucket <> other")
-        now = stored(again.select("node", "root", F.xxhash64("bucket", "other").alias("bucket")), "members")
-    return found
+    In the first turn a group of up to SMALL members is paired whole. Each member of a larger one is paired with one of the
+    group, drawn by a hash of the turn, so that every turn and every group of a text has another one; these pairs are no
+    more than the members."""
+    joined = stored(shared.hint("merge").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    drawn = F.max(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), F.col("node").alias("center"), F.col("root").alias("center_root")))
+    open_ = joined.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), drawn.alias("_c")).where("lo <> hi")
+    open_ = stored(open_.select("bucket", "n", "_c.center", "_c.center_root"), "open")
+    met = joined.hint("merge").join(open_.where(F.col("n") > SMALL), "bucket").where("root <> center_root").selectExpr("least(node, center) AS a", "greatest(node, center) AS b")
+    if turn == 0:
+        few = joined.hint("merge").join(open_.where(F.col("n") <= SMALL).select("bucket"), "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("all"))
+        each = few.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: (y["node"] > F.col("x.node")) & (y["root"] != F.col("x.root")))).alias("y"))
+        met = met.unionAll(each.selectExpr("x.node AS a", "y.node AS b"))
+    out = stored(met.distinct(), "crossing")
+    dropped(joined, open_)
+    return out
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
@@ -218,9 +214,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     are candidates (at 0.8 two texts share none in 2 of 10,000 cases). Equal word sequences are one text.
 
     First each group of candidates is compared with its center, the text that shares most samples with others (of a text
-    and its copies that is the text itself); then those members of a group that are not yet in one component are compared
-    with each other, in groups that further samples split until they are small. A pair is compared by signatures of BINS
-    bytes and, if these allow it, on all shingles of the whole texts. Joins are by sorted merges at every size.
+    and its copies that is the text itself). Then, in groups that are not yet one component, up to SMALL members are compared
+    with each other if their components differ; members of larger groups TURNS times with one that is drawn anew. What is
+    compared grows with the number of texts and not with the square of a group. A pair is compared by signatures of BINS bytes and, if these allow it, on all shingles of the whole texts. Joins
+    are by sorted merges at every size.
 
     Null and empty texts are alike. Rows with a null doc_id keep it. Rows come out as often as they go in.
     """
@@ -259,15 +256,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     roots = stored(connected_components(known), "roots")
 
     # members of a group that the center has not tied
-    pairs = [p for p in _crossing(shared.select("node", "bucket"), roots)]
-    crossing = pairs[0]
-    for p in pairs[1:]:
-        crossing = crossing.unionAll(p)
-    allowed = stored(_alike(stored(crossing.distinct(), "crossing"), nodes.select("node", "signature"), similarity), "allowed")
-    if not allowed.isEmpty():
+    for turn in range(TURNS):
+        crossing = _crossing(shared.select("node", "bucket"), roots, turn)
+        allowed = stored(_alike(crossing, nodes.select("node", "signature"), similarity), "allowed")
         more = _verified(allowed, texts, nodes, shingle, similarity)
-        if not more.isEmpty():
-            roots = stored(connected_components(roots.selectExpr("node AS a", "root AS b").unionAll(more)), "roots")
+        roots = stored(connected_components(roots.selectExpr("node AS a", "root AS b").unionAll(more)), "roots")
 
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

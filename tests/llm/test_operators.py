@@ -308,10 +308,11 @@ def test_similar_documents(spark, docs):
 
 
 def test_similar_documents_without_a_hub(spark, monkeypatch):
-    """Separately edited copies of an absent text, some alike and some not, in groups that must be split: against all pairs."""
+    """Separately edited copies of an absent text, some alike and some not: against all pairs where groups are paired whole;
+    where they are too large for that, no text is linked to another that isn't alike."""
     import random
 
-    monkeypatch.setattr(simhash, "SMALL", 3)
+    monkeypatch.setattr(simhash, "SMALL", 100)
     rng, base = random.Random(5), [f"w{i * 7919 % 1009}" for i in range(200)]
     texts = {}
     for k in range(90):
@@ -328,10 +329,9 @@ def test_similar_documents_without_a_hub(spark, monkeypatch):
     assert 5 < len(set(least.values())) and len(alike) > 50
     data = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in rows_of(simhash.similar_documents(data))} == least
-    nodes = data.selectExpr("doc_id AS node", "0L AS bucket")  # no sample is shared: the group is joined with itself
-    roots = data.selectExpr("doc_id AS node", "doc_id AS root")
-    found = [tuple(r) for p in simhash._crossing(nodes.unionAll(nodes.selectExpr("node", "1L")), roots) for r in p.collect()]
-    assert set(found) == set(combinations(range(90), 2))
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(simhash.similar_documents(data))}
+    assert all(least[i] == least[c] for i, c in got.items()) and len(set(got.values())) < 70
 
 
 def test_components(spark):
