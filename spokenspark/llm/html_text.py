@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+import pickle
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Pages, expected, and blocks of a page that a labeller is fitted on; every block of every page is labelled.
+#: Pages and blocks of a page that a labeller is fitted on, at most; every block of every page is labelled.
 SAMPLE, SAMPLE_BLOCKS = 300, 200
 #: Slots of the hashed tag-path and word vectors.
 PATHS, WORDS = 512, 1024
@@ -29,8 +31,11 @@ ASIDE_TAGS = {"nav", "header", "footer", "aside", "form", "button", "select", "o
 ASIDE_NAMES = set(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus "
     "footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promotion recommended related "
-    "replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription syndication tags teaser toolbar topbar widget".split()
+    "replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription syndication tags teaser toolbar topbar widget legal imprint impressum kommentar kommentare werbung anzeige publicidad publicite comentarios commentaires rail outbrain taboola".split()
 )
+#: Words that take back the names beside them in a class or id, and parts that hold articles of their own.
+TAKE_BACK = set("free enabled disabled layout wrapper container less off no without ready loaded has with".split())
+HOLDERS = set("comment comments kommentar kommentare comentarios commentaires discussion replies reply responses related recommended promoted sidebar teaser".split())
 ARTICLE_TAGS, ARTICLE_NAMES = {"article", "main"}, {"article", "content", "entry", "main", "post", "story", "body"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^<>]*\Z", re.S)
@@ -40,10 +45,11 @@ _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Block:
-    """A run of text without a block element inside: its path as steps of tag and names, and its text."""
+    """A run of text without a block element inside: its path as steps of tag and names, its text, and how much of it is linked."""
 
     path: tuple[tuple[str, frozenset[str]], ...]
     text: str
+    links: float = 0.0
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -52,20 +58,28 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, frozenset[str]]] = []
     found: list[Block] = []
     parts: list[str] = []
+    linked = [0]
     at = 0
 
+    def add(text: str) -> None:
+        parts.append(text)
+        if any(t == "a" for t, _ in stack):
+            linked[0] += len(text)
+
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
         if text:
-            found.append(Block(tuple(x for x in stack if x[0] not in INLINE), text))
+            path = tuple(x for x in stack if x[0] not in INLINE or x[1] & ASIDE_NAMES)
+            found.append(Block(path, text, min(1.0, linked[0] / max(sum(map(len, parts)), 1))))
+        parts.clear()
+        linked[0] = 0
 
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
-            parts.append(page[at:])
+            add(page[at:])
             break
-        parts.append(page[at : m.start()])
+        add(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -74,7 +88,7 @@ def blocks(page: str | None) -> list[Block]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        names = frozenset(w.lower() for x in _NAMES.findall(m[3]) for v in x for w in _SPLIT.split(v) if w) if m[3] and not m[1] else frozenset()
+        names = _names(m[3]) if m[3] and not m[1] else frozenset()
         if tag in VOID:
             if tag in ("br", "hr"):
                 flush()
@@ -99,31 +113,58 @@ def blocks(page: str | None) -> list[Block]:
     return found
 
 
+def _names(attributes: str) -> frozenset[str]:
+    """The words in the classes, ids and roles of a tag; beside a word like `free` or `layout` names of parts don't count."""
+    found: set[str] = set()
+    for x in _NAMES.findall(attributes):
+        for one in " ".join(x).split():
+            own = {w.lower() for w in _SPLIT.split(one) if w}
+            found |= own - ASIDE_NAMES if own & TAKE_BACK else own
+    return frozenset(found)
+
+
 def _asides(path: tuple) -> bool:
-    """Whether some step is a part beside the article. A header inside an article belongs to it unless it is named otherwise."""
-    inside = False
-    for tag, names in path:
+    """Whether the names on a path say that it is a part beside the article; used to label the pages that a labeller is fitted on.
+
+    What stands around a main or article element is its wrapping, unless it holds articles of its own, like comments do. A
+    header inside an article belongs to it unless it is named otherwise."""
+    mains = [i for i, (tag, names) in enumerate(path) if tag in ARTICLE_TAGS and not names & HOLDERS]
+    inner = mains[-1] if mains else -1
+    for i, (tag, names) in enumerate(path):
+        if i < inner and not names & HOLDERS:
+            continue
         if names & ASIDE_NAMES and not (tag in ("body", "html") or names & ARTICLE_NAMES and tag in ARTICLE_TAGS):
             return True
-        if tag in ASIDE_TAGS and not (tag == "header" and inside):
+        if tag in ASIDE_TAGS and not (tag == "header" and i > inner >= 0):
             return True
-        inside |= tag in ARTICLE_TAGS
     return False
 
 
-def features(found: list[Block]) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
-    """Per block: dense values, slots of its path steps, slots of its words (the first and last 20)."""
-    dense = np.zeros((len(found), 10), np.float32)
-    paths, words = [], []
+DENSE = 12
+_slots: dict[str, int] = {}
+
+
+def _slot(word: str) -> int:
+    if (found := _slots.get(word)) is None:
+        found = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        if len(_slots) < 200_000:
+            _slots[word] = found
+    return found
+
+
+def features(found: list[Block]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Per block: dense values, slots of its path steps, slots of all its words."""
+    dense = np.zeros((len(found), DENSE), np.float32)
+    paths, words, seen = [], [], Counter(b.text for b in found)
     for i, b in enumerate(found):
-        w = b.text.split()
-        n, inside = len(b.text), any(t in ARTICLE_TAGS or s & ARTICLE_NAMES for t, s in b.path)
+        w = b.text.lower().split()
+        n, last = len(b.text), b.path[-1][0] if b.path else ""
         dense[i] = (
-            _asides(b.path), inside, min(len(w), 100) / 100, min(n / max(len(w), 1), 15) / 15, b.text[-1] in ".!?…»\"'", sum(map(b.text.count, ".,;:")) / max(n, 1) * 10,
-            b.path[-1][0] in ("p", "h1", "h2", "h3", "blockquote", "pre") if b.path else 0, b.path[-1][0] in ("li", "a", "td") if b.path else 0, i / len(found), 1,
+            any(t in ARTICLE_TAGS for t, _ in b.path), min(len(w), 100) / 100, np.log1p(n) / 10, min(n / max(len(w), 1), 15) / 15, b.text[-1] in ".!?…»\"'", sum(map(b.text.count, ".,;:")) / max(n, 1) * 10, b.links,
+            last in ("p", "h1", "h2", "h3", "blockquote", "pre"), last in ("li", "td"), i / len(found), seen[b.text] > 1, 1,
         )
-        paths.append([zlib.crc32(x.encode()) % PATHS for t, s in b.path for x in (t, *s)] or [0])
-        words.append([zlib.crc32(x.lower().encode()) % WORDS for x in (w if len(w) <= 40 else w[:20] + w[-20:])] or [0])
+        paths.append(np.array([_slot(x) % PATHS for t, s in b.path for x in (t, *sorted(s))] or [0]))
+        words.append(np.array([_slot(x) % WORDS for x in w]))
     return dense, paths, words
 
 
@@ -134,7 +175,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Labeller:
     """A bidirectional LSTM over block vectors (dense values, mean path vector, mean word vector), with a logistic output."""
 
-    def __init__(self, hidden: int = 16, width: int = 8, dense: int = 10, seed: int = 3):
+    def __init__(self, hidden: int = 16, width: int = 8, dense: int = DENSE, seed: int = 3):
         rng = np.random.default_rng(seed)
         init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         n = dense + 2 * width
@@ -223,49 +264,68 @@ class Labeller:
 WRAPPINGS = [
     (("div", "cookie notice"),), (("section", "comments"), ("div", "comment")), (("aside", "sidebar"),), (("form", "newsletter"), ("label", "")), (("header", "site header"),), (("div", "social share"),),
     (("div", "menu"), ("ul", ""), ("li", "")), (("div", "sponsored"),), (("div", "site footer"),), (("div", "related"), ("ul", ""), ("li", "")), (("nav", "breadcrumb"),), (("aside", ""),), (("header", ""),), (("form", ""),),
+    (("section", "comments"), ("article", "")), (("div", "comment list"), ("article", "comment")), (("section", "kommentare"), ("article", "")), (("div", "legal"),), (("div", "werbung"),), (("section", "comentarios"), ("div", "")),
 ]
 
 
-def varied(found: list[Block], rng: np.random.Generator) -> list[Block]:
-    """A page with some of its parts beside the article in other wrappings and places, and its article in other wrappings."""
+def varied(found: list[Block], rng: np.random.Generator) -> tuple[list[Block], list[bool]]:
+    """A page with some of its parts beside the article in other wrappings, its article in other wrappings, and whether
+    each block is article. Around the article there may be a wrapping whose name is that of a part."""
     outer = tuple((t, n) for t, n in (found[0].path[:2] if found and found[0].path[:1] else ()) if t in ("html", "body"))
     main = [(), (("article", ""),), (("main", ""),), (("div", "content"),), (("div", "post entry"),), (("main", ""), ("article", ""))][rng.integers(6)]
     wrap = lambda steps: tuple((t, frozenset(n.split())) for t, n in steps)
+    around = wrap([("div", str(rng.choice(["page header", "site share", "site ad", "page nav"])))]) if main and main[0][0] != "div" and rng.random() < 0.4 else ()
     out: list[Block] = []
+    labels: list[bool] = []
     for b in found:
         if _asides(b.path):
-            out.append(Block(outer + wrap(WRAPPINGS[rng.integers(len(WRAPPINGS))]) + (b.path[-1:] if rng.random() < 0.5 else ()), b.text) if rng.random() < 0.6 else b)
+            other = Block(outer + wrap(WRAPPINGS[rng.integers(len(WRAPPINGS))]) + (b.path[-1:] if rng.random() < 0.5 else ()), b.text, b.links)
+            out.append(other if rng.random() < 0.6 else b)
+            labels.append(False)
         else:
             inner = tuple(x for x in b.path if x[0] not in ("html", "body", "article", "main", "div", "section"))
-            out.append(Block(outer + wrap(main) + inner, b.text))
+            out.append(Block(outer + around + wrap(main) + inner, b.text, b.links))
+            labels.append(True)
             if rng.random() < 0.1:
-                out.append(Block(outer + wrap(main) + wrap(WRAPPINGS[rng.integers(len(WRAPPINGS))]) + wrap((("p", ""),)), " ".join(b.text.split()[: rng.integers(3, 40)])))
-    return out
+                out.append(Block(outer + around + wrap(main) + wrap(WRAPPINGS[rng.integers(len(WRAPPINGS))]) + wrap((("p", ""),)), " ".join(b.text.split()[: rng.integers(3, 40)])))
+                labels.append(False)
+    return out, labels
+
+
+def nameless(found: list[Block], rng: np.random.Generator) -> list[Block]:
+    """A page whose names say nothing and whose parts are plain div and section: words, links, length and places must tell."""
+    plain = {t: ["div", "section"][rng.integers(2)] for t in sorted(ASIDE_TAGS | ARTICLE_TAGS)}
+    drawn: dict[frozenset[str], frozenset[str]] = {}
+    path = lambda b: tuple((plain.get(t, t), drawn.setdefault(s, frozenset([f"c{rng.integers(1000)}"]) if s else s)) for t, s in b.path)
+    return [Block(path(b), b.text, b.links) for b in found]
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """A labeller fitted on about `sample` pages by a hash of their html, and on variations of them.
+    """A labeller fitted on at most `sample` different pages, those with the least hashes of their html.
 
-    No page comes with labels: a block of the sample counts as beside the article if a tag, class, id or role on its path
-    says so. What comes to the driver is bounded by the sample and SAMPLE_BLOCKS blocks a page of 200 characters at most.
+    No page comes with labels. The names and tags on the paths of a sampled page label its blocks; the labeller reads them
+    as they are, in other wrappings, and with all names and telling tags taken away, so that it has to go by words, links,
+    lengths, places and neighbours where there are no names. Its inputs are computed on whole blocks inside the tasks, as
+    they are for every page later; SAMPLE_BLOCKS blocks of a sampled page at most come to the driver.
     """
-    n = pages.count()
-    picked = pages.select(F.col("html").cast("string").alias("html")).where(F.pmod(F.xxhash64("html"), F.lit(1_000_003)) < 1_000_003 * min(1.0, sample / max(n, 1)))
+    hashed = pages.select(F.col("html").cast("string").alias("html")).where("html IS NOT NULL").withColumn("h", F.xxhash64("html"))
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    picked = hashed.where(F.col("h").isin(least)).groupBy("h").agg(F.first("html").alias("html")) if least else hashed
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page in batch.column(0):
+            made = []
+            for h, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rng = np.random.default_rng(abs(h))
                 own = blocks(page.as_py())[:SAMPLE_BLOCKS]
-                rows = [[" ".join(f"{t}:{','.join(sorted(s))}" for t, s in b.path), b.text[:200]] for b in own]
-                yield pa.RecordBatch.from_arrays([pa.array([rows], pa.list_(pa.list_(pa.string())))], ["rows"])
-
-    rng, train = np.random.default_rng(11), []
-    for r in sorted(picked.mapInArrow(cut, "rows array<array<string>>").toLocalIterator(), key=lambda r: str(r[0])):
-        own = [Block(tuple((t, frozenset(s.split(",")) - {""}) for t, s in (x.split(":", 1) for x in path.split())), text) for path, text in r[0]]
-        for page in (own, varied(own, rng)):
-            if page:
-                train.append((features(page), np.array([not _asides(b.path) for b in page], np.float32)))
-    return Labeller().fit(train)
+                labels = [not _asides(b.path) for b in own]
+                other, others = varied(own, rng)
+                kinds = [(own, labels), (other, others), varied(own, rng), (nameless(own, rng), labels)]
+                made.append(pickle.dumps([(features(x), np.array(y, np.float32)) for x, y in kinds if x]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["h", "made"])
+
+    rows = picked.select("h", "html").mapInArrow(examples, "h long, made binary").collect()
+    return Labeller().fit([x for r in sorted(rows) for x in pickle.loads(r["made"])])
 
 
 def extract(pages: DataFrame, model: Labeller, least: float = 0.5) -> DataFrame:
