@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spellout import UNITS
+
 #: The largest document and unit in code points, and the largest share of characters that aren't text.
 MAX_INPUT, MAX_UNIT, MAX_OTHER = 4_194_304, 8_192, 0.01
-#: Typographic characters that fold one to one to ASCII; the en dash stays, it writes ranges.
-FOLD_FROM = "‘’‚‛“”„‟′″‐‑‒−    ：／（），"
-FOLD_TO = "''''\"\"\"\"'\"----    :/(),"
+#: Typographic characters and full-width digits that fold one to one to ASCII. The en dash stays, it writes ranges;
+#: primes stay, they write feet and inches.
+FOLDS = {
+    "‘": "'", "’": "'", "‛": "'", "“": '"', "”": '"', "‟": '"', "\u00a0": " ", "\u2007": " ", "\u2009": " ", "\u202f": " ", "‐": "-", "\u2011": "-", "−": "-",
+    "０": "0", "１": "1", "２": "2", "３": "3", "４": "4", "５": "5", "６": "6", "７": "7", "８": "8", "９": "9",
+}
+#: Full-width letters, which fold only where they write a unit after a digit.
+WIDE = {chr(ord(c) + 0xFEE0): c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}
 _NOT_TEXT = r"[\p{Cn}[\p{Cc}&&[^\t\n\x0B\f\r\x85]]]"
 
 
@@ -25,13 +32,18 @@ def refusal(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Typographic and full-width characters as ASCII, of the same length; signs and separators only beside digits."""
-    plain = F.translate(text, FOLD_FROM, FOLD_TO)
+    """Typographic characters and full-width digits as ASCII, of the same length; full-width separators between digits, signs
+    beside a digit and unit symbols after one as well."""
+    plain = F.translate(text, "".join(FOLDS), "".join(FOLDS.values()))
     for wide, narrow in (("．", "."), ("，", ",")):
-        plain = F.regexp_replace(plain, rf"(?<=\p{{Nd}}){wide}(?=\p{{Nd}})", narrow)
+        plain = F.regexp_replace(plain, rf"(?<=[0-9]){wide}(?=[0-9])", narrow)
     for wide, narrow in (("％", "%"), ("＋", "+"), ("－", "-")):
-        plain = F.regexp_replace(plain, rf"(?<=\p{{Nd}}){wide}|{wide}(?=\p{{Nd}})", narrow)
-    return plain
+        plain = F.regexp_replace(plain, rf"(?<=[0-9]){wide}|{wide}(?=[0-9])", narrow)
+    units = plain
+    for unit in sorted(UNITS, key=len, reverse=True):
+        wide = unit.translate({ord(v): k for k, v in WIDE.items()})
+        units = F.regexp_replace(units, rf"(?<=[0-9]){wide}(?![\p{{L}}\p{{Nd}}])", unit)
+    return F.when(plain.rlike("[0-9][Ａ-Ｚａ-ｚ]"), units).otherwise(plain)
 
 
 def shape(text: Column) -> Column:

@@ -53,7 +53,9 @@ FAMILIES = [
     Family("date:flexible", r"(?<![\w/-])[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![\w-])"),
     Family("date:text-flexible", rf"\b{_MONTH} [0-9]{{1,2}}(?:st|nd|rd|th)?(?:,? [0-9]{{4}})?\b"),
     Family("date:text-flexible", rf"\b[0-9]{{1,2}}(?:st|nd|rd|th)? {_MONTH}(?: [0-9]{{4}})?\b"),
-    Family("date:era", r"(?<![\w.])[0-9]{1,4}\s?(?:B\.C\.|A\.D\.|BC|AD|BCE|CE)(?!\w)"),
+    Family("date:era", r"\b[0-9]{1,4} ?(?:BCE?|CE|AD|B\.C\.(?:E\.)?|C\.E\.|A\.D\.)(?![\p{L}\p{Nd}])"),
+    Family("date:era", r"\b(?:AD|A\.D\.) ?[0-9]{1,4}\b(?![.,][0-9])"),
+    Family("date:elided", r"(?<![\p{L}\p{Nd}'])'[0-9]{2}(?![\p{L}\p{Nd}])"),
     Family("time:flexible", r"(?<![\w:.])(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?:\s?[aApP]\.?[mM]\b\.?)?(?![\w:])"),
     Family("time:spaced-colon", r"(?<![\w:.])(?:[01]?[0-9]|2[0-3]): [0-5][0-9](?![\w:])"),
     Family("range:dimension", r"(?<![\w.])[0-9]+\s?[x×]\s?[0-9]+(?![\w.]\w)"),
@@ -109,12 +111,16 @@ def candidates(text: Column, families: list[Family] | None = None) -> Column:
     return F.array_sort(F.concat(*found)) if found else none
 
 
+#: Where sentences are cut: after a full stop, question or exclamation mark before white space and a capital, and at blank lines,
+#: but not after an initial or a known abbreviation. Streams cut by the same expression.
+CUT = (
+    r"(?<=[.!?…])" + "".join(rf"(?<!\b{a.replace('.', chr(92) + '.')})" for a in ABBREVIATIONS) + r"(?<!\b\p{Lu}\.)\s+(?=[\p{Lu}\"'“(0-9])|\n\s*\n"
+)
+
+
 def sentences(text: Column) -> Column:
-    """start, end and text of sentences: cut after a full stop, question or exclamation mark before white space and a capital,
-    and at blank lines, but not after an initial or a known abbreviation."""
-    held = "|".join(rf"(?<!\b{a.replace('.', chr(92) + '.')})" for a in ABBREVIATIONS).replace("|", "")
-    cut = rf"(?<=[.!?…]){held}(?<!\b\p{{Lu}}\.)\s+(?=[\p{{Lu}}\"'“(0-9])|\n\s*\n"
-    gaps, parts = F.regexp_extract_all(text, F.lit(cut), F.lit(0)), F.split(text, cut, -1)
+    """start, end and text of the sentences between the cuts of CUT; blank ones are left out."""
+    gaps, parts = F.regexp_extract_all(text, F.lit(CUT), F.lit(0)), F.split(text, CUT, -1)
     pairs = F.arrays_zip(parts.alias("part"), F.transform(gaps, F.length).alias("gap"))
     kind = "array<struct<start:int,end:int,sent:string>>"
 

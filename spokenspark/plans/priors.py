@@ -47,6 +47,23 @@ def acronym_priors(rows: DataFrame) -> DataFrame:
     return runs.select(F.explode(keys).alias("key"), apart.alias("apart")).groupBy("key").agg(F.count_if("apart").alias("spelled"), F.count_if(~F.col("apart")).alias("said"))
 
 
+def acronym_shares(words: DataFrame, word: str, priors: DataFrame) -> DataFrame:
+    """words with the share in which a run of capitals is spelled out, and the narrowest level that has counts of it.
+
+    Each level's share leans on that of the level above: all runs, length and case, vowel pattern, surface. The priors are
+    joined once for each level."""
+    w = F.col(word)
+    levels = [("all", F.lit("*")), ("shape", tf.letter_key(w)), ("pattern", F.concat(F.lit("cv:"), tf.consonant_vowel(w))), ("surface", F.concat(F.lit("surface:"), w))]
+    out, share, level = words, None, None
+    for i, (name, key) in enumerate(levels):
+        own = priors.select(F.col("key").alias(f"_k{i}"), F.col("spelled").alias(f"_s{i}"), (F.col("spelled") + F.col("said")).alias(f"_n{i}"))
+        out = out.withColumn(f"_k{i}", key).join(own, f"_k{i}", "left")
+        n, s = F.coalesce(f"_n{i}", F.lit(0)), F.coalesce(f"_s{i}", F.lit(0))
+        share = s / F.greatest(n, F.lit(1)) if share is None else blended(s, n, share)
+        level = F.lit(name) if level is None else F.when(F.col(f"_n{i}").isNotNull(), name).otherwise(level)
+    return out.select(*[F.col(c) for c in words.columns], share.alias("share"), level.alias("level"))
+
+
 def abbreviation_priors(rows: DataFrame) -> DataFrame:
     """fold key, written case, whether it was expanded, n."""
     tokens = rows.where(F.col("written").rlike(r"\A\p{L}+\.?\z"))

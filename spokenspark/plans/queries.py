@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spellout as say
 from ..functions import text as tf
-from ..operators import detect, resolve
+from ..operators import choices, detect, resolve
 from ..operators.normalize import normalize, units
 from ..sources.tables import read_table
 from . import evaluate, priors
@@ -55,11 +55,24 @@ def ingress_validate(spark, sf_dir):
     return docs.select("doc_id", F.length("text").cast("long").alias("n"), tf.refusal(F.col("text")).alias("refused"))
 
 
-@query("SELECT doc_id, sha256(translate(text, '‘’‚‛“”„‟′″‐‑‒−', '''''''''\"\"\"\"''\"----')) AS folded FROM documents")
+#: The folds in SQL by their code points, written apart from functions/text.py.
+_FOLD_SQL = "translate({}, concat(chr(8216), chr(8217), chr(8219), chr(8220), chr(8221), chr(8223), chr(160), chr(8199), chr(8201), chr(8239), chr(8208), chr(8209), chr(8722), '０１２３４５６７８９'), concat(repeat(chr(39), 3), repeat(chr(34), 3), '    ', '---', '0123456789'))"
+
+
+@query(f"SELECT doc_id, sha256({_FOLD_SQL.format('text')}) AS folded FROM documents")
 def ingress_fold(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", F.sha2(tf.folded(F.col("text")), 256).alias("folded"))
 
 
+@query("SELECT o_orderkey, format('{:,.2f}', CAST(o_totalprice AS DOUBLE)) || '% +' || CAST(year(o_orderdate) AS VARCHAR) || 'km, 6′ ' || chr(39) || 'x' || chr(39) || ' a，b' AS folded FROM orders")
+def ingress_fold_wide(spark, sf_dir):
+    """Prices and years in full-width characters fold to what they were; a prime and a comma between letters stay."""
+    wide = lambda c: F.translate(c, "0123456789,.%+km", "０１２３４５６７８９，．％＋ｋｍ")
+    price = wide(F.concat(F.format_number(F.col("o_totalprice").cast("decimal(20,2)"), 2), F.lit("%")))
+    written = F.concat(price, F.lit("\u00a0"), wide(F.concat(F.lit("+"), F.year("o_orderdate").cast("string"), F.lit("km"))), F.lit(", 6′\u2009‘x’ a，b"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", tf.folded(written).alias("folded"))
+
+
 _SHAPE = r"regexp_replace(regexp_replace(regexp_replace({}, '\p{{L}}+', 'A', 'g'), '\p{{Nd}}+', 'N', 'g'), '\p{{Sc}}+', '¤', 'g')"
 
 
@@ -244,10 +257,149 @@ def evaluate_interval(spark, sf_dir):
     return evaluate.bootstrap(clusters, "v", "w")
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, o_totalprice > 150000 AS v FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey AS k, o_totalprice > 160000 AS v FROM orders WHERE o_orderkey % 5 <> 0)
+@query("""WITH a AS (SELECT o_orderkey AS k, o_totalprice > 150000 AS v FROM orders), b AS (SELECT l_orderkey AS k, count(*) > 3 AS v FROM lineitem GROUP BY 1)
 SELECT CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.v = b.v THEN 'same' WHEN b.v THEN 'gained' ELSE 'lost' END AS change, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
 def compare_order_runs(spark, sf_dir):
-    o = read_table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
-    a = o.where("o_orderkey % 7 <> 0").withColumn("v", F.col("o_totalprice") > 150000)
-    b = o.where("o_orderkey % 5 <> 0").withColumn("v", F.col("o_totalprice") > 160000)
+    """Outcomes by the orders against outcomes by their lines; keys that one of the tables lacks are added or removed."""
+    a = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") > 150000).alias("v"))
+    b = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg((F.count("*") > 3).alias("v"))
     return evaluate.compare_runs(a, b, ["k"], "v").groupBy("change").agg(F.count("*").alias("n"))
+
+
+def _words(spark, sf_dir) -> DataFrame:
+    """The distinct words of the names in the small tables, with case, dots and digits as they are written."""
+    named = [("part", "p_name"), ("part", "p_type"), ("part", "p_brand"), ("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment"), ("orders", "o_orderpriority"), ("events", "event_type")]
+    each = [read_table(spark, sf_dir, t).select(F.explode(F.split(F.col(c), "[ -]+")).alias("word")).distinct() for t, c in named]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionAll(e)
+    return out.where("word <> ''").distinct()
+
+
+_WORDS_SQL = " UNION ".join(
+    f"SELECT unnest(string_split_regex({c}, '[ -]+')) AS word FROM {t}"
+    for t, c in [("part", "p_name"), ("part", "p_type"), ("part", "p_brand"), ("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment"), ("orders", "o_orderpriority"), ("events", "event_type")]
+)
+_LETTER_KEY = "concat_ws(':', CAST(least(length({0}), 6) AS VARCHAR), CASE WHEN {0} = upper({0}) THEN 'upper' WHEN {0} = lower({0}) THEN 'lower' ELSE 'mixed' END, CASE WHEN regexp_matches({0}, '[aeiouyAEIOUY]') THEN 'vowel' ELSE 'none' END)"
+_CV = "regexp_replace(regexp_replace(regexp_replace(lower({}), '[aeiouy]', '*', 'g'), '[a-z]', 'c', 'g'), '[*]', 'v', 'g')"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT word, regexp_replace(word, '[^A-Za-z]', '', 'g') AS l FROM ({_WORDS_SQL}) WHERE word <> '')
+SELECT word, {_LETTER_KEY.format('word')} AS letter_key, {_CV.format('word')} AS pattern, regexp_replace(lower(word), '[.]$', '') AS fold,
+  CASE WHEN l = '' THEN 'none' WHEN l = upper(l) THEN 'upper' WHEN l = lower(l) THEN 'lower' WHEN l = upper(left(l, 1)) || lower(substr(l, 2)) THEN 'title' ELSE 'mixed' END AS cased FROM w""")
+def word_keys(spark, sf_dir):
+    """The keys under which priors of words, acronyms and abbreviations are counted."""
+    w = F.col("word")
+    return _words(spark, sf_dir).select("word", tf.letter_key(w).alias("letter_key"), tf.consonant_vowel(w).alias("pattern"), tf.fold_key(w).alias("fold"), tf.written_case(w).alias("cased"))
+
+
+@query(r"""WITH u AS (SELECT url, string_split_regex(url, '[0-9]+') AS g, regexp_extract_all(url, '[0-9]+') AS h FROM pages WHERE url IS NOT NULL)
+SELECT array_to_string(list_transform(generate_series(1, len(g)), lambda i: g[i] || coalesce('N' || CAST(length(h[i]) AS VARCHAR), '')), '') AS shape, count(*) AS n FROM u GROUP BY 1""")
+def width_shapes(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").where("url IS NOT NULL").groupBy(tf.width_shape(F.col("url")).alias("shape")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT user_id, event_id, event_type AS token, lag(event_type) OVER w AS b1, lag(event_type, 2) OVER w AS b2, lead(event_type) OVER w AS a1 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT coalesce(b2, '<s>') || ' ' || coalesce(b1, '<s>') AS before, token, coalesce(a1, '</s>') AS after, count(*) AS n FROM t GROUP BY ALL""")
+def neighbour_events(spark, sf_dir):
+    """The tokens before and after each token of a user's line of events."""
+    tokens = read_table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), F.col("event_type").alias("token"))
+    found = choices.neighbours(tokens, ["user_id"], 2, 1)
+    return found.groupBy(F.array_join("before", " ").alias("before"), "token", F.array_join("after", " ").alias("after")).agg(F.count("*").alias("n"))
+
+
+def _spelled(spark, sf_dir) -> DataFrame:
+    """Labelled rows (class, written, spoken): market segments, spelled out where the account is in debt."""
+    c = read_table(spark, sf_dir, "customer")
+    apart = F.array_join(F.split(F.lower("c_mktsegment"), ""), " ")
+    return c.select(F.lit("LETTERS").alias("class"), F.col("c_mktsegment").alias("written"), F.when(F.col("c_acctbal") < 0, apart).otherwise(F.lower("c_mktsegment")).alias("spoken"))
+
+
+@query(f"""WITH r AS (SELECT c_mktsegment AS w, c_acctbal < 0 AS apart FROM customer),
+k AS (SELECT unnest(['*', {_LETTER_KEY.format('w')}, 'cv:' || {_CV.format('w')}, 'surface:' || w]) AS key, apart FROM r)
+SELECT key, count(*) FILTER (apart) AS spelled, count(*) FILTER (NOT apart) AS said FROM k GROUP BY 1""")
+def prior_acronyms(spark, sf_dir):
+    return priors.acronym_priors(_spelled(spark, sf_dir))
+
+
+@query(f"""WITH r AS (SELECT c_mktsegment AS w, c_acctbal < 0 AS apart FROM customer), k AS (SELECT 0 AS level, '*' AS key, w, apart FROM r UNION ALL SELECT 1, {_LETTER_KEY.format('w')}, w, apart FROM r
+  UNION ALL SELECT 2, 'cv:' || {_CV.format('w')}, w, apart FROM r UNION ALL SELECT 3, 'surface:' || w, w, apart FROM r),
+c AS (SELECT level, key, count(*) FILTER (apart) AS s, count(*) AS n FROM k GROUP BY 1, 2),
+a AS (SELECT word, s0.s AS s0, s0.n AS n0, s1.s AS s1, s1.n AS n1, s2.s AS s2, s2.n AS n2, s3.s AS s3, s3.n AS n3 FROM (SELECT DISTINCT word FROM ({_WORDS_SQL}) WHERE regexp_matches(word, '^[A-Z][A-Z]+$'))
+  LEFT JOIN c AS s0 ON s0.key = '*' LEFT JOIN c AS s1 ON s1.key = {_LETTER_KEY.format('word')} LEFT JOIN c AS s2 ON s2.key = 'cv:' || {_CV.format('word')} LEFT JOIN c AS s3 ON s3.key = 'surface:' || word),
+p0 AS (SELECT *, CAST(coalesce(s0, 0) AS DOUBLE) / coalesce(n0, 1) AS q0 FROM a), p1 AS (SELECT *, (coalesce(s1, 0) + 5 * q0) / (coalesce(n1, 0) + 5) AS q1 FROM p0),
+p2 AS (SELECT *, (coalesce(s2, 0) + 5 * q1) / (coalesce(n2, 0) + 5) AS q2 FROM p1)
+SELECT word, round((coalesce(s3, 0) + 5 * q2) / (coalesce(n3, 0) + 5), 9) AS share, CASE WHEN n3 IS NOT NULL THEN 'surface' WHEN n2 IS NOT NULL THEN 'pattern' WHEN n1 IS NOT NULL THEN 'shape' ELSE 'all' END AS level FROM p2""")
+def acronym_shares(spark, sf_dir):
+    """The chance that a run of capitals is spelled out, by the counts of its surface, vowel pattern, shape and all runs."""
+    words = _words(spark, sf_dir).where(F.col("word").rlike("^[A-Z]{2,}$"))
+    return priors.acronym_shares(words, "word", priors.acronym_priors(_spelled(spark, sf_dir))).select("word", F.round("share", 9).alias("share"), "level")
+
+
+@query(f"""SELECT regexp_replace(lower(w), '[.]$', '') AS key, CASE WHEN regexp_replace(w, '[.]', '') = upper(w) THEN 'upper' ELSE 'upper' END AS "case", s IN ('F', 'P') AS expanded, count(*) AS n
+FROM (SELECT regexp_extract(o_orderpriority, '[A-Z]+$') || CASE WHEN o_orderstatus = 'O' THEN '' ELSE '.' END AS w, o_orderstatus AS s FROM orders) WHERE length(w) > 1 GROUP BY ALL""")
+def prior_abbreviations(spark, sf_dir):
+    """Priorities with a full stop are abbreviations of their name and `priority`, those of open orders are words."""
+    open_ = F.col("o_orderstatus") == "O"
+    word = F.regexp_extract("o_orderpriority", "[A-Z]+$", 0)
+    rows = read_table(spark, sf_dir, "orders").where(word != "").select(
+        F.lit("PLAIN").alias("class"), F.concat(word, F.when(open_, "").otherwise(".")).alias("written"), F.concat(F.lower(word), F.when(open_, "").otherwise(" priority")).alias("spoken")
+    )
+    return priors.abbreviation_priors(rows)
+
+
+@query(rf"""WITH r AS (SELECT unnest(regexp_extract_all(url, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]')) AS r FROM pages)
+SELECT CASE WHEN regexp_matches(r, '^[A-Za-z]') THEN 'letters' WHEN regexp_matches(r, '^[0-9]') THEN 'digits' ELSE 'sign' END AS kind,
+  CASE WHEN regexp_matches(r, '^[A-Za-z]') THEN {_LETTER_KEY.format('r')} WHEN regexp_matches(r, '^[0-9]') THEN 'digits:' || CAST(length(r) AS VARCHAR) ELSE r END AS key, count(*) AS n FROM r GROUP BY ALL""")
+def prior_electronic(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "pages").select(F.lit("ELECTRONIC").alias("class"), F.col("url").alias("written"))
+    return priors.electronic_priors(rows)
+
+
+@query("""SELECT 'N' || CAST(length(CAST(c_nationkey AS VARCHAR)) AS VARCHAR) || '-N' || CAST(length(CAST(c_custkey AS VARCHAR)) AS VARCHAR) AS shape, CASE WHEN c_acctbal < 0 THEN 'DIGIT' ELSE 'TELEPHONE' END AS class, count(*) AS n FROM customer GROUP BY ALL""")
+def prior_telephones(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer")
+    return priors.telephone_priors(c.select(F.when(F.col("c_acctbal") < 0, "DIGIT").otherwise("TELEPHONE").alias("class"), F.concat_ws("-", "c_nationkey", "c_custkey").alias("written")))
+
+
+@query("""SELECT event_type AS surface, CASE WHEN count(*) FILTER (value < 1) * 2 > count(*) THEN 'spell' ELSE 'say' END AS decision, count(*) AS n FROM events WHERE length(event_type) BETWEEN 2 AND 6 GROUP BY 1
+HAVING count(*) >= 5 AND greatest(count(*) FILTER (value < 1), count(*) - count(*) FILTER (value < 1)) >= 0.9 * count(*)""")
+def prior_spellout(spark, sf_dir):
+    """Words that are said or spelled in nine of ten rows."""
+    e, t = read_table(spark, sf_dir, "events"), F.col("event_type")
+    rows = e.select(t.alias("written"), F.when(F.col("value") < 1, F.array_join(F.split(t, ""), " ")).otherwise(t).alias("spoken"))
+    return priors.spellout_dictionary(rows, 5, 0.9)
+
+
+@query("""WITH c AS (SELECT o_custkey AS k, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1, 2), t AS (SELECT k, sum(n) AS total, max(n) AS n FROM c GROUP BY 1)
+SELECT t.k, c.p, t.n, CAST(total AS BIGINT) AS total FROM t JOIN c ON c.k = t.k AND c.n = t.n WHERE t.n >= 3 AND 2 * t.n > total""")
+def majority_priorities(spark, sf_dir):
+    counts = read_table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("p")).agg(F.count("*").alias("n"))
+    return priors.strict_majority(counts, ["k"], "p").select("k", "p", "n", "total")
+
+
+@query(r"""WITH r AS (SELECT 'CARDINAL' AS class, 'N' AS shape FROM orders UNION ALL SELECT 'DATE', 'N' FROM orders
+  UNION ALL SELECT 'MONEY', '¤' || regexp_replace(format('{:,.2f}', CAST(o_totalprice AS DOUBLE)), '[0-9]+', 'N', 'g') FROM orders), c AS (SELECT shape, class, count(*) AS n FROM r GROUP BY 1, 2),
+t AS (SELECT shape, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY 1 HAVING sum(n) >= 3),
+a AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(url, '\p{L}+', 'A', 'g'), '\p{Nd}+', 'N', 'g'), '\p{Sc}+', '¤', 'g') AS shape, 'DATE' AS class FROM pages UNION SELECT 'N', 'DATE' UNION SELECT 'N', 'MONEY' UNION SELECT '¤N,N.N', 'MONEY')
+SELECT a.shape, a.class, coalesce(c.n, -1) AS n, coalesce(t.total, -1) AS total, CASE WHEN t.total IS NULL THEN 'unsupported' WHEN c.n IS NULL THEN 'attested-zero' ELSE 'measured' END AS tier
+FROM a LEFT JOIN t ON t.shape = a.shape LEFT JOIN c ON c.shape = a.shape AND c.class = a.class""")
+def reading_tiers(spark, sf_dir):
+    """The counts behind readings of shapes: measured, attested with another class only, or unknown."""
+    asked = read_table(spark, sf_dir, "pages").select(tf.shape(F.col("url")).alias("shape"), F.lit("DATE").alias("class")).where("shape IS NOT NULL")
+    fixed = spark.createDataFrame([("N", "DATE"), ("N", "MONEY"), ("¤N,N.N", "MONEY")], "shape string, class string")
+    return priors.reading_prior(asked.unionAll(fixed).distinct(), priors.type_priors(_rows(spark, sf_dir))).fillna(-1, ["n", "total"]).select("shape", "class", "n", "total", "tier")
+
+
+@query(rf"""WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS w, 'cardinal' AS c FROM orders UNION ALL SELECT strftime(o_orderdate, '%Y'), 'date' FROM orders), f AS (SELECT substr(w, 1, 2) AS century, c, count(*) AS n FROM r WHERE regexp_matches(w, '^[0-9]{{4}}$') GROUP BY 1, 2),
+t AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS written FROM lineitem WHERE l_orderkey BETWEEN 1000 AND 9999),
+{_cardinal_sql('SELECT l_orderkey AS n FROM lineitem UNION ALL SELECT l_orderkey // 100 FROM lineitem UNION ALL SELECT l_orderkey % 100 FROM lineitem UNION ALL SELECT l_orderkey // 10 % 10 FROM lineitem UNION ALL SELECT l_orderkey // 100 % 10 FROM lineitem UNION ALL SELECT l_orderkey % 10 FROM lineitem UNION ALL SELECT l_orderkey // 1000 % 10 FROM lineitem')},
+x AS (SELECT written, k.choice, coalesce(f.n, 0) AS n, k.place, CAST(written AS BIGINT) AS y FROM t CROSS JOIN (VALUES ('date', 0), ('cardinal', 1), ('digit', 2)) AS k(choice, place) LEFT JOIN f ON f.century = substr(written, 1, 2) AND f.c = k.choice)
+SELECT written, choice, x.n AS n, row_number() OVER (PARTITION BY written ORDER BY x.n DESC, place) AS rank, CASE choice WHEN 'cardinal' THEN yw.w WHEN 'date' THEN {_YEAR}
+  ELSE concat_ws(' ', d3.w, CASE WHEN d2.n = 0 THEN 'o' ELSE d2.w END, CASE WHEN d1.n = 0 THEN 'o' ELSE d1.w END, CASE WHEN d0.n = 0 THEN 'o' ELSE d0.w END) END AS spoken
+FROM x JOIN words AS yw ON yw.n = y JOIN words AS hw ON hw.n = y // 100 JOIN words AS lw ON lw.n = y % 100
+JOIN words AS d3 ON d3.n = y // 1000 JOIN words AS d2 ON d2.n = y // 100 % 10 JOIN words AS d1 ON d1.n = y // 10 % 10 JOIN words AS d0 ON d0.n = y % 10""")
+def four_digit_forms(spark, sf_dir):
+    """The forms of bare four-digit tokens (year, number, digits), ranked by how tokens of their century are read."""
+    tokens = read_table(spark, sf_dir, "lineitem").where("l_orderkey BETWEEN 1000 AND 9999").select(F.col("l_orderkey").cast("string").alias("written")).distinct()
+    return choices.four_digit_forms(tokens, priors.century_priors(_rows(spark, sf_dir)))

@@ -17,14 +17,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_labelled(spark: SparkSession, path: str, shards: range | None = None) -> DataFrame:
     """class, written, spoken, file, sent_id, pos of a corpus of tab-separated shards in which `<eos>` rows end sentences.
 
-    Only the files of the asked shards are read. A sentence's number is the count of ends before it in its file, by a
+    path: a folder of files named `...-00012-of-00100`. Only the files of the asked shards are listed and read. A sentence's number is the count of ends before it in its file, by a
     window per file, so files are the unit of parallelism, as they are written.
     """
+    if shards is not None:
+        path = f"{path.rstrip('/')}/*-{{{','.join(f'{n:05d}' for n in shards)}}}-of-*"
     rows = spark.read.option("sep", "\t").option("quote", "").option("escape", "").schema("class string, written string, spoken string").csv(path)
     rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
-    if shards is not None:
-        number = F.regexp_extract("file", r"-(\d+)-of-\d+$", 1).cast("int")
-        rows = rows.where(number.between(shards.start, shards.stop - 1))
     order = W.partitionBy("file").orderBy("_block", "_line")
     ended = F.sum(F.when(F.col("class") == "<eos>", 1).otherwise(0)).over(order) - F.when(F.col("class") == "<eos>", 1).otherwise(0)
     rows = rows.withColumn("sent_id", ended.cast("long")).where("class <> '<eos>'")

@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.detect import CUT
+
 #: Fixed value: code points after which a pending sentence is cut.
 MAX_PENDING = 8_192
-_END = re.compile(r"[.!?…]\s+(?=\S)|\n\s*\n")
+_CUT = regex.compile(CUT)
 SETTLED = "stream_id long, start long, sent string, pending_from long"
 
 
 def settle(pending: str, at: int, final: bool = False) -> tuple[list[tuple[int, str]], str, int]:
-    """The sentences of pending text that more text can't change, what stays pending and where it starts."""
+    """The sentences of pending text that more text can't change, what stays pending and where it starts.
+
+    Sentences are cut as tables are. A cut is sure once a character that isn't white space follows the white space at it; blank
+    sentences are left out. Text without a cut for MAX_PENDING code points settles as it is, which tables don't do.
+    """
     done, begin = [], 0
-    for m in _END.finditer(pending):
-        done.append((at + begin, pending[begin : m.end()]))
+
+    def add(end: int) -> None:
+        if pending[begin:end].strip():
+            done.append((at + begin, pending[begin:end]))
+
+    for m in _CUT.finditer(pending):
+        if not final and (m.end() == len(pending) or pending[m.end()].isspace()):
+            break
+        add(m.start())
         begin = m.end()
     while len(pending) - begin > MAX_PENDING:
-        done.append((at + begin, pending[begin : begin + MAX_PENDING]))
+        add(begin + MAX_PENDING)
         begin += MAX_PENDING
     if final and begin < len(pending):
-        done.append((at + begin, pending[begin:]))
+        add(len(pending))
         begin = len(pending)
     return done, pending[begin:], at + begin
 
@@ -34,7 +47,8 @@ def settled_sentences(chunks: DataFrame) -> DataFrame:
     """stream_id, start, sent and pending_from of a streaming DataFrame of chunks (stream_id, seq, text).
 
     The state of a stream is its pending text and how much has settled. `pending_from` never falls. A chunk with null
-    text closes its stream: what is pending settles. Sentences are normalized by the same plan as tables are.
+    text closes its stream: what is pending settles. Sentences are those that operators.detect.sentences cuts, and are normalized
+    by the same plan.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -23,7 +23,8 @@ CASES = [
     (lambda: say.plural(say.year(F.lit(1990))), "nineteen nineties"), (lambda: say.scientific(F.lit("1.5×10^6")), "one point five times ten to the sixth"),
     (lambda: tf.shape(F.lit("3/24 €12 ab1 É")), "N/N ¤N AN A"), (lambda: tf.shape(F.lit("Q")), "<Lu>"), (lambda: tf.width_shape(F.lit("212-555")), "N3-N3"), (lambda: tf.consonant_vowel(F.lit("Hello")), "cvccv"),
     (lambda: tf.isbn_valid(F.lit("0306406152")).cast("string"), "true"), (lambda: tf.isbn_valid(F.lit("0306406153")).cast("string"), "false"), (lambda: tf.isbn_valid(F.lit("978-0-306-40615-7")).cast("string"), "true"),
-    (lambda: tf.normal_spoken(F.lit("Hi, there!")), "hi there"), (lambda: tf.folded(F.lit("５％ “a”–b")), "５% \"a\"–b"), (lambda: tf.refusal(F.lit("a\0b")), "nul"), (lambda: tf.refusal(F.lit("plain")), None),
+    (lambda: tf.normal_spoken(F.lit("Hi, there!")), "hi there"), (lambda: tf.folded(F.lit("５％ “a”–b")), "5% \"a\"–b"), (lambda: tf.folded(F.lit("1，2，3 a，b 6′ 7″")), "1,2,3 a，b 6′ 7″"),
+    (lambda: tf.folded(F.lit("４０ｋｍ ＋３ ｋｍ")), "40km +3 ｋｍ"), (lambda: tf.refusal(F.lit("a\0b")), "nul"), (lambda: tf.refusal(F.lit("plain")), None),
 ]
 
 
