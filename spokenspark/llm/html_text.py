@@ -321,6 +321,9 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
                 labels = [not _asides(b.path) for b in own]
                 other, others = varied(own, rng)
                 kinds = [(own, labels), (other, others), varied(own, rng), (nameless(own, rng), labels)]
+                if any(labels):  # a page of one paragraph
+                    one = int(rng.choice(np.flatnonzero(labels)))
+                    kinds.append(([Block(own[one].path[-1:], own[one].text * int(rng.integers(1, 4)))], [True]))
                 made.append(pickle.dumps([(features(x), np.array(y, np.float32)) for x, y in kinds if x]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["h", "made"])
 
