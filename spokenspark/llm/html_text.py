@@ -153,7 +153,7 @@ def _slot(word: str) -> int:
 
 
 def features(found: list[Block]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Per block: dense values, slots of its path steps, slots of all its words."""
+    """Per block: dense values, slots of its different path steps, slots of all its words."""
     dense = np.zeros((len(found), DENSE), np.float32)
     paths, words, seen = [], [], Counter(b.text for b in found)
     for i, b in enumerate(found):
@@ -163,7 +163,8 @@ def features(found: list[Block]) -> tuple[np.ndarray, list[np.ndarray], list[np.
             any(t in ARTICLE_TAGS for t, _ in b.path), min(len(w), 100) / 100, np.log1p(n) / 10, min(n / max(len(w), 1), 15) / 15, b.text[-1] in ".!?…»\"'", sum(map(b.text.count, ".,;:")) / max(n, 1) * 10, b.links,
             last in ("p", "h1", "h2", "h3", "blockquote", "pre"), last in ("li", "td"), i / len(found), seen[b.text] > 1, 1,
         )
-        paths.append(np.array([_slot(x) % PATHS for t, s in b.path for x in (t, *sorted(s))] or [0]))
+        steps = dict.fromkeys(x for t, s in b.path for x in (t, *sorted(s)))  # each once: nesting alone says nothing
+        paths.append(np.array([_slot(x) % PATHS for x in steps] or [0]))
         words.append(np.array([_slot(x) % WORDS for x in w]))
     return dense, paths, words
 
@@ -245,8 +246,9 @@ class Labeller:
             at += w
         return g
 
-    def fit(self, pages: list[tuple[tuple, np.ndarray]], epochs: int = 6, rate: float = 0.01) -> Labeller:
-        """Adam, one page a step."""
+    def fit(self, pages: list[tuple[tuple, np.ndarray]], epochs: int = 5, least: int = 3000, rate: float = 0.01) -> Labeller:
+        """Adam, one page a step, `least` steps at least."""
+        epochs = max(epochs, -(-least // max(len(pages), 1))) if pages else 0
         m, v, step = {n: np.zeros_like(x) for n, x in self.p.items()}, {n: np.zeros_like(x) for n, x in self.p.items()}, 0
         rng = np.random.default_rng(5)
         for _ in range(epochs):
@@ -275,11 +277,13 @@ def varied(found: list[Block], rng: np.random.Generator) -> tuple[list[Block], l
     main = [(), (("article", ""),), (("main", ""),), (("div", "content"),), (("div", "post entry"),), (("main", ""), ("article", ""))][rng.integers(6)]
     wrap = lambda steps: tuple((t, frozenset(n.split())) for t, n in steps)
     around = wrap([("div", str(rng.choice(["page header", "site share", "site ad", "page nav"])))]) if main and main[0][0] != "div" and rng.random() < 0.4 else ()
+    names = sorted(ASIDE_NAMES)
     out: list[Block] = []
     labels: list[bool] = []
     for b in found:
         if _asides(b.path):
-            other = Block(outer + wrap(WRAPPINGS[rng.integers(len(WRAPPINGS))]) + (b.path[-1:] if rng.random() < 0.5 else ()), b.text, b.links)
+            named = WRAPPINGS[rng.integers(len(WRAPPINGS))] if rng.random() < 0.6 else ((str(rng.choice(["div", "section", "p"])), str(rng.choice(names))),)
+            other = Block(outer + wrap(named) + (b.path[-1:] if rng.random() < 0.5 else ()), b.text, b.links)
             out.append(other if rng.random() < 0.6 else b)
             labels.append(False)
         else:
@@ -312,6 +316,8 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
     picked = hashed.where(F.col("h").isin(least)).groupBy("h").agg(F.first("html").alias("html")) if least else hashed
 
+    many = min(12, max(2, 600 // max(len(least), 1)))  # versions of a page: more where there are few pages
+
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
@@ -319,8 +325,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
                 rng = np.random.default_rng(abs(h))
                 own = blocks(page.as_py())[:SAMPLE_BLOCKS]
                 labels = [not _asides(b.path) for b in own]
-                other, others = varied(own, rng)
-                kinds = [(own, labels), (other, others), varied(own, rng), (nameless(own, rng), labels)]
+                kinds = [(own, labels), *(varied(own, rng) for _ in range(many)), *((nameless(own, rng), labels) for _ in range(many // 2))]
                 if any(labels):  # a page of one paragraph
                     one = int(rng.choice(np.flatnonzero(labels)))
                     kinds.append(([Block(own[one].path[-1:], own[one].text * int(rng.integers(1, 4)))], [True]))
