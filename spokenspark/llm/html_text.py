@@ -20,7 +20,7 @@ from .common import table
 #: Pages and blocks of a page that a labeller is fitted on, at most; every block of every page is labelled.
 SAMPLE, SAMPLE_BLOCKS = 300, 200
 #: Slots of the hashed tag-path and word vectors.
-PATHS, WORDS = 512, 1024
+PATHS, WORDS = 4096, 1024
 
 #: The elements of HTML by how they are read.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "canvas"}
@@ -300,7 +300,7 @@ def nameless(found: list[Block], rng: np.random.Generator) -> list[Block]:
     """A page whose names say nothing and whose parts are plain div and section: words, links, length and places must tell."""
     plain = {t: ["div", "section"][rng.integers(2)] for t in sorted(ASIDE_TAGS | ARTICLE_TAGS)}
     drawn: dict[frozenset[str], frozenset[str]] = {}
-    path = lambda b: tuple((plain.get(t, t), drawn.setdefault(s, frozenset([f"c{rng.integers(1000)}"]) if s else s)) for t, s in b.path)
+    path = lambda b: tuple((plain.get(t, t), drawn.setdefault(s, frozenset([f"c{rng.integers(100)}"]) if s else s)) for t, s in b.path)
     return [Block(path(b), b.text, b.links) for b in found]
 
 
