@@ -17,11 +17,23 @@ UNITS = {
     "kg": ("kilogram", "kilograms"), "g": ("gram", "grams"), "mg": ("milligram", "milligrams"), "km": ("kilometer", "kilometers"), "m": ("meter", "meters"), "cm": ("centimeter", "centimeters"),
     "mm": ("millimeter", "millimeters"), "mi": ("mile", "miles"), "ft": ("foot", "feet"), "lb": ("pound", "pounds"), "oz": ("ounce", "ounces"), "l": ("liter", "liters"), "ml": ("milliliter", "milliliters"),
     "s": ("second", "seconds"), "min": ("minute", "minutes"), "h": ("hour", "hours"), "mph": ("mile per hour", "miles per hour"), "GB": ("gigabyte", "gigabytes"), "MB": ("megabyte", "megabytes"),
+    "KB": ("kilobyte", "kilobytes"), "TB": ("terabyte", "terabytes"), "yd": ("yard", "yards"), "gal": ("gallon", "gallons"), "ha": ("hectare", "hectares"), "ms": ("millisecond", "milliseconds"),
+    "Hz": ("hertz", "hertz"), "kHz": ("kilohertz", "kilohertz"), "MHz": ("megahertz", "megahertz"), "GHz": ("gigahertz", "gigahertz"), "kW": ("kilowatt", "kilowatts"), "MW": ("megawatt", "megawatts"),
+    "kWh": ("kilowatt-hour", "kilowatt-hours"), "kPa": ("kilopascal", "kilopascals"), "psi": ("pound per square inch", "pounds per square inch"), "kcal": ("kilocalorie", "kilocalories"),
+    "km/h": ("kilometer per hour", "kilometers per hour"), "m/s": ("meter per second", "meters per second"), "°C": ("degree Celsius", "degrees Celsius"), "°F": ("degree Fahrenheit", "degrees Fahrenheit"),
+    "m²": ("square meter", "square meters"), "km²": ("square kilometer", "square kilometers"), "m³": ("cubic meter", "cubic meters"), "sq ft": ("square foot", "square feet"), "sq mi": ("square mile", "square miles"),
 }
 #: Currencies by their sign: major and minor unit, one and several.
 CURRENCIES = {
     "$": ("dollar", "dollars", "cent", "cents"), "€": ("euro", "euros", "cent", "cents"), "£": ("pound", "pounds", "penny", "pence"), "¥": ("yen", "yen", "", ""),
+    "USD": ("dollar", "dollars", "cent", "cents"), "EUR": ("euro", "euros", "cent", "cents"), "GBP": ("pound", "pounds", "penny", "pence"), "JPY": ("yen", "yen", "", ""), "CNY": ("yuan", "yuan", "fen", "fen"),
+    "INR": ("rupee", "rupees", "paisa", "paise"), "CAD": ("Canadian dollar", "Canadian dollars", "cent", "cents"), "AUD": ("Australian dollar", "Australian dollars", "cent", "cents"), "KRW": ("won", "won", "", ""), "RUB": ("ruble", "rubles", "kopeck", "kopecks"),
 }
+#: Currency names in texts, one and several.
+CURRENCY_NAMES = ["dollar", "dollars", "euro", "euros", "pound", "pounds", "yen", "yuan", "rupee", "rupees", "won", "ruble", "rubles"]
+#: Letters of compact numbers, and the values of signs for fractions.
+COMPACT = {"K": "thousand", "M": "million", "B": "billion", "T": "trillion"}
+VULGAR = {"½": "1/2", "⅓": "1/3", "⅔": "2/3", "¼": "1/4", "¾": "3/4", "⅕": "1/5", "⅖": "2/5", "⅗": "3/5", "⅘": "4/5", "⅙": "1/6", "⅚": "5/6", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8"}
 
 
 def _pick(words: list[str], i: Column) -> Column:
@@ -170,3 +182,72 @@ def scientific(text: Column) -> Column:
     found = lambda i: F.regexp_extract(plain, r"\A(-?[0-9]+(?:\.[0-9]+)?)\s*(?:[eE]|[×x]\s*10\^?)([+-]?[0-9]+)\z", i)
     power = found(2).cast("long")
     return F.concat(decimal(found(1)), F.lit(" times ten to the "), F.when(power < 0, "minus ").otherwise(""), ordinal(F.abs(power)))
+
+
+def _lookup(words: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), key)
+
+
+def compact(text: Column) -> Column:
+    """3.5 million and 3.5M are three point five million."""
+    word, letter = F.regexp_extract(text, r"([a-z]+)\z", 1), F.regexp_extract(text, r"([A-Z])\z", 1)
+    return F.concat_ws(" ", decimal(F.regexp_replace(text, r"[^0-9.,-]", "")), F.when(word != "", word).otherwise(_lookup(COMPACT, letter)))
+
+
+def compact_money(text: Column) -> Column:
+    """$3.5 million is three point five million dollars."""
+    names = _lookup({k: v[1] for k, v in CURRENCIES.items()}, F.substring(text, 1, 1))
+    return F.concat_ws(" ", compact(F.regexp_replace(text, r"\A[$€£¥]\s?", "")), names)
+
+
+def named_money(text: Column) -> Column:
+    """USD 12.50 and 12.50 USD are twelve dollars and fifty cents; 5 euros is five euros."""
+    code = F.regexp_extract(text, r"([A-Z]{3})", 1)
+    amount = F.regexp_replace(text, r"[^0-9.-]", "")
+    return F.when(code != "", money(amount.cast("decimal(24,4)"), code)).otherwise(F.concat_ws(" ", decimal(amount), F.regexp_extract(text, r"([a-z]+)\z", 1)))
+
+
+def mixed_fraction(text: Column) -> Column:
+    """1 1/2 and 1½ are one and a half, 2 3/4 two and three quarters, ½ one half."""
+    signs = "".join(VULGAR)
+    of = lambda written, i: F.translate(F.regexp_extract(text, written, 1), signs, "".join(v.split("/")[i] for v in VULGAR.values())).cast("long")
+    whole = F.regexp_extract(text, rf"\A([0-9]+)(?: [0-9]| ?[{signs}])", 1)
+    half = F.when((whole != "") & text.rlike(" 1/[24]$|[½¼]$"), F.when(text.rlike("[2½]$"), "a half").otherwise("a quarter"))
+    return F.concat_ws(" and ", F.when(whole != "", cardinal(whole.cast("long"))), F.coalesce(half, fraction(of(rf"([0-9]+(?=/)|[{signs}])", 0), of(rf"((?<=/)[0-9]+|[{signs}])", 1))))
+
+
+def duration(text: Column) -> Column:
+    """31:18.85 is thirty-one minutes eighteen point eight five seconds, 1:02:03 one hour two minutes three seconds."""
+    fields = F.split(text, ":")
+    hours, minutes, seconds = F.when(F.size(fields) == 3, F.get(fields, F.lit(0)).cast("long")), F.get(fields, F.size(fields) - 2).cast("long"), F.get(fields, F.size(fields) - 1)
+    count = lambda n, name: F.concat(cardinal(n), F.when(n == 1, F.lit(f" {name}")).otherwise(f" {name}s"))
+    short = F.regexp_replace(seconds, r"\A0([0-9])", "$1")
+    return F.concat_ws(" ", count(hours, "hour"), count(minutes, "minute"), F.concat(decimal(short), F.when(short == "1", " second").otherwise(" seconds")))
+
+
+def mixed_measure(text: Column) -> Column:
+    """5'10" is five feet ten inches, 3 lb 4 oz three pounds four ounces."""
+    first, second = F.regexp_extract(text, r"\A([0-9]+)", 1).cast("long"), F.regexp_extract(text, r"[^0-9.]([0-9]+)[^0-9]*\z", 1).cast("long")
+    pounds = text.contains("lb")
+    big = F.when(pounds, F.when(first == 1, "pound").otherwise("pounds")).otherwise(F.when(first == 1, "foot").otherwise("feet"))
+    small = F.when(pounds, F.when(second == 1, "ounce").otherwise("ounces")).otherwise(F.when(second == 1, "inch").otherwise("inches"))
+    return F.concat_ws(" ", cardinal(first), big, cardinal(second), small)
+
+
+def short_year(n: Column) -> Column:
+    """Two digits of a year: 94 is ninety-four, 07 o seven, 00 o o."""
+    n = n.cast("int")
+    return F.when(n == 0, "o o").when(n < 10, F.concat(F.lit("o "), cardinal(n))).otherwise(cardinal(n))
+
+
+def numeric_date(text: Column) -> Column:
+    """Month, day and year: 3/4/2021 is march fourth twenty twenty-one, 3/4/07 march fourth o seven."""
+    of = lambda i: F.get(F.split(text, "/"), F.lit(i)).cast("int")
+    y = F.when(F.length(F.get(F.split(text, "/"), F.lit(2))) == 2, short_year(of(2))).otherwise(year(of(2)))
+    return F.concat_ws(" ", date(F.lit(None).cast("int"), of(0), of(1)), y)
+
+
+def quarter(text: Column) -> Column:
+    """Q3 2021 is third quarter twenty twenty-one."""
+    y = F.nullif(F.regexp_extract(text, r"([0-9]{4})\z", 1), F.lit("")).cast("int")
+    return F.concat_ws(" ", ordinal(F.regexp_extract(text, r"\AQ([1-4])", 1).cast("int")), F.lit("quarter"), F.when(y.isNotNull(), year(y)))

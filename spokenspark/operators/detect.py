@@ -17,6 +17,13 @@ from ..functions.text import isbn_valid
 _MONTH = "(?:" + "|".join(m + (f"|{m[:3]}\\.?" if len(m) > 4 else "") for m in spellout.MONTHS) + ")"
 _UNIT = "(?:" + "|".join(sorted(spellout.UNITS, key=len, reverse=True)) + ")"
 _AMOUNT = r"-?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
+_SCALE = "(?:thousand|million|billion|trillion)"
+_VULGAR = "[" + "".join(spellout.VULGAR) + "]"
+_ISO = "(?:" + "|".join(k for k in spellout.CURRENCIES if len(k) == 3) + ")"
+_NAME = "(?:" + "|".join(sorted(spellout.CURRENCY_NAMES, key=len, reverse=True)) + ")"
+#: Time zones after a clock time.
+_ZONE = "(?:UTC|GMT|EST|EDT|ET|CST|CDT|CT|MST|MDT|MT|PST|PDT|PT)"
+_CLOCK = "(?:[01]?[0-9]|2[0-3]):[0-5][0-9]"
 #: Abbreviations and what they say.
 ABBREVIATIONS = {
     "Dr.": "doctor", "Mr.": "mister", "Mrs.": "missus", "Ms.": "miz", "Prof.": "professor", "St.": "saint", "Jr.": "junior", "Sr.": "senior", "vs.": "versus", "etc.": "et cetera",
@@ -48,18 +55,35 @@ FAMILIES = [
     Family("version:dotted", r"(?<![\w.])[vV][0-9]+(?:\.[0-9]+){2,}(?![\w.]\w)"),
     Family("number:dotted-run", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w.]*\w)"),
     Family("number:scientific", r"(?<![\w.])[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+|\s?[×x]\s?10\^[+-]?[0-9]+)(?!\w)"),
+    Family("number:scientific", r"(?<![\w.])[0-9]+(?:\.[0-9]+)?\s?[×x]\s?10⁻?[⁰¹²³⁴⁵⁶⁷⁸⁹]+"),
+    Family("number:currency:compact", rf"(?<!\w)[$€£¥]\s?{_AMOUNT}\s?(?:{_SCALE}\b|[KMBT](?!\w))"),
+    Family("number:currency:name", rf"(?<![\w.,-])(?:{_AMOUNT} (?:{_ISO}|{_NAME})|{_ISO} {_AMOUNT})(?!\w)"),
+    Family("number:compact", rf"(?<![\w.,$€£¥-]){_AMOUNT}(?:\s?{_SCALE}\b|[KMBT](?!\w))"),
     Family("number:currency", rf"(?<!\w)[$€£¥]\s?{_AMOUNT}(?!\w)"),
     Family("number:percent", rf"(?<![\w.]){_AMOUNT}\s?%"),
     Family("date:flexible", r"(?<![\w/-])[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![\w-])"),
+    Family("date:numeric", r"(?<![\w/.-])(?:0?[1-9]|1[0-2])/(?:0?[1-9]|[12][0-9]|3[01])/(?:[0-9]{4}|[0-9]{2})(?![\w/]|\.[0-9])"),
+    Family("date:quarter", r"(?<![\w-])Q[1-4](?: [12][0-9]{3})?(?![\w-])"),
     Family("date:text-flexible", rf"\b{_MONTH} [0-9]{{1,2}}(?:st|nd|rd|th)?(?:,? [0-9]{{4}})?\b"),
     Family("date:text-flexible", rf"\b[0-9]{{1,2}}(?:st|nd|rd|th)? {_MONTH}(?: [0-9]{{4}})?\b"),
     Family("date:era", r"\b[0-9]{1,4} ?(?:BCE?|CE|AD|B\.C\.(?:E\.)?|C\.E\.|A\.D\.)(?![\p{L}\p{Nd}])"),
     Family("date:era", r"\b(?:AD|A\.D\.) ?[0-9]{1,4}\b(?![.,][0-9])"),
     Family("date:elided", r"(?<![\p{L}\p{Nd}'])'[0-9]{2}(?![\p{L}\p{Nd}])"),
+    Family("time:flexible", rf"(?<![\w:.]){_CLOCK}(?:\s?[aApP]\.?[mM]\b\.?)?\s{_ZONE}(?!\w)"),
+    Family("measure:duration:numeric", r"(?<![\w:.])(?:[0-9]{1,2}:[0-5][0-9]:[0-5][0-9]|[0-9]{1,3}:[0-5][0-9]\.[0-9]{1,3})(?![\w:])"),
+    Family("range:time", rf"(?<![\w:.–-]){_CLOCK}\s?[–-]\s?{_CLOCK}(?![\w:])"),
+    Family("range:year", r"(?<![\w.,/–-])(?:1[0-9]|20)[0-9]{2}[–-](?:1[0-9]|20)[0-9]{2}(?![\w/–-]|[.,][0-9])"),
+    Family("range:percent", r"(?<![\w.–-])[0-9]+\s?[–-]\s?[0-9]+\s?%"),
+    Family("range:measure", rf"(?<![\w.–-])[0-9]+\s?[–-]\s?[0-9]+\s?{_UNIT}(?!\w)"),
+    Family("range:ratio", r"(?<![\w:.])[0-9]{1,4}:[0-9](?![\w:]|\.[0-9])"),
     Family("time:flexible", r"(?<![\w:.])(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?:\s?[aApP]\.?[mM]\b\.?)?(?![\w:])"),
     Family("time:spaced-colon", r"(?<![\w:.])(?:[01]?[0-9]|2[0-3]): [0-5][0-9](?![\w:])"),
     Family("range:dimension", r"(?<![\w.])[0-9]+\s?[x×]\s?[0-9]+(?![\w.]\w)"),
     Family("range:dash", r"(?<![\w.–-])[0-9]+\s?[–-]\s?[0-9]+(?![\w–-])"),
+    Family("fraction:mixed", rf"(?<![\w/.,])[0-9]{{1,9}} [1-9][0-9]?/[1-9][0-9]{{0,2}}(?![\w/])"),
+    Family("fraction:mixed", rf"(?<![\w/.,])(?:[0-9]{{1,9}} ?)?{_VULGAR}", False),
+    Family("measure:foot-and-inch", r"(?<![\w.'])[0-9]{1,2}' ?(?:1[01]|[0-9])\"(?!\w)"),
+    Family("measure:pound-and-ounce", r"(?<![\w.])[0-9]+ ?lbs? [0-9]{1,2} ?oz(?!\w)"),
     Family("fraction:flexible", r"(?<![\w/.])[1-9][0-9]{0,3}/[1-9][0-9]{0,3}(?![\w/])"),
     Family("ordinal:flexible", r"(?<![\w.])[0-9]+(?:st|nd|rd|th)\b"),
     Family("number:plural", r"(?<![\w.'])[0-9]+'?s\b"),
@@ -67,6 +91,8 @@ FAMILIES = [
     Family("date:y", r"(?<![\w.,/-])(?:1[0-9]|20)[0-9]{2}(?![\w/-]|[.,][0-9])"),
     Family("number:decimal", r"(?<![\w.,-])-?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,18})?\.[0-9]+(?![\w]|\.[0-9])"),
     Family("number:cardinal", r"(?<![\w.,-])-?(?:[0-9]{1,3}(?:,[0-9]{3}){1,5}|[0-9]{1,18})(?!\w|[.,][0-9])"),
+    Family("number:cardinal:citation", r"(?<![\w.,])[0-9]{1,18} U\. ?S\.(?= [0-9])"),
+    Family("number:digits:spaced", r"(?<![\w.,:/-])[0-9](?: [0-9])+(?![\w.,:/-])"),
     Family("number:digits", r"(?<![\w.,-])[0-9]{19,}(?![\w])"),
     Family("identifier:serial", r"(?<![\w-])[A-Z]{1,4}-[0-9]+(?:-[A-Z0-9]+)*(?![\w-])"),
     Family("alnum:runs", r"(?<!\w)(?:[A-Za-z]+[0-9]+|[0-9]+[A-Za-z]+)[A-Za-z0-9]*(?!\w)"),
@@ -79,7 +105,7 @@ FAMILIES = [
 ]
 
 #: What every match of a family without digits holds.
-_SIGN = r"\p{Lu}[\p{Lu}.]|[@#" + "".join(SYMBOLS) + r"]|\.[^\s]|\.\s*\S|://|(?i:www|chapter|volume|act|part|bowl|king|louis|henry|charles) ?[IVXLCDM.]"
+_SIGN = r"\p{Lu}[\p{Lu}.]|[@#" + "".join(SYMBOLS) + r"]|[" + "".join(spellout.VULGAR) + r"]|\.[^\s]|\.\s*\S|://|(?i:www|chapter|volume|act|part|bowl|king|louis|henry|charles) ?[IVXLCDM.]"
 READING = "array<struct<start:int,end:int,rank:int,type:string,surface:string>>"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spellout as say
@@ -191,6 +191,72 @@ def resolve_islands(spark, sf_dir):
     return resolve.islands(spans, ["k"]).groupBy("k").agg(F.max("island").alias("islands"))
 
 
+def _recognized(rows: DataFrame, *written: Column) -> DataFrame:
+    """Each different written form inside a sentence, with the one reading chosen there, its place and words, and the number of rows."""
+    forms = rows.select(F.explode(F.array(*written)).alias("written")).groupBy("written").agg(F.count("*").alias("n"))
+    forms = forms.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work for each
+    said = units(forms.select(F.struct("written", "n").alias("k"), F.concat(F.lit("with "), F.col("written"), F.lit(" today")).alias("text")), "k")
+    return said.select("k.written", "k.n", "start", "end", "type", "spoken")
+
+
+def _recognized_sql(forms: str) -> str:
+    """forms: rows (written, type, spoken, c)."""
+    return f"""SELECT written, CAST(sum(c) AS BIGINT) AS n, 5 AS start, CAST(5 + length(written) AS INTEGER) AS "end", type, spoken FROM ({forms}) GROUP BY written, type, spoken"""
+
+
+def _years_sql(source: str) -> str:
+    """A table yr(y, w) of years; words must hold them, their hundreds and the rest."""
+    return f"yr AS (SELECT d.y, {_YEAR} AS w FROM ({source}) AS d JOIN words AS yw ON yw.n = y JOIN words AS hw ON hw.n = y // 100 JOIN words AS lw ON lw.n = y % 100)"
+
+
+@query(f"""WITH d AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, {_CENTS.format('o_totalprice')} AS c FROM orders),
+{_cardinal_sql('SELECT y AS n FROM d UNION ALL SELECT y // 100 FROM d UNION ALL SELECT y % 100 FROM d UNION ALL SELECT d FROM d UNION ALL SELECT m FROM d UNION ALL SELECT c // 100 FROM d UNION ALL SELECT c % 100 FROM d')},
+{_years_sql('SELECT DISTINCT y FROM d')}
+""" + _recognized_sql(f"""SELECT m || '/' || d || '/' || d.y AS written, 'date:numeric' AS type, ([{_MONTHS}])[m] || ' ' || {_ordinal_sql('dw.w')} || ' ' || yr.w AS spoken, 1 AS c FROM d JOIN yr ON yr.y = d.y JOIN words AS dw ON dw.n = d
+UNION ALL SELECT 'Q' || (m + 2) // 3 || ' ' || d.y, 'date:quarter', (['first', 'second', 'third', 'fourth'])[(m + 2) // 3] || ' quarter ' || yr.w, 1 FROM d JOIN yr ON yr.y = d.y
+UNION ALL SELECT CAST(CAST(c / 100 AS DECIMAL(20, 2)) AS VARCHAR) || ' EUR', 'number:currency:name',
+  concat_ws(' and ', CASE WHEN a.n > 0 OR b.n = 0 THEN a.w || CASE WHEN a.n = 1 THEN ' euro' ELSE ' euros' END END, CASE WHEN b.n > 0 THEN b.w || CASE WHEN b.n = 1 THEN ' cent' ELSE ' cents' END END), 1
+  FROM d JOIN words AS a ON a.n = c // 100 JOIN words AS b ON b.n = c % 100"""))
+def normalize_order_forms(spark, sf_dir):
+    """Numeric dates, quarters and prices with a currency code."""
+    day = F.col("o_orderdate")
+    return _recognized(
+        read_table(spark, sf_dir, "orders"), F.concat_ws("/", F.month(day), F.dayofmonth(day), F.year(day)), F.concat(F.lit("Q"), F.quarter(day), F.lit(" "), F.year(day)),
+        F.concat(F.col("o_totalprice").cast("decimal(20,2)"), F.lit(" EUR")),
+    )
+
+
+@query(f"""WITH l AS (SELECT CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS k, year(l_shipdate) AS y, year(l_shipdate) + 1 AS z, count(*) AS c FROM lineitem GROUP BY ALL),
+years AS (SELECT y FROM l UNION SELECT z FROM l),
+{_cardinal_sql('SELECT q AS n FROM l UNION ALL SELECT k FROM l UNION ALL SELECT y FROM years UNION ALL SELECT y // 100 FROM years UNION ALL SELECT y % 100 FROM years')},
+{_years_sql('SELECT y FROM years')},
+both_ AS (SELECT q, k, a.w AS qw, b.w AS kw, c FROM l JOIN words AS a ON a.n = q JOIN words AS b ON b.n = k)
+""" + _recognized_sql("""SELECT q || ' million' AS written, 'number:compact' AS type, qw || ' million' AS spoken, c FROM both_
+UNION ALL SELECT q || ' ' || k || '/9', 'fraction:mixed', qw || ' and ' || kw || CASE WHEN k = 1 THEN ' ninth' ELSE ' ninths' END, c FROM both_
+UNION ALL SELECT q || ':' || k, 'range:ratio', qw || ' to ' || kw, c FROM both_
+UNION ALL SELECT k || '–' || q || ' km', 'range:measure', kw || ' to ' || qw || CASE WHEN q = 1 THEN ' kilometer' ELSE ' kilometers' END, c FROM both_
+UNION ALL SELECT k || '-' || q || '%', 'range:percent', kw || ' to ' || qw || ' percent', c FROM both_
+UNION ALL SELECT q || chr(39) || k || '"', 'measure:foot-and-inch', qw || CASE WHEN q = 1 THEN ' foot ' ELSE ' feet ' END || kw || CASE WHEN k = 1 THEN ' inch' ELSE ' inches' END, c FROM both_
+UNION ALL SELECT l.y || '–' || l.z, 'range:year', u.w || ' to ' || v.w, c FROM l JOIN yr AS u ON u.y = l.y JOIN yr AS v ON v.y = l.z"""))
+def normalize_line_forms(spark, sf_dir):
+    """Compact numbers, mixed fractions, ratios, ranges of measures, percentages and years, feet and inches."""
+    q, k = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string")
+    form = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return _recognized(
+        read_table(spark, sf_dir, "lineitem"), form(q, " million"), form(q, " ", k, "/9"), form(q, ":", k), form(k, "–", q, " km"), form(k, "-", q, "%"), form(q, "'", k, '"'),
+        form(F.year("l_shipdate"), "–", F.year("l_shipdate") + 1),
+    )
+
+
+@query(f"""WITH t AS (SELECT hour(ts) AS h, minute(ts) AS m, second(ts) AS s, count(*) AS c FROM events WHERE ts IS NOT NULL GROUP BY ALL), {_cardinal_sql('SELECT h AS n FROM t UNION ALL SELECT m FROM t UNION ALL SELECT s FROM t')}
+""" + _recognized_sql("""SELECT h || ':' || lpad(CAST(m AS VARCHAR), 2, '0') || ':' || lpad(CAST(s AS VARCHAR), 2, '0') AS written, 'measure:duration:numeric' AS type, x.w || CASE WHEN h = 1 THEN ' hour ' ELSE ' hours ' END || y.w || CASE WHEN m = 1 THEN ' minute ' ELSE ' minutes ' END || z.w || CASE WHEN s = 1 THEN ' second' ELSE ' seconds' END AS spoken, c
+  FROM t JOIN words AS x ON x.n = h JOIN words AS y ON y.n = m JOIN words AS z ON z.n = s"""))
+def normalize_event_forms(spark, sf_dir):
+    """Hours, minutes and seconds as durations."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return _recognized(read_table(spark, sf_dir, "events").where("ts IS NOT NULL"), F.concat_ws(":", F.hour("ts"), two(F.minute("ts")), two(F.second("ts"))))
+
+
 @query()
 def normalize_documents(spark, sf_dir):
     """Every sentence of every document with its spoken form."""
