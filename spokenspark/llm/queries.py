@@ -11,11 +11,13 @@ from .html_text import op5_html_text
 from .language_id import op2_language_id
 from .lm_scoring import op7_lm_scoring
 from .packing import op10_best_fit_packing
+from .periodic_runs import op11_periodic_runs
 from .secrets import OP3_SQL, op3_secret_scan
 from .simhash import op8_simhash
 from .substring_dedup import op6_substring_dedup
 from .syncmers import op4_fingerprints
 from .url_filters import OP1_SQL, op1_url_filters
+from .whitening import op13_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
