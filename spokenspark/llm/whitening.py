@@ -202,7 +202,7 @@ def whiten(vectors: DataFrame, model: Whitening, vector: str = "embedding") -> D
             ends = np.arange(len(w) + 1, dtype=np.int32) * w.shape[1]
             yield pa.RecordBatch.from_arrays([*batch.columns, spread, pa.ListArray.from_arrays(pa.array(ends), pa.array(w.ravel()))], [*batch.schema.names, "deviation", "whitened"])
 
-    schema = rows.withColumns({"deviation": F.lit(0).cast("long"), "whitened": F.array().cast("array<double>")}).schema
+    schema = rows.withColumns({"deviation": F.lit(None).cast("long"), "whitened": F.lit(None).cast("array<double>")}).schema
     return rows.mapInArrow(run, schema)
 
 
