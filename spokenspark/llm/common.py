@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -103,3 +103,35 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = sign
     return now.selectExpr("a AS node", "b AS root")  # stars now: every node but the root itself has one edge
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running_sums(numbers: Column, block: int = 64) -> Column:
+    """The sums of an array of ints (of one at least) up to each place. Blocks are summed first and shifted after, so that no
+    growing array is copied for every place."""
+    last = lambda a: F.get(a, F.size(a) - 1)
+    none = F.array().cast("array<int>")
+    sums = lambda a: F.aggregate(a, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(last(acc), F.lit(0)) + x)))
+
+    def of(parts: Column) -> Column:
+        ends = sums(F.transform(parts, last))
+        return bound(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(bound(F.get(e, i - 1), lambda at: F.transform(p, lambda x: x + at))))))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int")), lambda k: sums(F.slice(numbers, k * block + 1, F.lit(block))))
+    return bound(cut, of)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """start, end (code points, end exclusive) and hit of a pattern's matches in text, in order; linear in the matches but for
+    one number for each 64 of them."""
+
+    def of(x: Column) -> Column:
+        sizes = F.zip_with(x["gaps"], x["hits"], lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
+        ends = F.slice(running_sums(sizes), F.lit(1), F.size(x["hits"]))
+        return F.zip_with(ends, x["hits"], lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit")))
+
+    return bound(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), of)

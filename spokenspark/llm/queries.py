@@ -12,6 +12,7 @@ from .language_id import op2_language_id
 from .lm_scoring import op7_lm_scoring
 from .packing import op10_best_fit_packing
 from .periodic_runs import op11_periodic_runs
+from .personal_data import OP12_SQL, op12_personal_data
 from .secrets import OP3_SQL, op3_secret_scan
 from .simhash import op8_simhash
 from .substring_dedup import op6_substring_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_personal_data": op12_personal_data,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
@@ -38,4 +40,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": OP1_SQL,
     "op3_secret_scan": OP3_SQL,
     "op9_decontamination": OP9_SQL,
+    "op12_personal_data": OP12_SQL,
 }
