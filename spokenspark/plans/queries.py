@@ -469,3 +469,6 @@ def four_digit_forms(spark, sf_dir):
     """The forms of bare four-digit tokens (year, number, digits), ranked by how tokens of their century are read."""
     tokens = read_table(spark, sf_dir, "lineitem").where("l_orderkey BETWEEN 1000 AND 9999").select(F.col("l_orderkey").cast("string").alias("written")).distinct()
     return choices.four_digit_forms(tokens, priors.century_priors(_rows(spark, sf_dir)))
+
+
+from . import forms  # noqa: E402, F401  its queries register themselves here
