@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +47,27 @@ def folded(text: Column) -> Column:
     return F.when(plain.rlike("[0-9][Ａ-Ｚａ-ｚ]"), units).otherwise(plain)
 
 
+def _folding() -> tuple[list[tuple[regex.Pattern, str]], list[tuple[regex.Pattern, str]]]:
+    signs = [(regex.compile(rf"(?<=[0-9]){w}(?=[0-9])"), n) for w, n in (("．", "."), ("，", ","))]
+    signs += [(regex.compile(rf"(?<=[0-9]){w}|{w}(?=[0-9])"), n) for w, n in (("％", "%"), ("＋", "+"), ("－", "-"))]
+    wide = {ord(v): k for k, v in WIDE.items()}
+    return signs, [(regex.compile(rf"(?<=[0-9]){u.translate(wide)}(?![\p{{L}}\p{{Nd}}])"), u) for u in sorted(UNITS, key=len, reverse=True)]
+
+
+_SIGNS, _WIDE_UNITS = _folding()
+
+
+def fold_text(text: str) -> str:
+    """What folded() gives, of a text in Python, for streams."""
+    plain = text.translate({ord(k): v for k, v in FOLDS.items()})
+    for pattern, sign in _SIGNS:
+        plain = pattern.sub(sign, plain)
+    if regex.search("[0-9][Ａ-Ｚａ-ｚ]", plain):
+        for pattern, unit in _WIDE_UNITS:
+            plain = pattern.sub(unit, plain)
+    return plain
+
+
 def shape(text: Column) -> Column:
     """Runs of letters as A, digits as N, currency signs as ¤; one upper-case letter alone as <Lu>."""
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "A"), r"\p{Nd}+", "N"), r"\p{Sc}+", "¤")

@@ -135,24 +135,3 @@ def candidates(text: Column, families: list[Family] | None = None) -> Column:
     of = lambda digit: [F.when(text.rlike(f.pattern), spans(text, f, i)).otherwise(none) for i, f in enumerate(families) if f.digit == digit]
     found = [F.when(text.rlike(sign), F.concat(*own)).otherwise(none) for sign, own in ((_SIGN, of(False)), ("[0-9]", of(True))) if own]
     return F.array_sort(F.concat(*found)) if found else none
-
-
-#: Where sentences are cut: after a full stop, question or exclamation mark before white space and a capital, and at blank lines,
-#: but not after an initial or a known abbreviation. Streams cut by the same expression.
-CUT = (
-    r"(?<=[.!?…])" + "".join(rf"(?<!\b{a.replace('.', chr(92) + '.')})" for a in ABBREVIATIONS) + r"(?<!\b\p{Lu}\.)\s+(?=[\p{Lu}\"'“(0-9])|\n\s*\n"
-)
-
-
-def sentences(text: Column) -> Column:
-    """start, end and text of the sentences between the cuts of CUT; blank ones are left out."""
-    gaps, parts = F.regexp_extract_all(text, F.lit(CUT), F.lit(0)), F.split(text, CUT, -1)
-    pairs = F.arrays_zip(parts.alias("part"), F.transform(gaps, F.length).alias("gap"))
-    kind = "array<struct<start:int,end:int,sent:string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["part"])
-        one = F.struct(acc["at"].alias("start"), end.alias("end"), x["part"].alias("sent"))
-        return F.struct((end + F.coalesce(x["gap"], F.lit(0))).alias("at"), F.when(F.trim(x["part"]) != "", F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])

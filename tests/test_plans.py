@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spokenspark.operators import detect
+from spokenspark.operators.sentences import sentences
 from spokenspark.plans import evaluate, priors
 from spokenspark.plans import queries as plans
 from spokenspark.sources.tables import expected, read_labelled
@@ -68,7 +68,7 @@ STREAM = "One is 1. Two are 22! And three.  Dr. Smith came at 5 p.m. today. J. D
 
 def test_settle_equals_tables(spark):
     """Every chunking in two and each one of a fixed size gives the sentences that a table gives."""
-    table = [(r.start, r.sent) for r in spark.createDataFrame([(STREAM,)], "t string").select(F.explode(detect.sentences(F.col("t"))).alias("s")).select("s.start", "s.sent").collect()]
+    table = [(r.start, r.sent) for r in spark.createDataFrame([(STREAM,)], "t string").select(F.explode(sentences(F.col("t"))).alias("s")).select("s.start", "s.sent").collect()]
     assert len(table) == 8
     for cuts in [[k] for k in range(len(STREAM))] + [list(range(n, len(STREAM), n)) for n in (1, 2, 3, 7)]:
         found, pending, at, before = [], "", 0, 0
@@ -83,10 +83,10 @@ def test_stream_equals_batch(spark, tmp_path):
     text = STREAM
     for i, k in enumerate(range(0, len(text), 9)):
         spark.createDataFrame([(7, i, text[k : k + 9])], "stream_id long, seq long, text string").coalesce(1).write.mode("append").parquet(str(folder))
-    spark.createDataFrame([(7, 99, None)], "stream_id long, seq long, text string").coalesce(1).write.mode("append").parquet(str(folder))
+    spark.createDataFrame([(7, i + 1, None)], "stream_id long, seq long, text string").coalesce(1).write.mode("append").parquet(str(folder))
     chunks = spark.readStream.schema("stream_id long, seq long, text string").option("maxFilesPerTrigger", 1).parquet(str(folder))
     q = settled_sentences(chunks).writeStream.outputMode("append").format("memory").queryName("settled").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
     got = sorted((r.start, r.sent) for r in spark.table("settled").collect())
-    assert got == [tuple(x) for x in spark.createDataFrame([(text,)], "t string").select(F.explode(detect.sentences(F.col("t"))).alias("s")).select("s.start", "s.sent").collect()]
+    assert got == [tuple(x) for x in spark.createDataFrame([(text,)], "t string").select(F.explode(sentences(F.col("t"))).alias("s")).select("s.start", "s.sent").collect()]
