@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spellout as say
 from ..functions import text as tf
-from ..operators import compose, electronic, resolve
+from ..operators import compose, electronic, resolve, sentences
 from ..operators.detect import READING
 from ..sources.tables import read_table
 from .priors import STRENGTH
@@ -98,3 +98,33 @@ def cover_ranks(spark, sf_dir):
         "k", (F.col("at") + 1).cast("long").alias("rank"), F.col("c.covered").cast("long").alias("covered"), (-F.col("c.fewer")).cast("long").alias("spans"), chain.alias("chain"), F.col("n_covers").cast("long").alias("n_covers"),
         F.col("margin.covered").cast("long").alias("margin_covered"), F.col("margin.spans").cast("long").alias("margin_spans"), "truncated",
     )
+
+
+#: Code points of a sentence in the query, so that some are longer.
+LONGEST = 400
+_WS = r"[\t\n\v\f\r ]"
+_GAP_SQL = rf"[.!?…]{_WS}+[\p{{Lu}}\x22\x27“(0-9]|\n{_WS}*\n"
+_BEFORE = r"(?:^|[^\p{L}\p{Nd}_])"
+_DOTTED_SQL = "|".join(w.replace(".", r"\.") for w in sentences.EXCEPTIONS)
+_MONTH_SQL = "|".join([m[:3] for m in say.MONTHS] + ["Sept"])
+
+
+@query(rf"""WITH d AS (SELECT 'd:' || doc_id AS id, text AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'c:' || conv_id || ':' || turn, text FROM conversations WHERE text IS NOT NULL),
+hits AS (SELECT id, t, unnest(h) AS h, unnest(g[1:len(h)]) AS g, generate_subscripts(h, 1) AS i FROM (SELECT id, t, regexp_extract_all(t, '{_GAP_SQL}') AS h, string_split_regex(t, '{_GAP_SQL}') AS g FROM d)),
+ends AS (SELECT *, CAST(sum(length(g) + length(h)) OVER (PARTITION BY id ORDER BY i) AS BIGINT) AS e FROM hits),
+found AS (SELECT id, t, h, CASE WHEN h[1] = chr(10) THEN e - length(h) ELSE e - length(h) + 1 END AS s, CASE WHEN h[1] = chr(10) THEN e ELSE e - 1 END AS e FROM ends),
+held AS (SELECT *, substr(t, greatest(s - 31, 1), s - greatest(s - 31, 1) + 1) AS before FROM found),
+free AS (SELECT * FROM held WHERE NOT regexp_matches(before, '{_BEFORE}(?:{_DOTTED_SQL}|\p{{Lu}}\.)$') AND NOT (e = s + 1 AND regexp_matches(substr(t, e + 1, 1), '[0-9]') AND regexp_matches(before, '{_BEFORE}(?:{_MONTH_SQL})\.$'))),
+cuts AS (SELECT id, t, s, e FROM free UNION ALL SELECT id, t, CAST(length(t) AS BIGINT), CAST(length(t) AS BIGINT) FROM d),
+sents AS (SELECT id, a, substr(t, a + 1, s - a) AS x FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY id ORDER BY s, e), 0) AS a FROM cuts) WHERE s > a),
+pieces AS (SELECT id, a, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT id, a, CASE WHEN length(x) > {LONGEST} THEN regexp_extract_all(x, '(?s).{{1,{LONGEST}}}\z|.{{0,{LONGEST - 1}}}{_WS}|.{{1,{LONGEST}}}') ELSE [x] END AS p FROM sents)),
+placed AS (SELECT id, a + sum(length(x)) OVER (PARTITION BY id, a ORDER BY i) - length(x) AS a, regexp_replace(x, '{_WS}+$', '') AS x FROM pieces)
+SELECT id, count(*) AS n, CAST(max(length(x)) AS BIGINT) AS longest, sha256(string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || x, '|' ORDER BY a)) AS sha FROM placed WHERE x <> '' GROUP BY 1""")
+def sentence_spans(spark, sf_dir):
+    """Number, longest and checksum of the sentences of each document and turn: cut around exceptions, initials and dates, and by length."""
+    docs = read_table(spark, sf_dir, "documents").select(F.concat(F.lit("d:"), "doc_id").alias("id"), "text")
+    turns = read_table(spark, sf_dir, "conversations").select(F.concat(F.lit("c:"), "conv_id", F.lit(":"), "turn").alias("id"), "text")
+    found = sentences.sentences(F.col("text"), longest=LONGEST)
+    said = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["sent"])), "|")
+    each = docs.unionAll(turns).select("id", found.alias("s")).where(F.size("s") > 0)
+    return each.select("id", F.size("s").cast("long").alias("n"), F.array_max(F.transform("s", lambda x: F.length(x["sent"]))).cast("long").alias("longest"), F.sha2(said, 256).alias("sha"))
