@@ -13,11 +13,11 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def running(numbers: Column, join: Callable[[Column, Column], Column], block: int = 64) -> Column:
-    """An array of ints with each place joined to all before it. Blocks go first and what came before them is joined after,
+def running(numbers: Column, join: Callable[[Column, Column], Column], block: int = 64, kind: str = "int") -> Column:
+    """An array of ints (or of another kind) with each place joined to all before it. Blocks go first and what came before them is joined after,
     so that no growing array is copied for every place."""
     last = lambda a: F.get(a, F.size(a) - 1)
-    none = F.array().cast("array<int>")
+    none = F.array().cast(f"array<{kind}>")
     within = lambda a: F.aggregate(a, none, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(join(last(acc), x)))))
 
     def shifted(parts: Column) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import spellout as say
 from ..functions import text as tf
-from ..operators import compose, electronic, resolve, sentences
+from ..operators import compose, electronic, filters, resolve, sentences, telephone
 from ..operators.detect import READING
 from ..sources.tables import read_table
+from . import evaluate
 from .priors import STRENGTH
 from .queries import _CV, _LETTER_KEY, _ONES, _YEAR, _cardinal_sql, query  # noqa: F401
 
@@ -128,3 +129,61 @@ def sentence_spans(spark, sf_dir):
     said = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["sent"])), "|")
     each = docs.unionAll(turns).select("id", found.alias("s")).where(F.size("s") > 0)
     return each.select("id", F.size("s").cast("long").alias("n"), F.array_max(F.transform("s", lambda x: F.length(x["sent"]))).cast("long").alias("longest"), F.sha2(said, 256).alias("sha"))
+
+
+@query(f"""WITH s AS (SELECT l_orderkey AS k, l_linenumber AS id, {_SPANS[0]} AS start, {_SPANS[1]} AS "end", CAST(l_quantity AS INTEGER) % 3 AS captures FROM lineitem),
+m AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s AS o WHERE o.k = s.k AND o.start <= s.start AND o."end" >= s."end" AND (o.start <> s.start OR o."end" <> s."end")))
+SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m AS o WHERE o.k = m.k AND o.start = m.start AND o."end" = m."end" AND o.captures > m.captures)""")
+def maximal_lines(spark, sf_dir):
+    """An order's lines as spans: those in no larger span, and of equal ones those with the most captures."""
+    lines = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("id"), F.expr("cast(l_partkey % 40 AS int)").alias("start"), F.expr("cast(l_partkey % 40 + 1 + l_suppkey % 12 AS int)").alias("end"),
+        F.expr("cast(l_quantity AS int) % 3").alias("captures"),
+    )
+    return filters.most_captured(filters.maximal_rows(lines, ["k"]), ["k"], "captures")
+
+
+#: Columns of a plan in both languages: a country's own rule, and one for its numbers that begin with a certain digit.
+_PLAN = """SELECT CAST(10 + n_nationkey AS STRING) AS country, '' AS area, 7 AS least, 9 AS most, n_regionkey AS r FROM nation
+UNION ALL SELECT CAST(10 + n_nationkey AS STRING), CAST(1 + n_nationkey % 9 AS STRING), 8, 8 + n_regionkey % 2, 5 + n_regionkey FROM nation"""
+_NUMBER = "concat(CASE WHEN c_custkey % 7 = 0 THEN '' ELSE '+' END, CAST(10 + c_nationkey + c_custkey % 2 AS STRING), ' ', CAST((c_custkey + 1) * 7919 % 999983 AS STRING), '-', CAST(c_custkey % 1000 AS STRING))"
+
+
+@query(f"""WITH plan AS ({_PLAN.replace('STRING', 'VARCHAR')}), n AS (SELECT DISTINCT {_NUMBER.replace('STRING', 'VARCHAR')} AS number FROM customer),
+d AS (SELECT number, CASE WHEN number[1] = '+' THEN '' ELSE '10' END || regexp_replace(number, '[^0-9]', '', 'g') AS digits FROM n),
+best AS (SELECT d.*, country, area, least, most, r, row_number() OVER (PARTITION BY number ORDER BY length(area) DESC) AS place FROM d LEFT JOIN plan ON starts_with(digits, country || area)),
+v AS (SELECT *, substr(digits, length(country) + 1) AS national FROM best WHERE place = 1),
+o AS (SELECT *, coalesce(length(national) BETWEEN least AND most AND length(digits) <= 15, false) AS valid, 2 + r % 3 AS a, 2 + r % 2 AS b FROM v)
+SELECT number, country, country || area AS prefix, valid, CASE WHEN valid THEN concat_ws('-', nullif(substr(national, 1, a), ''), nullif(substr(national, a + 1, b), ''), nullif(substr(national, a + b + 1), '')) END AS groups FROM o""")
+def planned_telephones(spark, sf_dir):
+    """Numbers made of customers' keys against a plan made of the nations: which prefix counts, whether the length fits, the groups."""
+    nation = read_table(spark, sf_dir, "nation")
+    widths = F.array(2 + F.col("r") % 3, 2 + F.col("r") % 2, F.lit(9))
+    country = (10 + F.col("n_nationkey")).cast("string")
+    whole = nation.select(country.alias("country"), F.lit("").alias("area"), F.lit(7).alias("least"), F.lit(9).alias("most"), F.col("n_regionkey").alias("r"))
+    part = nation.select(country, (1 + F.col("n_nationkey") % 9).cast("string"), F.lit(8), (8 + F.col("n_regionkey") % 2).cast("int"), 5 + F.col("n_regionkey"))
+    plan = whole.unionAll(part).withColumn("widths", widths)
+    numbers = read_table(spark, sf_dir, "customer").select(F.expr(_NUMBER).alias("number"))
+    return telephone.planned(numbers, "number", plan, home="10").select("number", "country", "prefix", "valid", F.array_join("groups", "-").alias("groups"))
+
+
+_MARKS = " + ".join(f"CAST(u >= {m} AS BIGINT)" for m in evaluate._poisson_marks())
+_P = evaluate.PRIME
+
+
+@query(f"""WITH c AS (SELECT o_custkey AS cluster, count(*) FILTER (o_orderpriority LIKE '2%') - count(*) FILTER (o_orderpriority LIKE '1%') AS d, count(*) AS w FROM orders GROUP BY 1),
+a AS (SELECT d, w, r, ((cluster % {_P} + 17) * 48271 % {_P} + r * 69621) % {_P} AS m FROM c, range(1, 201) AS t(r)), u AS (SELECT d, w, r, (m * m + 12345) % {_P} * 16807 % {_P} AS u FROM a),
+s AS (SELECT r, sum(d * ({_MARKS})) / sum(w * ({_MARKS})) AS ratio FROM u GROUP BY 1)
+SELECT round((SELECT sum(d) / sum(w) FROM c), 9) AS delta, round(quantile_cont(ratio, 0.025), 9) AS low, round(quantile_cont(ratio, 0.975), 9) AS high FROM s""")
+def paired_interval(spark, sf_dir):
+    """How much larger the share of high orders is than that of urgent ones, with an interval by clusters of customers."""
+    priority = F.col("o_orderpriority")
+    clusters = read_table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cluster")).agg(F.count_if(priority.startswith("1")).alias("a"), F.count_if(priority.startswith("2")).alias("b"), F.count("*").alias("w"))
+    return evaluate.paired_bootstrap(clusters, "a", "b", "w").select(*[F.round(c, 9).alias(c) for c in ("delta", "low", "high")])
+
+
+@query("""SELECT event_id, event_type, place FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY sha256('17|' || event_id), event_id) AS place FROM events) WHERE place <= 20""")
+def sampled_events(spark, sf_dir):
+    """Twenty events of each type by the hash of their number."""
+    events = read_table(spark, sf_dir, "events").select("event_id", "event_type")
+    return evaluate.sampled(events, ["event_id"], 20, ["event_type"])
