@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import locale_rules
 from ..functions import spellout as say
 from ..functions import text as tf
-from ..operators import compose, electronic, filters, resolve, sentences, telephone
+from ..operators import compose, electronic, filters, locales, resolve, sentences, telephone
 from ..operators.detect import READING
 from ..sources.tables import read_table
 from . import evaluate
 from .priors import STRENGTH
-from .queries import _CV, _LETTER_KEY, _ONES, _YEAR, _cardinal_sql, query  # noqa: F401
+from .queries import _CENTS, _LETTER_KEY, _ONES, _YEAR, _cardinal_sql, _ordinal_sql, query
 
 _DIGIT_WORDS = f"array_to_string(list_transform(regexp_extract_all({{}}, '[0-9]'), lambda d: CASE WHEN d = '0' THEN 'o' ELSE ([{_ONES}])[CAST(d AS INTEGER) + 1] END), ' ')"
 _SIGNS = ", ".join(f"('{s}', {i}, '{n}')" for s, names in electronic.SIGN_NAMES.items() for i, n in enumerate(names))
@@ -187,3 +188,82 @@ def sampled_events(spark, sf_dir):
     """Twenty events of each type by the hash of their number."""
     events = read_table(spark, sf_dir, "events").select("event_id", "event_type")
     return evaluate.sampled(events, ["event_id"], 20, ["event_type"])
+
+
+def _list(words: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+
+
+#: Number words of five locales in SQL, written apart from the rules: below 20 (30 in Spanish), tens from 20, and how hundreds and thousands are put together.
+_LOW = {
+    "en": "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen",
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn",
+    "fr": "zéro un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize dix-sept dix-huit dix-neuf",
+    "es": "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte veintiuno veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve",
+    "sv": "noll ett två tre fyra fem sex sju åtta nio tio elva tolv tretton fjorton femton sexton sjutton arton nitton",
+}
+_TENS_OF = {
+    "en": "twenty thirty forty fifty sixty seventy eighty ninety", "de": "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig", "fr": "vingt trente quarante cinquante soixante",
+    "es": "veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa", "sv": "tjugo trettio fyrtio femtio sextio sjuttio åttio nittio",
+}
+_T = {k: f"({_list(v)})[n // 10 - 1]" for k, v in _TENS_OF.items()}
+_O = {k: f"({_list(v)})[n % 10 + 1]" for k, v in _LOW.items()}
+_ABOVE = {
+    "en": f"{_T['en']} || CASE WHEN n % 10 > 0 THEN '-' || {_O['en']} ELSE '' END", "de": f"CASE WHEN n % 10 = 0 THEN '' WHEN n % 10 = 1 THEN 'einund' ELSE {_O['de']} || 'und' END || {_T['de']}",
+    "fr": f"CASE WHEN n = 71 THEN 'soixante et onze' WHEN n = 80 THEN 'quatre-vingts' WHEN n >= 80 THEN 'quatre-vingt-' || ({_list(_LOW['fr'])})[n - 79] WHEN n >= 70 THEN 'soixante-' || ({_list(_LOW['fr'])})[n - 59] WHEN n % 10 = 0 THEN {_T['fr']} WHEN n % 10 = 1 THEN {_T['fr']} || ' et un' ELSE {_T['fr']} || '-' || {_O['fr']} END",
+    "es": f"{_T['es']} || CASE WHEN n % 10 > 0 THEN ' y ' || {_O['es']} ELSE '' END", "sv": f"{_T['sv']} || CASE WHEN n % 10 > 0 THEN {_O['sv']} ELSE '' END",
+}
+_HUNDREDS = {
+    "en": "concat_ws(' ', h.w || ' hundred', r.w)", "de": "concat(CASE WHEN h.n = 1 THEN 'ein' ELSE h.w END || 'hundert', r.w)",
+    "fr": "concat_ws(' ', CASE WHEN h.n = 1 THEN 'cent' WHEN r.w IS NULL THEN h.w || ' cents' ELSE h.w || ' cent' END, r.w)",
+    "es": f"concat_ws(' ', CASE WHEN h.n = 1 AND r.w IS NULL THEN 'cien' ELSE ({_list('ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos')})[h.n] END, r.w)", "sv": "concat(h.w || 'hundra', r.w)",
+}
+_SHORT = {"en": "{}", "de": "regexp_replace({}, 'eins$', 'ein')", "fr": "regexp_replace({}, '(cent|vingt)s$', '\\1')", "es": "regexp_replace(regexp_replace({}, 'veintiuno$', 'veintiún'), 'uno$', 'un')", "sv": "{}"}
+_THOUSANDS = {"en": "concat_ws(' ', k.w || ' thousand', r.w)", "de": "concat(k.s || 'tausend', r.w)", "fr": "concat_ws(' ', CASE WHEN k.n = 1 THEN 'mille' ELSE k.s || ' mille' END, r.w)", "es": "concat_ws(' ', CASE WHEN k.n = 1 THEN 'mil' ELSE k.s || ' mil' END, r.w)", "sv": "concat(CASE WHEN k.n = 1 THEN 'ettusen' ELSE k.w || 'tusen' END, r.w)"}
+_LOCALES = list(_LOW)
+_EACH = lambda text: " UNION ALL ".join(text(x) for x in _LOCALES)
+#: Words w, and s as they stand before a noun, of 0 to 999 and of the column n of `asked`, by locale.
+_LOCALE_WORDS = f"""tens AS ({_EACH(lambda x: f"SELECT '{x}' AS locale, n, CASE WHEN n < {30 if x == 'es' else 20} THEN ({_list(_LOW[x])})[n + 1] ELSE {_ABOVE[x]} END AS w FROM range(100) AS t(n)")}),
+hundreds AS ({_EACH(lambda x: f"SELECT '{x}' AS locale, g.n, CASE WHEN g.n < 100 THEN z.w ELSE {_HUNDREDS[x]} END AS w FROM range(1000) AS g(n) LEFT JOIN tens AS h ON h.locale = '{x}' AND h.n = g.n // 100 LEFT JOIN tens AS r ON r.locale = '{x}' AND r.n = g.n % 100 AND r.n > 0 LEFT JOIN tens AS z ON z.locale = '{x}' AND z.n = g.n")}),
+small AS ({_EACH(lambda x: f"SELECT locale, n, w, {_SHORT[x].format('w')} AS s FROM hundreds WHERE locale = '{x}'")}),
+large AS ({_EACH(lambda x: f"SELECT '{x}' AS locale, a.n, CASE WHEN a.n < 1000 THEN z.w ELSE {_THOUSANDS[x]} END AS w FROM (SELECT DISTINCT n FROM asked) AS a LEFT JOIN small AS k ON k.locale = '{x}' AND k.n = a.n // 1000 LEFT JOIN small AS r ON r.locale = '{x}' AND r.n = a.n % 1000 AND r.n > 0 LEFT JOIN small AS z ON z.locale = '{x}' AND z.n = a.n")}),
+spelled AS ({_EACH(lambda x: f"SELECT locale, n, w, {_SHORT[x].format('w') if x in ('de', 'es') else 'w'} AS s FROM large WHERE locale = '{x}'")})"""
+_AND = {"en": " and ", "de": " und ", "fr": " et ", "es": " con ", "sv": " och "}
+_COIN = {"en": ("euro", "euros", "cent", "cents"), "de": ("Euro", "Euro", "Cent", "Cent"), "fr": ("euro", "euros", "centime", "centimes"), "es": ("euro", "euros", "céntimo", "céntimos"), "sv": ("euro", "euro", "cent", "cent")}
+_ONE = {"en": "{} = 1", "de": "true", "fr": "{} < 2", "es": "{} = 1", "sv": "true"}
+
+
+def _coins_sql(x: str, n: str, words: str, one: str, many: str) -> str:
+    named = f"CASE WHEN {n} = 1 THEN 'en' ELSE {words} END" if x == "sv" else words
+    return f"{named} || CASE WHEN {_ONE[x].format(n)} THEN ' {one}' ELSE ' {many}' END"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT {_CENTS.format('o_totalprice')} AS c FROM orders), asked AS (SELECT c // 100 AS n FROM p UNION SELECT c % 100 FROM p), {_LOCALE_WORDS},
+said AS ({_EACH(lambda x: f"SELECT c, '{x}' AS locale, {_coins_sql(x, 'a.n', 'a.s', *_COIN[x][:2])} AS major, CASE WHEN b.n > 0 THEN '{_AND[x]}' || {_coins_sql(x, 'b.n', 'b.s', *_COIN[x][2:])} END AS minor FROM p JOIN spelled AS a ON a.locale = '{x}' AND a.n = c // 100 JOIN spelled AS b ON b.locale = '{x}' AND b.n = c % 100")})
+SELECT c, locale, 1 AS rank, major || coalesce(minor, '') AS spoken FROM said UNION ALL SELECT c, locale, 2, major FROM said WHERE minor IS NOT NULL""")
+def locale_money(spark, sf_dir):
+    """Every different price of the orders in euros, in five locales: with cents, and without."""
+    cents = F.round(F.col("o_totalprice").cast("decimal(24,4)") * 100, 0).cast("long")
+    prices = read_table(spark, sf_dir, "orders").select(cents.alias("c")).distinct()
+    fields = {"major": F.call_function("div", F.col("c"), F.lit(100).cast("long")), "minor": F.col("c") % 100}
+    return locales.spoken(prices, fields, "money", locales.rules(spark), locales.recipes(spark), ["minor"])
+
+
+_DAY_SQL = {
+    "en": _ordinal_sql("d.w"), "de": "CASE WHEN d.n = 1 THEN 'erster' WHEN d.n = 3 THEN 'dritter' WHEN d.n = 7 THEN 'siebter' WHEN d.n = 8 THEN 'achter' WHEN d.n < 20 THEN d.w || 'ter' ELSE d.w || 'ster' END",
+    "fr": "CASE WHEN d.n = 1 THEN 'premier' ELSE d.w END", "es": "CASE WHEN d.n = 1 THEN 'primero' ELSE d.w END",
+    "sv": f"({_list('första andra tredje fjärde femte sjätte sjunde åttonde nionde tionde elfte tolfte trettonde fjortonde femtonde sextonde sjuttonde artonde nittonde tjugonde tjugoförsta tjugoandra tjugotredje tjugofjärde tjugofemte tjugosjätte tjugosjunde tjugoåttonde tjugonionde trettionde trettioförsta')})[d.n]",
+}
+_YEAR_SQL = {"en": _YEAR, "de": "CASE WHEN y BETWEEN 1100 AND 1999 THEN hw.w || 'hundert' || CASE WHEN lw.n > 0 THEN lw.w ELSE '' END ELSE yw.w END", "fr": "yw.w", "es": "yw.w", "sv": "CASE WHEN y BETWEEN 1100 AND 1999 THEN hw.w || 'hundra' || CASE WHEN lw.n > 0 THEN lw.w ELSE '' END ELSE yw.w END"}
+_ORDER_SQL = {"en": ["mo || ' ' || dd || ' ' || yy", "'the ' || dd || ' of ' || mo || ' ' || yy"], "de": ["dd || ' ' || mo || ' ' || yy"], "fr": ["dd || ' ' || mo || ' ' || yy", "'le ' || dd || ' ' || mo || ' ' || yy"], "es": ["dd || ' de ' || mo || ' de ' || yy"], "sv": ["dd || ' ' || mo || ' ' || yy", "'den ' || dd || ' ' || mo || ' ' || yy"]}
+
+
+@query(f"""WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders),
+asked AS (SELECT y AS n FROM o UNION SELECT y // 100 FROM o UNION SELECT y % 100 FROM o UNION SELECT * FROM range(1, 32)), {_LOCALE_WORDS},
+said AS ({_EACH(lambda x: f"SELECT day, '{x}' AS locale, {_DAY_SQL[x].replace('d.n = 1', 'CAST(d.n AS INTEGER) = 1')} AS dd, ({_list(locale_rules.MONTHS[x])})[m] AS mo, {_YEAR_SQL[x]} AS yy FROM o JOIN spelled AS d ON d.locale = '{x}' AND d.n = day(o.day) JOIN spelled AS yw ON yw.locale = '{x}' AND yw.n = y JOIN spelled AS hw ON hw.locale = '{x}' AND hw.n = y // 100 JOIN spelled AS lw ON lw.locale = '{x}' AND lw.n = y % 100")})
+{" UNION ALL ".join(f"SELECT strftime(day, '%Y-%m-%d') AS day, locale, {i} AS rank, {t} AS spoken FROM said WHERE locale = '{x}'" for x in _LOCALES for i, t in enumerate(_ORDER_SQL[x], 1))}""")
+def locale_dates(spark, sf_dir):
+    """Every different day of the orders in five locales, in each order of its parts."""
+    days = read_table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).distinct()
+    at = F.to_date("day")
+    return locales.spoken(days, {"year": F.year(at), "month": F.month(at), "day": F.dayofmonth(at)}, "date", locales.rules(spark), locales.recipes(spark))
