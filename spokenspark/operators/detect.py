@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spellout
@@ -23,6 +23,12 @@ _ISO = "(?:" + "|".join(k for k in spellout.CURRENCIES if len(k) == 3) + ")"
 _NAME = "(?:" + "|".join(sorted(spellout.CURRENCY_NAMES, key=len, reverse=True)) + ")"
 #: Time zones after a clock time.
 _ZONE = "(?:UTC|GMT|EST|EDT|ET|CST|CDT|CT|MST|MDT|MT|PST|PDT|PT)"
+#: What may stand beside a value that stands free: on its left a space, an opening sign or nothing, on its right a space, a closing
+#: sign or nothing, but no point or comma that goes on with a digit.
+_FREE = r"(?<![^\s(\[{\"'“‘,;–—])"
+_END = r"(?![^\s)\]}\"'”’,;:!?.…–—]|[.,:][0-9])"
+#: Reporters that court citations name between volume and page.
+REPORTERS = ["U.S.", "U. S.", "S. Ct.", "F.2d", "F.3d", "F. Supp."]
 _CLOCK = "(?:[01]?[0-9]|2[0-3]):[0-5][0-9]"
 #: Abbreviations and what they say.
 ABBREVIATIONS = {
@@ -52,7 +58,7 @@ FAMILIES = [
     Family("telephone:number", r"(?<![\w+.-])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9](?!11)[0-9]{2}[ .-][0-9]{4}(?![\w-])"),
     Family("telephone:number", r"(?<![\w+])\+[0-9]{1,3}(?:[ -][0-9]{2,5}){2,5}(?![\w-])"),
     Family("identifier:grouped-digits", r"(?<![\w.-])(?:97[89][- ]?)?[0-9](?:[- ]?[0-9]){8}[- ]?[0-9Xx](?![\w-])", True, "isbn"),
-    Family("version:dotted", r"(?<![\w.])[vV][0-9]+(?:\.[0-9]+){2,}(?![\w.]\w)"),
+    Family("version:dotted", rf"{_FREE}[vV](?:[0-9]+\.){{2,}}[0-9]+{_END}"),
     Family("number:dotted-run", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w.]*\w)"),
     Family("number:scientific", r"(?<![\w.])[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+|\s?[×x]\s?10\^[+-]?[0-9]+)(?!\w)"),
     Family("number:scientific", r"(?<![\w.])[0-9]+(?:\.[0-9]+)?\s?[×x]\s?10⁻?[⁰¹²³⁴⁵⁶⁷⁸⁹]+"),
@@ -77,7 +83,7 @@ FAMILIES = [
     Family("range:measure", rf"(?<![\w.–-])[0-9]+\s?[–-]\s?[0-9]+\s?{_UNIT}(?!\w)"),
     Family("range:ratio", r"(?<![\w:.])[0-9]{1,4}:[0-9](?![\w:]|\.[0-9])"),
     Family("time:flexible", r"(?<![\w:.])(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?:\s?[aApP]\.?[mM]\b\.?)?(?![\w:])"),
-    Family("time:spaced-colon", r"(?<![\w:.])(?:[01]?[0-9]|2[0-3]): [0-5][0-9](?![\w:])"),
+    Family("time:spaced-colon", rf"{_FREE}[0-9]{{1,2}}: [0-9]{{2}}{_END}", True, "clock"),
     Family("range:dimension", r"(?<![\w.])[0-9]+\s?[x×]\s?[0-9]+(?![\w.]\w)"),
     Family("range:dash", r"(?<![\w.–-])[0-9]+\s?[–-]\s?[0-9]+(?![\w–-])"),
     Family("fraction:mixed", rf"(?<![\w/.,])[0-9]{{1,9}} [1-9][0-9]?/[1-9][0-9]{{0,2}}(?![\w/])"),
@@ -91,8 +97,8 @@ FAMILIES = [
     Family("date:y", r"(?<![\w.,/-])(?:1[0-9]|20)[0-9]{2}(?![\w/-]|[.,][0-9])"),
     Family("number:decimal", r"(?<![\w.,-])-?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,18})?\.[0-9]+(?![\w]|\.[0-9])"),
     Family("number:cardinal", r"(?<![\w.,-])-?(?:[0-9]{1,3}(?:,[0-9]{3}){1,5}|[0-9]{1,18})(?!\w|[.,][0-9])"),
-    Family("number:cardinal:citation", r"(?<![\w.,])[0-9]{1,18} U\. ?S\.(?= [0-9])"),
-    Family("number:digits:spaced", r"(?<![\w.,:/-])[0-9](?: [0-9])+(?![\w:/-]|[.,][0-9])"),
+    Family("number:cardinal:citation", rf"{_FREE}[0-9]{{1,4}} (?:{'|'.join(r.replace('.', chr(92) + '.') for r in REPORTERS)})(?=\s[0-9]{{1,4}}{_END})"),
+    Family("number:digits:spaced", rf"{_FREE}(?:[0-9] )+[0-9]{_END}"),
     Family("number:digits", r"(?<![\w.,-])[0-9]{19,}(?![\w])"),
     Family("identifier:serial", r"(?<![\w-])[A-Z]{1,4}-[0-9]+(?:-[A-Z0-9]+)*(?![\w-])"),
     Family("alnum:runs", r"(?<!\w)(?:[A-Za-z]+[0-9]+|[0-9]+[A-Za-z]+)[A-Za-z0-9]*(?!\w)"),
@@ -104,11 +110,35 @@ FAMILIES = [
     Family("symbol:cldr", "[" + "".join(SYMBOLS) + "]", False),
 ]
 
-#: What every match of a family without digits holds.
-_SIGN = r"\p{Lu}[\p{Lu}.]|[@#" + "".join(SYMBOLS) + r"]|[" + "".join(spellout.VULGAR) + r"]|\.[^\s]|\.\s*\S|://|(?i:www|chapter|volume|act|part|bowl|king|louis|henry|charles) ?[IVXLCDM.]"
+#: What a match of a family without digits holds, by family: one of these signs at least.
+_SIGNS = [
+    "://|[wW]{3}\\.", "[@#" + "".join(SYMBOLS) + "".join(spellout.VULGAR) + "]", "\\.[A-Za-z]", r"\p{Lu}[\p{Lu}.]", "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS),
+    "(?i:chapter|volume|act|part|bowl|king|louis|henry|charles) [IVXLCDM]",
+]
+_SIGN = "|".join(_SIGNS)
 READING = "array<struct<start:int,end:int,rank:int,type:string,surface:string>>"
 
 
+def _passes(family: Family, hit: Column) -> Column:
+    """Whether a match is what its family means: a number with a right check digit, an hour and minute that exist."""
+    if family.test == "isbn":
+        return isbn_valid(hit)
+    if family.test == "clock":
+        part = lambda i: F.regexp_extract(hit, r"([0-9]+)[^0-9]+([0-9]+)", i).cast("int")
+        return (part(1) < 24) & (part(2) < 60)
+    return F.lit(True)
+
+
+def counts(docs: DataFrame, text: str, families: list[Family] | None = None) -> DataFrame:
+    """type and n of all readings in a column, as candidates() finds them: sums of counts over one scan, no reading is built or sorted."""
+    families = FAMILIES if families is None else families
+    c = F.col(text)
+    n = lambda f: F.regexp_count(c, F.lit(f.pattern)) if not f.test else F.when(c.rlike(f.pattern), F.size(spans(c, f))).otherwise(0)
+    types = list(dict.fromkeys(f.type for f in families))
+    sums = docs.agg(*[F.sum(sum((n(f) for f in families if f.type == t), F.lit(0)).cast("long")).alias(f"_{i}") for i, t in enumerate(types)])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.col(f"_{i}").alias("n")) for i, t in enumerate(types)])).alias("x")).select("x.*").where("n > 0")
+
+
 def spans(text: Column, family: Family, rank: int = 0) -> Column:
     """start, end, rank, type and surface of a family's matches in text."""
     hits, gaps = F.regexp_extract_all(text, F.lit(family.pattern), F.lit(0)), F.split(text, family.pattern, -1)
@@ -118,7 +148,7 @@ def spans(text: Column, family: Family, rank: int = 0) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
         one = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(family.type).alias("type"), x["hit"].alias("surface"))
-        keep = x["hit"].isNotNull() & isbn_valid(x["hit"]) if family.test == "isbn" else x["hit"].isNotNull()
+        keep = x["hit"].isNotNull() & _passes(family, x["hit"])
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(READING).alias("found"))

@@ -178,8 +178,7 @@ def detect_addresses(spark, sf_dir):
 @query()
 def detect_formatted(spark, sf_dir):
     """Counts of every type of reading in all documents, before any is chosen."""
-    found = read_table(spark, sf_dir, "documents").select(F.explode(detect.candidates(F.col("text"))).alias("c"))
-    return found.groupBy(F.col("c.type").alias("type")).agg(F.count("*").alias("n"))
+    return detect.counts(read_table(spark, sf_dir, "documents"), "text")
 
 
 @query("""WITH s AS (SELECT o_custkey AS k, o_orderkey AS id, CAST(o_orderkey % 97 AS INTEGER) AS start, CAST(o_orderkey % 97 + 1 + o_orderkey % 5 AS INTEGER) AS "end" FROM orders),
