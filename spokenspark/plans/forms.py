@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import locale_rules
 from ..functions import spellout as say
 from ..functions import text as tf
-from ..operators import compose, electronic, filters, locales, resolve, sentences, telephone
+from ..operators import alternatives, compose, electronic, filters, locales, resolve, sentences, telephone
 from ..operators.detect import READING
 from ..sources.tables import read_table
 from . import evaluate
@@ -267,3 +267,50 @@ def locale_dates(spark, sf_dir):
     days = read_table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).distinct()
     at = F.to_date("day")
     return locales.spoken(days, {"year": F.year(at), "month": F.month(at), "day": F.dayofmonth(at)}, "date", locales.rules(spark), locales.recipes(spark))
+
+
+def _heard_forms(spark, sf_dir) -> DataFrame:
+    """Labelled rows (type, written, spoken): four-digit keys and years of the orders, fractions and percentages of their lines."""
+    orders, lines = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
+    key, year = F.col("o_orderkey"), F.year("o_orderdate")
+    keys = orders.where(key.cast("string").rlike(r"\A[1-9][0-9]{3}\z")).select(F.lit("number:cardinal").alias("type"), key.cast("string").alias("written"), say.cardinal(key).alias("spoken"))
+    years = orders.select(F.lit("date:y"), year.cast("string"), say.year(year))
+    a, b, d = F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("long"), F.round(F.col("l_discount") * 100).cast("long")
+    over = F.when(b > 25, F.concat(say.cardinal(a), F.lit(" over "), say.cardinal(b))).otherwise(say.fraction(a, b))
+    parts = lines.groupBy(a.alias("l_linenumber"), b.alias("l_quantity"), d.alias("d")).agg(F.count("*").alias("n")).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    fractions = parts.select(F.lit("fraction:flexible"), F.concat_ws("/", "l_linenumber", "l_quantity"), over)
+    percents = parts.select(F.lit("number:percent"), F.concat(F.col("d").cast("string"), F.lit("%")), F.concat(say.cardinal(F.col("d")), F.when(a % 3 == 0, " per cent").otherwise(" percent")))
+    return keys.unionAll(years).unionAll(fractions).unionAll(percents)
+
+
+_FORMS_SQL = f"""keys AS (SELECT o_orderkey AS n FROM orders WHERE regexp_matches(CAST(o_orderkey AS VARCHAR), '^[1-9][0-9]{{3}}$')), years AS (SELECT year(o_orderdate) AS n FROM orders),
+parts AS (SELECT CAST(l_linenumber AS BIGINT) AS a, CAST(l_quantity AS BIGINT) AS b, CAST(round(l_discount * 100) AS BIGINT) AS d FROM lineitem),
+{_cardinal_sql("SELECT n FROM keys UNION ALL SELECT n FROM years UNION ALL SELECT n // 100 FROM keys UNION ALL SELECT n % 100 FROM keys UNION ALL SELECT n // 100 FROM years UNION ALL SELECT n % 100 FROM years UNION ALL SELECT a FROM parts UNION ALL SELECT b FROM parts UNION ALL SELECT d FROM parts")},
+four AS (SELECT DISTINCT kind, n AS y FROM (SELECT 'number:cardinal' AS kind, n FROM keys UNION ALL SELECT 'date:y', n FROM years)),
+fourth AS (SELECT kind, y, yw.w AS c, {_YEAR} AS yr, {_DIGIT_WORDS.format("CAST(y AS VARCHAR)")} AS dg FROM four JOIN words AS yw ON yw.n = y JOIN words AS hw ON hw.n = y // 100 JOIN words AS lw ON lw.n = y % 100),
+listed AS (SELECT kind AS type, CAST(y AS VARCHAR) AS surface, 'four-digit' AS scope, 'century:' || substr(CAST(y AS VARCHAR), 1, 2) AS sub, unnest(CASE kind WHEN 'date:y' THEN [0, 1, 2, 3] ELSE [2, 0, 1, 3] END) AS place, unnest(['year', 'cardinal', 'and', 'digits']) AS provenance, unnest([yr, c, replace(c, 'hundred ', 'hundred and '), dg]) AS spoken FROM fourth
+  UNION ALL SELECT DISTINCT 'fraction:flexible', a || '/' || b, 'fraction:flexible', 'over:' || b, 0, 'fraction', CASE WHEN b = 1 THEN x.w || ' over one' WHEN b = 2 THEN x.w || CASE WHEN a = 1 THEN ' half' ELSE ' halves' END WHEN b = 4 THEN x.w || CASE WHEN a = 1 THEN ' quarter' ELSE ' quarters' END ELSE x.w || ' ' || {_ordinal_sql("z.w")} || CASE WHEN a = 1 THEN '' ELSE 's' END END FROM parts JOIN words AS x ON x.n = a JOIN words AS z ON z.n = b
+  UNION ALL SELECT DISTINCT 'fraction:flexible', a || '/' || b, 'fraction:flexible', 'over:' || b, 1, 'over', x.w || ' over ' || z.w FROM parts JOIN words AS x ON x.n = a JOIN words AS z ON z.n = b
+  UNION ALL SELECT DISTINCT 'number:percent', d || '%', 'number:percent', '*', 0, 'percent', w || ' percent' FROM parts JOIN words ON n = d UNION ALL SELECT DISTINCT 'number:percent', d || '%', 'number:percent', '*', 1, 'per-cent', w || ' per cent' FROM parts JOIN words ON n = d),
+once AS (SELECT * FROM listed QUALIFY row_number() OVER (PARTITION BY type, surface, spoken ORDER BY place) = 1),
+heard AS (SELECT 'four-digit' AS scope, 'century:' || substr(CAST(n AS VARCHAR), 1, 2) AS sub, 'cardinal' AS provenance FROM keys UNION ALL SELECT 'four-digit', 'century:' || substr(CAST(n AS VARCHAR), 1, 2), 'year' FROM years
+  UNION ALL SELECT 'fraction:flexible', 'over:' || b, CASE WHEN b > 25 THEN 'over' ELSE 'fraction' END FROM parts UNION ALL SELECT 'number:percent', '*', CASE WHEN a % 3 = 0 THEN 'per-cent' ELSE 'percent' END FROM parts),
+counted AS (SELECT scope, sub, provenance, count(*) AS n FROM (SELECT * FROM heard UNION ALL SELECT scope, '*', provenance FROM heard WHERE sub <> '*') GROUP BY ALL)"""
+
+
+@query(f"WITH {_FORMS_SQL} SELECT scope, sub AS sub_key, provenance, n FROM counted")
+def prior_spoken(spark, sf_dir):
+    """How readings were heard, by type and by what they have in common beyond it."""
+    return alternatives.spoken_priors(_heard_forms(spark, sf_dir))
+
+
+@query(f"""WITH {_FORMS_SQL}, totals AS (SELECT scope, sub, sum(n) AS n FROM counted GROUP BY 1, 2),
+shared AS (SELECT o.*, coalesce(ca.n, 0) / ta.n AS parent, coalesce(co.n, 0) AS own, tt.n AS own_total FROM once AS o JOIN totals AS ta ON ta.scope = o.scope AND ta.sub = '*' LEFT JOIN counted AS ca ON ca.scope = o.scope AND ca.sub = '*' AND ca.provenance = o.provenance
+  LEFT JOIN totals AS tt ON tt.scope = o.scope AND tt.sub = o.sub LEFT JOIN counted AS co ON co.scope = o.scope AND co.sub = o.sub AND co.provenance = o.provenance),
+priced AS (SELECT *, CASE WHEN sub <> '*' AND own_total IS NOT NULL THEN (own + {STRENGTH} * parent) / (own_total + {STRENGTH}) ELSE parent END AS share FROM shared)
+SELECT type, surface, row_number() OVER (PARTITION BY type, surface ORDER BY share DESC, place) AS rank, spoken, provenance, 1 AS tier, round(share, 9) AS share FROM priced""")
+def ranked_alternatives(spark, sf_dir):
+    """Every form of four-digit tokens, fractions and percentages, ranked by how such readings were heard."""
+    heard = _heard_forms(spark, sf_dir)
+    found = alternatives.ranked(heard.select("type", F.col("written").alias("surface")), alternatives.spoken_priors(heard))
+    return found.withColumns({"share": F.round("share", 9), "tier": F.col("tier").cast("int")})
