@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import locale_rules
 from ..functions import spellout as say
 from ..functions import text as tf
-from ..operators import alternatives, compose, electronic, filters, locales, resolve, sentences, telephone
+from ..operators import alternatives, compose, electronic, filters, locales, resolve, respelling, sentences, telephone
 from ..operators.detect import READING
 from ..sources.tables import read_table
-from . import evaluate
+from . import evaluate, running
 from .priors import STRENGTH
 from .queries import _CENTS, _LETTER_KEY, _ONES, _YEAR, _cardinal_sql, _ordinal_sql, query
 
@@ -314,3 +314,75 @@ def ranked_alternatives(spark, sf_dir):
     heard = _heard_forms(spark, sf_dir)
     found = alternatives.ranked(heard.select("type", F.col("written").alias("surface")), alternatives.spoken_priors(heard))
     return found.withColumns({"share": F.round("share", 9), "tier": F.col("tier").cast("int")})
+
+
+#: Rules for the invented words of the given tables, in the form of respelling.RULES; the stems are those of the documents.
+_OWN_RULES = [("tion", "tion", "shun", " s"), ("eau", "eau", "o", " x"), ("ing", "ing", "in", "")]
+_ENDINGS = ", ".join(f"('{r}', {i}, '{old + t}', '{new + t}')" for i, (r, old, new, ts) in enumerate(_OWN_RULES) for t in ts.split(" "))
+
+
+@query(rf"""WITH d AS (SELECT conv_id || ':' || turn AS id, text FROM conversations WHERE text IS NOT NULL), ends AS (SELECT * FROM (VALUES {_ENDINGS}) AS r(rule, place, ending, target)),
+seen AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS w FROM documents)),
+hits AS (SELECT id, text, unnest(h) AS h, unnest(g[1:len(h)]) AS g, generate_subscripts(h, 1) AS i, g[len(h) + 1] AS tail FROM (SELECT id, text, regexp_extract_all(text, '\p{{L}}+') AS h, string_split_regex(text, '\p{{L}}+') AS g FROM d)),
+words AS (SELECT DISTINCT lower(h) AS word FROM hits),
+counted AS (SELECT lower(h) AS word, count(*) AS n FROM hits GROUP BY 1),
+pairs AS (SELECT word, reverse(word) AS target FROM counted WHERE n % 7 = 0 AND length(word) = 3 AND n >= 3),
+ruled AS (SELECT word, left(word, length(word) - length(ending)) || e.target AS target, e.rule AS by_, place, length(ending) AS size FROM words JOIN ends AS e ON ends_with(word, ending) AND length(word) > length(ending)
+  JOIN (SELECT DISTINCT rule, left(w, length(w) - length(target)) AS stem FROM seen JOIN ends ON ends_with(w, target) AND length(w) > length(target)) AS s ON s.rule = e.rule AND s.stem = left(word, length(word) - length(ending))),
+chosen AS (SELECT word, target FROM (SELECT word, target, -1 AS place, 0 AS size FROM pairs UNION ALL SELECT word, target, place, -size FROM ruled) QUALIFY row_number() OVER (PARTITION BY word ORDER BY place, size, target) = 1),
+said AS (SELECT hits.*, CASE WHEN c.word IS NULL OR c.word = c.target OR h NOT IN (lower(h), upper(h), upper(h[1]) || lower(h[2:])) THEN NULL WHEN h = upper(h) AND h <> lower(h) AND length(h) > 1 THEN upper(c.target) WHEN h = lower(h) THEN c.target ELSE upper(c.target[1]) || c.target[2:] END AS t FROM hits LEFT JOIN chosen AS c ON c.word = lower(h)),
+ends_ AS (SELECT *, sum(length(g) + length(coalesce(t, h))) OVER (PARTITION BY id ORDER BY i) AS o, sum(length(g) + length(h)) OVER (PARTITION BY id ORDER BY i) AS e FROM said)
+SELECT id, sha256(string_agg(g || coalesce(t, h), '' ORDER BY i) || coalesce(any_value(tail), '')) AS respelled, count(t) AS n,
+  coalesce(string_agg(CAST(e - length(h) AS BIGINT) || '-' || CAST(e AS BIGINT) || ':' || CAST(o - length(t) AS BIGINT) || '-' || CAST(o AS BIGINT) || t, ',' ORDER BY i) FILTER (t IS NOT NULL), '') AS changes FROM ends_ GROUP BY id""")
+def respelled_turns(spark, sf_dir):
+    """Turns with words respelled by pairs and by endings whose stems the documents attest, and the places of every change."""
+    turns = read_table(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    tokens = lambda df: df.select(F.explode(F.regexp_extract_all("text", F.lit(respelling.WORD), F.lit(0))).alias("w"))
+    rules = respelling.rules(spark, _OWN_RULES)
+    attested = respelling.stems(tokens(read_table(spark, sf_dir, "documents")), "w", rules)
+    words = tokens(turns)
+    counted = words.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("converted"))
+    pairs = counted.where("converted % 7 = 0 AND length(word) = 3").select("word", F.reverse("word").alias("target"), "converted", F.lit(0).alias("kept"))
+    found = respelling.respellings(words, "w", pairs, rules, attested)
+    out = respelling.respelled(turns, "id", "text", found).where(F.col("text").rlike(respelling.WORD))
+    said = F.transform("changes", lambda c: F.concat(F.concat_ws("-", c["source_start"].cast("string"), c["source_end"].cast("string")), F.lit(":"), F.concat_ws("-", c["out_start"].cast("string"), c["out_end"].cast("string")), c["target"]))
+    return out.select("id", F.sha2("respelled", 256).alias("respelled"), F.size("changes").cast("long").alias("n"), F.array_join(said, ",").alias("changes"))
+
+
+@query(r"""WITH RECURSIVE t AS (SELECT conv_id || ':' || turn AS id, text, string_split_regex(text, '[ ]+') AS w FROM conversations WHERE text <> ''),
+tokens AS (SELECT id, text, CASE WHEN i % 9 = 4 THEN 'not there' ELSE regexp_replace(w, '[.,]+$', '') END AS written, i FROM (SELECT id, text, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM t) WHERE i % 5 <> 2 AND regexp_replace(w, '[.,]+$', '') <> ''),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM tokens),
+walk AS (SELECT id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS past, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e, CAST(NULL AS BIGINT) AS i FROM t
+  UNION ALL SELECT n.id, n.k, CASE WHEN p > 0 THEN past + p - 1 + length(written) ELSE past END, CASE WHEN p > 0 THEN past + p - 1 END, CASE WHEN p > 0 THEN past + p - 1 + length(written) END, n.i
+    FROM (SELECT n.*, w.past, strpos(substr(n.text, w.past + 1), n.written) AS p FROM walk AS w JOIN numbered AS n ON n.id = w.id AND n.k = w.k + 1) AS n)
+SELECT id, count(*) AS n, count(s) AS found, sha256(string_agg(coalesce(CAST(s AS VARCHAR), '-') || ':' || coalesce(CAST(e AS VARCHAR), '-'), ',' ORDER BY i)) AS spans FROM walk WHERE k > 0 GROUP BY 1""")
+def running_triples(spark, sf_dir):
+    """Tokens of the turns, some left out and some replaced, found again in the running text: how many, and where."""
+    texts = read_table(spark, sf_dir, "conversations").where("text <> ''").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    words = texts.select("id", F.posexplode(F.split("text", "[ ]+")).alias("at", "w")).select("id", (F.col("at") + 1).alias("pos"), F.regexp_replace("w", "[.,]+$", "").alias("w")).where("pos % 5 <> 2 AND w <> ''")
+    rows = words.select("id", "pos", F.when(F.col("pos") % 9 == 4, "not there").otherwise(F.col("w")).alias("written"), F.lower("w").alias("spoken"))
+    found = running.triples(rows, texts, ["id"])
+    one = F.concat_ws(":", F.coalesce(F.col("start").cast("string"), F.lit("-")), F.coalesce(F.col("end").cast("string"), F.lit("-")))
+    each = found.groupBy("id").agg(F.count("*").alias("n"), F.count("start").alias("found"), F.array_sort(F.collect_list(F.struct("pos", one.alias("s")))).alias("_s"))
+    return each.select("id", "n", "found", F.sha2(F.array_join(F.transform("_s", lambda x: x["s"]), ","), 256).alias("spans"))
+
+
+_AHEAD = r"^[.!?][ ]+[A-Z]|^[.!?]\z"
+
+
+@query(rf"""WITH t AS (SELECT conv_id || ':' || turn AS id, text FROM conversations WHERE text <> ''),
+units AS (SELECT id, text, CAST(i AS BIGINT) AS unit FROM t, range(1, 100000) AS r(i) WHERE i <= length(text) AND substr(text, i, 1) IN ('.', '!', '?')),
+runs AS (SELECT u.id, unit, CAST(p AS BIGINT) AS prefix, regexp_matches(substr(text, unit, p - unit + 1), '{_AHEAD}') AS reading FROM units AS u, range(0, 7) AS r(k), LATERAL (SELECT least(unit + k, length(text)) AS p)),
+once AS (SELECT DISTINCT * FROM runs), final AS (SELECT id, unit, max_by(reading, prefix) AS f FROM once GROUP BY 1, 2),
+bad AS (SELECT o.id, o.unit, f, coalesce(max(prefix) FILTER (reading <> f), -1) AS b FROM once AS o JOIN final USING (id, unit) GROUP BY 1, 2, 3),
+stable AS (SELECT o.id, o.unit, min(prefix) AS s, any_value(f) AS f FROM once AS o JOIN bad USING (id, unit) WHERE prefix > b GROUP BY 1, 2)
+SELECT f AS ends, count(*) AS n, quantile_disc(s - unit, 0.5) AS half, max(s - unit) AS most FROM stable GROUP BY 1""")
+def sentence_lookahead(spark, sf_dir):
+    """How many characters after a full stop it takes until it is sure whether a sentence ends there, over the turns' prefixes."""
+    texts = read_table(spark, sf_dir, "conversations").where("text <> ''").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    places = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: F.col("text").substr(i, F.lit(1)).isin(".", "!", "?"))
+    units = texts.select("id", "text", F.explode(places).alias("unit"))
+    runs = units.select("id", "text", "unit", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.least(F.col("unit") + k, F.length("text"))))).alias("prefix"))
+    read = runs.select("id", "unit", "prefix", F.col("text").substr(F.col("unit"), F.col("prefix") - F.col("unit") + 1).rlike(_AHEAD).alias("reading"))
+    found = running.lookahead(read, ["id", "unit"]).withColumn("more", (F.col("stable") - F.col("unit")).cast("long"))
+    return found.groupBy(F.col("final").alias("ends")).agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY more)").cast("long").alias("half"), F.max("more").alias("most"))
