@@ -268,6 +268,13 @@ def normalize_urls(spark, sf_dir):
     return units(pages, "page_id", "url").select("page_id", "start", "end", "type", "spoken")
 
 
+def _written(spark, sf_dir) -> DataFrame:
+    """Labelled rows (class, written) from the columns of orders, where nobody asks how they are spoken."""
+    o, cash = read_table(spark, sf_dir, "orders"), F.concat(F.lit("$"), F.format_number(F.col("o_totalprice").cast("decimal(20,2)"), 2))
+    forms = [("DATE", F.date_format("o_orderdate", "yyyy")), ("CARDINAL", F.col("o_orderkey").cast("string")), ("MONEY", cash)]
+    return o.select(F.explode(F.array(*[F.struct(F.lit(k).alias("class"), c.alias("written")) for k, c in forms])).alias("r")).select("r.*")
+
+
 def _rows(spark, sf_dir) -> DataFrame:
     """Labelled rows (class, written, spoken, sent_id) from the columns of orders: keys, days and prices."""
     o = read_table(spark, sf_dir, "orders")
@@ -281,14 +288,14 @@ def _rows(spark, sf_dir) -> DataFrame:
 @query(r"""WITH r AS (SELECT 'CARDINAL' AS class, CAST(o_orderkey AS VARCHAR) AS written FROM orders UNION ALL SELECT 'DATE', strftime(o_orderdate, '%Y') FROM orders),
 c AS (SELECT substr(written, 1, 2) AS century, CASE class WHEN 'DATE' THEN 'date' ELSE 'cardinal' END AS choice FROM r WHERE regexp_matches(written, '^[0-9]{4}$')) SELECT century, choice, count(*) AS n FROM c GROUP BY 1, 2""")
 def prior_centuries(spark, sf_dir):
-    return priors.century_priors(_rows(spark, sf_dir))
+    return priors.century_priors(_written(spark, sf_dir))
 
 
 @query(r"""WITH r AS (SELECT 'CARDINAL' AS class, 'N' AS shape FROM orders UNION ALL SELECT 'DATE', 'N' FROM orders
   UNION ALL SELECT 'MONEY', '¤' || regexp_replace(format('{:,.2f}', CAST(o_totalprice AS DOUBLE)), '[0-9]+', 'N', 'g') FROM orders)
 SELECT shape, class, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY shape) AS BIGINT) AS total FROM r GROUP BY shape, class""")
 def prior_types(spark, sf_dir):
-    return priors.type_priors(_rows(spark, sf_dir)).select("shape", "class", "n", "total")
+    return priors.type_priors(_written(spark, sf_dir)).select("shape", "class", "n", "total")
 
 
 @query(f"""WITH d AS (SELECT year(o_orderdate) AS y, count(*) AS c FROM orders GROUP BY 1) SELECT 'DATE' AS class, 'o' AS word, CAST(sum(c) AS BIGINT) AS n FROM d WHERE y BETWEEN 1000 AND 9999 AND y // 100 % 10 > 0 AND y % 100 BETWEEN 1 AND 9 HAVING sum(c) > 0
@@ -298,11 +305,11 @@ def prior_zeros(spark, sf_dir):
     return priors.zero_priors(_rows(spark, sf_dir))
 
 
-@query("SELECT c_mktsegment AS mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1")
+@query("SELECT c_mktsegment AS mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1")
 def unseen_customers(spark, sf_dir):
-    """The seen/unseen split as an anti join."""
+    """The seen/unseen split as an anti join: customers without an urgent order."""
     c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("written"), "c_mktsegment")
-    seen = priors.seen_vocabulary(read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("written")))
+    seen = priors.seen_vocabulary(read_table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("written")))
     return priors.unseen(c, seen).groupBy(F.col("c_mktsegment").alias("mktsegment")).agg(F.count("*").alias("n"))
 
 
@@ -315,11 +322,14 @@ def evaluate_normalization(spark, sf_dir):
     return evaluate.accuracy(evaluate.scored(joined), ["class"])
 
 
-@query()
+@query(f"""WITH c AS (SELECT o_custkey AS cluster, count(*) FILTER (o_orderpriority LIKE '1%') AS d, count(*) AS w FROM orders GROUP BY 1),
+a AS (SELECT d, w, r, ((cluster % {evaluate.PRIME} + 17) * 48271 % {evaluate.PRIME} + r * 69621) % {evaluate.PRIME} AS m FROM c, range(1, 201) AS t(r)),
+u AS (SELECT d, w, r, list_count(list_filter({evaluate._poisson_marks()}, lambda x: (m * m + 12345) % {evaluate.PRIME} * 16807 % {evaluate.PRIME} >= x)) AS n FROM a), s AS (SELECT sum(d * n) / sum(w * n) AS ratio FROM u GROUP BY r)
+SELECT round(quantile_cont(ratio, 0.025), 9) AS low, round(quantile_cont(ratio, 0.975), 9) AS high FROM s""")
 def evaluate_interval(spark, sf_dir):
     """A bootstrap interval of the share of urgent orders, customers being the clusters."""
     clusters = read_table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cluster")).agg(F.count_if(F.col("o_orderpriority").startswith("1")).alias("v"), F.count("*").alias("w"))
-    return evaluate.bootstrap(clusters, "v", "w")
+    return evaluate.bootstrap(clusters, "v", "w").select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query("""WITH a AS (SELECT o_orderkey AS k, o_totalprice > 150000 AS v FROM orders), b AS (SELECT l_orderkey AS k, count(*) > 3 AS v FROM lineitem GROUP BY 1)
@@ -401,15 +411,14 @@ def acronym_shares(spark, sf_dir):
     return priors.acronym_shares(words, "word", priors.acronym_priors(_spelled(spark, sf_dir))).select("word", F.round("share", 9).alias("share"), "level")
 
 
-@query(f"""SELECT regexp_replace(lower(w), '[.]$', '') AS key, CASE WHEN regexp_replace(w, '[.]', '') = upper(w) THEN 'upper' ELSE 'upper' END AS "case", s IN ('F', 'P') AS expanded, count(*) AS n
-FROM (SELECT regexp_extract(o_orderpriority, '[A-Z]+$') || CASE WHEN o_orderstatus = 'O' THEN '' ELSE '.' END AS w, o_orderstatus AS s FROM orders) WHERE length(w) > 1 GROUP BY ALL""")
+@query("""WITH w AS (SELECT regexp_extract(o_orderpriority, '[A-Z]+$') AS w, o_orderstatus AS s FROM orders),
+c AS (SELECT CASE s WHEN 'O' THEN w WHEN 'P' THEN upper(w[1]) || lower(w[2:]) || '.' ELSE lower(w) || '.' END AS w, s FROM w WHERE w <> '')
+SELECT regexp_replace(lower(w), '[.]$', '') AS key, CASE s WHEN 'O' THEN 'upper' WHEN 'P' THEN 'title' ELSE 'lower' END AS "case", s <> 'O' AS expanded, count(*) AS n FROM c GROUP BY ALL""")
 def prior_abbreviations(spark, sf_dir):
-    """Priorities with a full stop are abbreviations of their name and `priority`, those of open orders are words."""
-    open_ = F.col("o_orderstatus") == "O"
-    word = F.regexp_extract("o_orderpriority", "[A-Z]+$", 0)
-    rows = read_table(spark, sf_dir, "orders").where(word != "").select(
-        F.lit("PLAIN").alias("class"), F.concat(word, F.when(open_, "").otherwise(".")).alias("written"), F.concat(F.lower(word), F.when(open_, "").otherwise(" priority")).alias("spoken")
-    )
+    """Priorities with a full stop are abbreviations of their name and `priority`, those of open orders are words; the case tells the status."""
+    status, word = F.col("o_orderstatus"), F.regexp_extract("o_orderpriority", "[A-Z]+$", 0)
+    written = F.when(status == "O", word).when(status == "P", F.concat(F.initcap(word), F.lit("."))).otherwise(F.concat(F.lower(word), F.lit(".")))
+    rows = read_table(spark, sf_dir, "orders").where(word != "").select(F.lit("PLAIN").alias("class"), written.alias("written"), F.concat(F.lower(word), F.when(status == "O", "").otherwise(" priority")).alias("spoken"))
     return priors.abbreviation_priors(rows)
 
 
@@ -453,11 +462,11 @@ def reading_tiers(spark, sf_dir):
     """The counts behind readings of shapes: measured, attested with another class only, or unknown."""
     asked = read_table(spark, sf_dir, "pages").select(tf.shape(F.col("url")).alias("shape"), F.lit("DATE").alias("class")).where("shape IS NOT NULL")
     fixed = spark.createDataFrame([("N", "DATE"), ("N", "MONEY"), ("¤N,N.N", "MONEY")], "shape string, class string")
-    return priors.reading_prior(asked.unionAll(fixed).distinct(), priors.type_priors(_rows(spark, sf_dir))).fillna(-1, ["n", "total"]).select("shape", "class", "n", "total", "tier")
+    return priors.reading_prior(asked.unionAll(fixed).distinct(), priors.type_priors(_written(spark, sf_dir))).fillna(-1, ["n", "total"]).select("shape", "class", "n", "total", "tier")
 
 
 @query(rf"""WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS w, 'cardinal' AS c FROM orders UNION ALL SELECT strftime(o_orderdate, '%Y'), 'date' FROM orders), f AS (SELECT substr(w, 1, 2) AS century, c, count(*) AS n FROM r WHERE regexp_matches(w, '^[0-9]{{4}}$') GROUP BY 1, 2),
-t AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS written FROM lineitem WHERE l_orderkey BETWEEN 1000 AND 9999),
+t AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS written FROM lineitem WHERE regexp_matches(CAST(l_orderkey AS VARCHAR), '^[1-9][0-9]{{3}}$')),
 {_cardinal_sql('SELECT l_orderkey AS n FROM lineitem UNION ALL SELECT l_orderkey // 100 FROM lineitem UNION ALL SELECT l_orderkey % 100 FROM lineitem UNION ALL SELECT l_orderkey // 10 % 10 FROM lineitem UNION ALL SELECT l_orderkey // 100 % 10 FROM lineitem UNION ALL SELECT l_orderkey % 10 FROM lineitem UNION ALL SELECT l_orderkey // 1000 % 10 FROM lineitem')},
 x AS (SELECT written, k.choice, coalesce(f.n, 0) AS n, k.place, CAST(written AS BIGINT) AS y FROM t CROSS JOIN (VALUES ('date', 0), ('cardinal', 1), ('digit', 2)) AS k(choice, place) LEFT JOIN f ON f.century = substr(written, 1, 2) AND f.c = k.choice)
 SELECT written, choice, x.n AS n, row_number() OVER (PARTITION BY written ORDER BY x.n DESC, place) AS rank, CASE choice WHEN 'cardinal' THEN yw.w WHEN 'date' THEN {_YEAR}
@@ -466,8 +475,8 @@ FROM x JOIN words AS yw ON yw.n = y JOIN words AS hw ON hw.n = y // 100 JOIN wor
 JOIN words AS d3 ON d3.n = y // 1000 JOIN words AS d2 ON d2.n = y // 100 % 10 JOIN words AS d1 ON d1.n = y // 10 % 10 JOIN words AS d0 ON d0.n = y % 10""")
 def four_digit_forms(spark, sf_dir):
     """The forms of bare four-digit tokens (year, number, digits), ranked by how tokens of their century are read."""
-    tokens = read_table(spark, sf_dir, "lineitem").where("l_orderkey BETWEEN 1000 AND 9999").select(F.col("l_orderkey").cast("string").alias("written")).distinct()
-    return choices.four_digit_forms(tokens, priors.century_priors(_rows(spark, sf_dir)))
+    tokens = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("written")).where(F.col("written").rlike(r"\A[1-9][0-9]{3}\z")).distinct()
+    return choices.four_digit_forms(tokens, priors.century_priors(_written(spark, sf_dir)))
 
 
 from . import forms  # noqa: E402, F401  its queries register themselves here
