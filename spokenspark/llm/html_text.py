@@ -24,6 +24,10 @@ PATHS, WORDS = 4096, 1024
 
 #: The elements of HTML by how they are read.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "canvas"}
+#: Raw elements that end in their own tag where it has a slash, and those whose text is code or never shown, to the end of the page if need be.
+EMBEDDED, CODE = {"svg", "iframe", "object", "canvas", "template"}, {"script", "style", "textarea", "title"}
+#: Elements of running text.
+TEXT_TAGS = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "td", "dd")
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Names of page parts that are not the article, in tags, roles, classes and ids.
@@ -53,26 +57,41 @@ class Block:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in order. White space is single and trimmed, character references are decoded."""
+    """The blocks of a page in order. White space is single and trimmed, character references are decoded.
+
+    A raw element without an end tag is its tag alone, unless it is code. Open tags are counted, so the time grows with the
+    page and not with its depth. A path has each different step once.
+    """
     page = page or ""
     stack: list[tuple[str, frozenset[str]]] = []
+    open_: Counter[str] = Counter()  # of each tag on the stack
+    places: dict[tuple[str, frozenset[str]], list[int]] = {}  # of each step on the stack
     found: list[Block] = []
     parts: list[str] = []
-    linked = [0]
-    at = 0
+    linked = at = 0
 
     def add(text: str) -> None:
+        nonlocal linked
         parts.append(text)
-        if any(t == "a" for t, _ in stack):
-            linked[0] += len(text)
+        if open_["a"]:
+            linked += len(text)
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = tuple(x for x in stack if x[0] not in INLINE or x[1] & ASIDE_NAMES)
-            found.append(Block(path, text, min(1.0, linked[0] / max(sum(map(len, parts)), 1))))
+            steps = sorted((x for x in places if x[0] not in INLINE or x[1] & ASIDE_NAMES), key=lambda x: places[x][-1])  # each where it was last opened
+            found.append(Block(tuple(steps), text, min(1.0, linked / max(sum(map(len, parts)), 1))))
         parts.clear()
-        linked[0] = 0
+        linked = 0
+
+    def drop(least: int) -> None:
+        while len(stack) > least:
+            step = stack.pop()
+            open_[step[0]] -= 1
+            places[step].pop()
+            if not places[step]:
+                del places[step]
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -83,12 +102,15 @@ def blocks(page: str | None) -> list[Block]:
         at = m.end()
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, slashed = m[2].lower(), (m[3] or "").endswith("/")
         if tag in RAW and not m[1]:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if not (slashed and tag in EMBEDDED):
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = end.end() if end else len(page) if tag in CODE else at
             continue
         names = _names(m[3]) if m[3] and not m[1] else frozenset()
+        if tag in INLINE and any(open_[t] for t in TEXT_TAGS):
+            names = frozenset()  # inside a sentence names part nothing
         if tag in VOID:
             if tag in ("br", "hr"):
                 flush()
@@ -96,19 +118,25 @@ def blocks(page: str | None) -> list[Block]:
         if tag not in INLINE or names & ASIDE_NAMES:
             flush()
         if m[1]:
-            if any(t == tag for t, _ in stack):
-                if tag in INLINE and any(n & ASIDE_NAMES for t, n in stack if t == tag):
+            if open_[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                if tag in INLINE and stack[k][1] & ASIDE_NAMES:
                     flush()
-                while stack.pop()[0] != tag:
-                    pass
-        elif not m[3].endswith("/"):
+                drop(k)
+        elif not slashed:
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th") or re.fullmatch(r"h[1-6]|div|section|article|footer|nav|ul|ol|aside|header|main|form|table|blockquote|pre", tag):
                 # an open p ends where a block begins; an open li ends where the next begins
-                for closed in ({"p"} | ({tag} if tag in ("li", "dt", "dd", "tr", "td", "th") else set())) & {t for t, _ in stack}:
-                    k = max(i for i, (t, _) in enumerate(stack) if t == closed)
-                    if not any(t in ("ul", "ol", "table", "div", "section", "article") for t, _ in stack[k + 1 :]):
-                        del stack[k:]
+                for closed in ({"p", tag} if tag in ("li", "dt", "dd", "tr", "td", "th") else {"p"}):
+                    k = len(stack) - 1 if open_[closed] else -1
+                    while k >= 0 and stack[k][0] != closed and stack[k][0] not in ("ul", "ol", "table", "div", "section", "article"):
+                        k -= 1
+                    if k >= 0 and stack[k][0] == closed:
+                        drop(k)
+            places.setdefault((tag, names), []).append(len(stack))
             stack.append((tag, names))
+            open_[tag] += 1
     flush()
     return found
 
