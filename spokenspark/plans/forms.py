@@ -82,23 +82,24 @@ _SPANS = ("CAST(l_partkey % 40 AS INTEGER)", "CAST(l_partkey % 40 + 1 + l_suppke
 COVERS = 10
 
 
-@query(f"""WITH RECURSIVE spans AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, e) AS i FROM (SELECT DISTINCT l_orderkey AS k, {_SPANS[0]} AS s, {_SPANS[1]} AS e FROM lineitem)),
-covers AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, CAST(0 AS INTEGER) AS "end", CAST(0 AS BIGINT) AS covered, CAST(0 AS BIGINT) AS n, CAST([] AS INTEGER[]) AS early, CAST([] AS VARCHAR[]) AS chain FROM spans
-  UNION ALL SELECT c.k, x.i, x.e, c.covered + x.e - x.s, c.n + 1, c.early || [x.s, x.e], list_append(c.chain, x.s || '-' || x.e) FROM covers AS c JOIN spans AS x ON x.k = c.k AND x.i > c.i AND x.s >= c."end"),
-placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY covered DESC, n, early) AS rank, count(*) OVER (PARTITION BY k) AS n_covers FROM covers),
-top AS (SELECT k, covered, n FROM placed WHERE rank = 1),
-next_ AS (SELECT p.k, min({{'a': t.covered - p.covered, 'b': p.n - t.n}}) AS m FROM placed AS p JOIN top AS t ON t.k = p.k WHERE (p.covered, p.n) <> (t.covered, t.n) GROUP BY 1)
-SELECT p.k, rank, covered, n AS spans, array_to_string(chain, ',') AS chain, n_covers, m.a AS margin_covered, m.b AS margin_spans, n_covers > {COVERS} AS truncated FROM placed AS p JOIN next_ AS m ON m.k = p.k WHERE rank <= {COVERS}""")
+@query(f"""WITH RECURSIVE spans AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, e) AS i FROM (SELECT l_orderkey AS k, {_SPANS[0]} AS s, {_SPANS[1]} AS e, max(CAST(l_quantity AS BIGINT) % 3) AS c FROM lineitem GROUP BY 1, 2, 3)),
+covers AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, CAST(0 AS INTEGER) AS "end", CAST(0 AS BIGINT) AS covered, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS captures, CAST([] AS INTEGER[]) AS early, CAST([] AS VARCHAR[]) AS chain FROM spans
+  UNION ALL SELECT c.k, x.i, x.e, c.covered + x.e - x.s, c.n + 1, c.captures + x.c, c.early || [x.s, x.e], list_append(c.chain, x.s || '-' || x.e) FROM covers AS c JOIN spans AS x ON x.k = c.k AND x.i > c.i AND x.s >= c."end"),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY covered DESC, n, captures DESC, early) AS rank, count(*) OVER (PARTITION BY k) AS n_covers FROM covers),
+top AS (SELECT k, covered, n, captures FROM placed WHERE rank = 1),
+next_ AS (SELECT p.k, min({{'a': t.covered - p.covered, 'b': p.n - t.n, 'c': t.captures - p.captures}}) AS m FROM placed AS p JOIN top AS t ON t.k = p.k WHERE (p.covered, p.n, p.captures) <> (t.covered, t.n, t.captures) GROUP BY 1)
+SELECT p.k, rank, covered, n AS spans, captures, array_to_string(chain, ',') AS chain, n_covers, m.a AS margin_covered, m.b AS margin_spans, m.c AS margin_captures, n_covers > {COVERS} AS truncated FROM placed AS p JOIN next_ AS m ON m.k = p.k WHERE rank <= {COVERS}""")
 def cover_ranks(spark, sf_dir):
     """The ten best covers of each order's lines as spans, with their number and the margin of the best; the SQL lists all covers."""
     lines = read_table(spark, sf_dir, "lineitem")
-    one = F.struct(F.expr("cast(l_partkey % 40 AS int)").alias("start"), F.expr("cast(l_partkey % 40 + 1 + l_suppkey % 12 AS int)").alias("end"), F.lit(0).alias("rank"), F.lit("").alias("type"), F.lit("").alias("surface"))
-    found = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_distinct(F.collect_list(one)).cast(READING).alias("found"))
-    each = found.select("k", resolve.ranked_covers(F.col("found"), COVERS).alias("r")).select("k", "r.*").select("k", F.posexplode("covers").alias("at", "c"), "n_covers", "margin", "truncated")
+    one = F.struct(F.expr("cast(l_partkey % 40 AS int)").alias("start"), F.expr("cast(l_partkey % 40 + 1 + l_suppkey % 12 AS int)").alias("end"), F.lit(0).alias("rank"), F.lit("").alias("type"), F.repeat(F.lit("x"), F.expr("cast(l_quantity AS int) % 3")).alias("surface"))
+    spans = lines.select(F.col("l_orderkey").alias("k"), one.alias("c")).groupBy("k", "c.start", "c.end", "c.rank", "c.type").agg(F.max("c.surface").alias("surface"))
+    found = spans.groupBy("k").agg(F.collect_list(F.struct("start", "end", "rank", "type", "surface")).cast(READING).alias("found"))
+    each = found.select("k", resolve.ranked_covers(F.col("found"), COVERS, lambda c: F.length(c["surface"])).alias("r")).select("k", "r.*").select("k", F.posexplode("covers").alias("at", "c"), "n_covers", "margin", "truncated")
     chain = F.array_join(F.transform("c.chain", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return each.select(
-        "k", (F.col("at") + 1).cast("long").alias("rank"), F.col("c.covered").cast("long").alias("covered"), (-F.col("c.fewer")).cast("long").alias("spans"), chain.alias("chain"), F.col("n_covers").cast("long").alias("n_covers"),
-        F.col("margin.covered").cast("long").alias("margin_covered"), F.col("margin.spans").cast("long").alias("margin_spans"), "truncated",
+        "k", (F.col("at") + 1).cast("long").alias("rank"), F.col("c.covered").cast("long").alias("covered"), (-F.col("c.fewer")).cast("long").alias("spans"), F.col("c.captures").cast("long").alias("captures"), chain.alias("chain"), F.col("n_covers").cast("long").alias("n_covers"),
+        F.col("margin.covered").cast("long").alias("margin_covered"), F.col("margin.spans").cast("long").alias("margin_spans"), F.col("margin.captures").cast("long").alias("margin_captures"), "truncated",
     )
 
 
