@@ -32,6 +32,11 @@ def refusal(text: Column) -> Column:
     )
 
 
+def unit_refusal(text: Column, most: int | None = MAX_UNIT) -> Column:
+    """Why a unit (a sentence, or a text that is read as one) is refused, or null: it has more than `most` code points."""
+    return F.when(F.length(text) > most, F.lit("unit too long")) if most is not None else F.lit(None).cast("string")
+
+
 def folded(text: Column) -> Column:
     """Typographic characters and full-width digits as ASCII, of the same length; full-width separators between digits, signs
     beside a digit and unit symbols after one as well."""

@@ -155,6 +155,19 @@ def spans(text: Column, family: Family, rank: int = 0) -> Column:
     return F.aggregate(pairs, zero, step, lambda acc: acc["found"])
 
 
+#: A domain of any ending; which endings exist is a list's to say.
+_DOMAIN = Family("electronic:domain", r"(?<![A-Za-z0-9_.@-])(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9_-])", False)
+
+
+def listed_domains(docs: DataFrame, text: str, endings: DataFrame) -> DataFrame:
+    """docs' other columns, start, end, surface and ending of the domains in a column whose ending (after the last dot, in lower case)
+    is one of endings (value), as sources.read_list gives them. The list may be of any size: it is joined, not written into an expression."""
+    others = [c for c in docs.columns if c != text]
+    found = docs.where(F.col(text).contains(".")).select(*others, F.explode(spans(F.col(text), _DOMAIN)).alias("_c"))
+    rows = found.select(*others, F.col("_c.start").alias("start"), F.col("_c.end").alias("end"), F.col("_c.surface").alias("surface"), F.lower(F.substring_index("_c.surface", ".", -1)).alias("ending"))
+    return rows.join(endings.select(F.lower("value").alias("ending")).distinct(), "ending").select(*others, "start", "end", "surface", "ending")
+
+
 def candidates(text: Column, families: list[Family] | None = None) -> Column:
     """All readings of all families, in order of start, end and rank.
 

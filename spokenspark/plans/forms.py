@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import locale_rules
 from ..functions import spellout as say
 from ..functions import text as tf
-from ..operators import alternatives, compose, electronic, filters, locales, resolve, respelling, sentences, telephone
+from ..operators import alternatives, compose, detect, electronic, filters, locales, resolve, respelling, sentences, telephone
 from ..operators.detect import READING
 from ..sources.tables import read_table
 from . import evaluate, running
@@ -387,3 +387,14 @@ def sentence_lookahead(spark, sf_dir):
     read = runs.select("id", "unit", "prefix", F.col("text").substr(F.col("unit"), F.col("prefix") - F.col("unit") + 1).rlike(_AHEAD).alias("reading"))
     found = running.lookahead(read, ["id", "unit"]).withColumn("more", (F.col("stable") - F.col("unit")).cast("long"))
     return found.groupBy(F.col("final").alias("ends")).agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY more)").cast("long").alias("half"), F.max("more").alias("most"))
+
+
+@query(r"""WITH h AS (SELECT page_id, url, regexp_extract(url, '//([^/?#]+)', 1) AS host FROM pages WHERE url IS NOT NULL), e AS (SELECT lower(regexp_extract(host, '([A-Za-z]+)$', 1)) AS ending FROM h WHERE host LIKE '%.%' GROUP BY 1 HAVING count(*) >= 20),
+m AS (SELECT page_id, unnest(regexp_extract_all(url, '(?:^|[^A-Za-z0-9_.@-])((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?:$|[^A-Za-z0-9_-])', 1)) AS surface, url FROM h)
+SELECT page_id, CAST(strpos(url, surface) - 1 AS INTEGER) AS start, CAST(strpos(url, surface) - 1 + length(surface) AS INTEGER) AS "end", surface, ending FROM m JOIN e ON ending = lower(regexp_extract(surface, '[A-Za-z]+$'))""")
+def listed_domains(spark, sf_dir):
+    """Domains in the pages' URLs whose ending is that of twenty hosts at least."""
+    pages = read_table(spark, sf_dir, "pages").where("url IS NOT NULL")
+    host = F.regexp_extract("url", "//([^/?#]+)", 1)
+    endings = pages.where(host.contains(".")).groupBy(F.lower(F.regexp_extract(host, r"([A-Za-z]+)\z", 1)).alias("value")).count().where("count >= 20")
+    return detect.listed_domains(pages.select("page_id", "url"), "url", endings)
