@@ -11,6 +11,7 @@ TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 SCALES = ["", " thousand", " million", " billion", " trillion", " quadrillion", " quintillion"]
 ORDINAL_ENDS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
 MONTHS = "January February March April May June July August September October November December".split()
+WEEKDAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
 BELOW_100 = ONES + [t + (f"-{ONES[i]}" if i else "") for t in TENS for i in range(10)]
 #: Units by their written symbol: one and several.
 UNITS = {
@@ -251,3 +252,24 @@ def quarter(text: Column) -> Column:
     """Q3 2021 is third quarter twenty twenty-one."""
     y = F.nullif(F.regexp_extract(text, r"([0-9]{4})\z", 1), F.lit("")).cast("int")
     return F.concat_ws(" ", ordinal(F.regexp_extract(text, r"\AQ([1-4])", 1).cast("int")), F.lit("quarter"), F.when(y.isNotNull(), year(y)))
+
+
+def date_interval(text: Column) -> Column:
+    """May 3–5, 2020 is may third to fifth twenty twenty; the month is named once."""
+    name = F.lower(F.substring(F.regexp_extract(text, r"\A([A-Za-z]+)", 1), 1, 3))
+    month = F.array_position(F.array(*[F.lit(x[:3].lower()) for x in MONTHS]), name).cast("int")
+    of = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("int")
+    y = of(r", ([0-9]{4})\z")
+    return F.concat_ws(" ", date(F.lit(None).cast("int"), month, of(r"([0-9]{1,2}) ?[–-]")), F.lit("to"), ordinal(of(r"[–-] ?([0-9]{1,2})")), F.when(y.isNotNull(), year(y)))
+
+
+def relative_date(text: Column) -> Column:
+    """3 days ago is three days ago, in 2 weeks in two weeks."""
+    return F.concat(F.regexp_extract(text, r"\A([^0-9]*)", 1), cardinal(F.regexp_extract(text, "([0-9]+)", 1).cast("long")), F.regexp_extract(text, r"[0-9]( [a-z ]+)\z", 1))
+
+
+def clock_seconds(text: Column) -> Column:
+    """5:30:01 PM is five thirty and one second p m."""
+    of = lambda i: F.regexp_extract(text, r"\A([0-9]+):([0-9]+):([0-9]+)", i).cast("int")
+    half = F.when(text.rlike("(?i)a"), "a m").otherwise("p m")
+    return F.concat_ws(" ", time(of(1), of(2)), F.lit("and"), cardinal(of(3)), F.when(of(3) == 1, "second").otherwise("seconds"), half)

@@ -15,6 +15,8 @@ from ..functions import spellout
 from ..functions.text import isbn_valid
 
 _MONTH = "(?:" + "|".join(m + (f"|{m[:3]}\\.?" if len(m) > 4 else "") for m in spellout.MONTHS) + ")"
+_WEEKDAY = "(?:" + "|".join(spellout.WEEKDAYS) + ")"
+_SPAN = "(?:second|minute|hour|day|week|month|year)s?"
 _UNIT = "(?:" + "|".join(sorted(spellout.UNITS, key=len, reverse=True)) + ")"
 _AMOUNT = r"-?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
 _SCALE = "(?:thousand|million|billion|trillion)"
@@ -72,6 +74,10 @@ FAMILIES = [
     Family("date:quarter", r"(?<![\w-])Q[1-4](?: [12][0-9]{3})?(?![\w-])"),
     Family("date:text-flexible", rf"\b{_MONTH} [0-9]{{1,2}}(?:st|nd|rd|th)?(?:,? [0-9]{{4}})?\b"),
     Family("date:text-flexible", rf"\b[0-9]{{1,2}}(?:st|nd|rd|th)? {_MONTH}(?: [0-9]{{4}})?\b"),
+    Family("date:weekday", rf"\b{_WEEKDAY},? {_MONTH} [0-9]{{1,2}}(?:st|nd|rd|th)?(?:,? [0-9]{{4}})?\b"),
+    Family("date:interval", rf"\b{_MONTH} [0-9]{{1,2}} ?[–-] ?[0-9]{{1,2}}(?:, [0-9]{{4}})?(?![\w–-])"),
+    Family("date:relative", rf"{_FREE}(?:[0-9]{{1,3}} {_SPAN} ago|in [0-9]{{1,3}} {_SPAN})(?!\w)"),
+    Family("time:seconds", r"(?<![\w:.])(?:0?[1-9]|1[0-2]):[0-5][0-9]:[0-5][0-9] ?[aApP]\.?[mM]\b\.?"),
     Family("date:era", r"\b[0-9]{1,4} ?(?:BCE?|CE|AD|B\.C\.(?:E\.)?|C\.E\.|A\.D\.)(?![\p{L}\p{Nd}])"),
     Family("date:era", r"\b(?:AD|A\.D\.) ?[0-9]{1,4}\b(?![.,][0-9])"),
     Family("date:elided", r"(?<![\p{L}\p{Nd}'])'[0-9]{2}(?![\p{L}\p{Nd}])"),

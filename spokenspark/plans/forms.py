@@ -13,7 +13,7 @@ from ..operators.detect import READING
 from ..sources.tables import read_table
 from . import evaluate, running
 from .priors import STRENGTH
-from .queries import _CENTS, _LETTER_KEY, _ONES, _YEAR, _cardinal_sql, _ordinal_sql, query
+from .queries import _CENTS, _LETTER_KEY, _MONTHS, _ONES, _YEAR, _cardinal_sql, _ordinal_sql, _recognized, _recognized_sql, _years_sql, query
 
 _DIGIT_WORDS = f"array_to_string(list_transform(regexp_extract_all({{}}, '[0-9]'), lambda d: CASE WHEN d = '0' THEN 'o' ELSE ([{_ONES}])[CAST(d AS INTEGER) + 1] END), ' ')"
 _SIGNS = ", ".join(f"('{s}', {i}, '{n}')" for s, names in electronic.SIGN_NAMES.items() for i, n in enumerate(names))
@@ -398,3 +398,33 @@ def listed_domains(spark, sf_dir):
     host = F.regexp_extract("url", "//([^/?#]+)", 1)
     endings = pages.where(host.contains(".")).groupBy(F.lower(F.regexp_extract(host, r"([A-Za-z]+)\z", 1)).alias("value")).count().where("count >= 20")
     return detect.listed_domains(pages.select("page_id", "url"), "url", endings)
+
+
+_DAYS = ", ".join(f"'{d}'" for d in say.WEEKDAYS)
+_SPANS_SQL = "(['second', 'minute', 'hour', 'day', 'week', 'month', 'year'])[m % 7 + 1]"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, isodow(o_orderdate) AS wd, count(*) AS c FROM orders GROUP BY ALL),
+{_cardinal_sql('SELECT y AS n FROM d UNION ALL SELECT y // 100 FROM d UNION ALL SELECT y % 100 FROM d UNION ALL SELECT * FROM range(1, 32)')}, {_years_sql('SELECT DISTINCT y FROM d')},
+x AS (SELECT d.*, yr.w AS yw, dw.w AS dw, {_ordinal_sql('dw.w')} AS ow, ([{_MONTHS}])[m] AS mo, upper(([{_MONTHS}])[m][1]) || ([{_MONTHS}])[m][2:] AS name, ([{_DAYS}])[wd] AS dayname, {_SPANS_SQL} || CASE WHEN d.d = 1 THEN '' ELSE 's' END AS span FROM d JOIN yr ON yr.y = d.y JOIN words AS dw ON dw.n = d.d),
+z AS (SELECT x.*, {_ordinal_sql('nw.w')} AS ow2 FROM x JOIN words AS nw ON nw.n = CASE WHEN d = 31 THEN 31 ELSE d + 1 END)
+""" + _recognized_sql("""SELECT dayname || ', ' || name || ' ' || d || ', ' || y AS written, 'date:weekday' AS type, lower(dayname) || ' ' || mo || ' ' || ow || ' ' || yw AS spoken, c FROM z
+UNION ALL SELECT name || ' ' || d || '–' || CASE WHEN d = 31 THEN 31 ELSE d + 1 END || ', ' || y, 'date:interval', mo || ' ' || ow || ' to ' || ow2 || ' ' || yw, c FROM z
+UNION ALL SELECT d || ' ' || span || ' ago', 'date:relative', dw || ' ' || span || ' ago', c FROM z UNION ALL SELECT 'in ' || d || ' ' || span, 'date:relative', 'in ' || dw || ' ' || span, c FROM z"""))
+def normalize_date_forms(spark, sf_dir):
+    """Dates with their weekday, intervals of days, and dates told from today."""
+    at, name = F.col("o_orderdate"), F.date_format("o_orderdate", "MMMM")
+    d, last = F.dayofmonth(at), F.least(F.dayofmonth(at) + 1, F.lit(31))
+    span = F.concat(F.element_at(F.array(*[F.lit(x) for x in "second minute hour day week month year".split()]), F.month(at) % 7 + 1), F.when(d == 1, "").otherwise("s"))
+    form = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return _recognized(read_table(spark, sf_dir, "orders"), form(F.date_format(at, "EEEE"), ", ", name, " ", d, ", ", F.year(at)), form(name, " ", d, "–", last, ", ", F.year(at)), form(d, " ", span, " ago"), form("in ", d, " ", span))
+
+
+@query(f"""WITH t AS (SELECT (hour(ts) + 11) % 12 + 1 AS h, minute(ts) AS m, second(ts) AS s, hour(ts) < 12 AS am, count(*) AS c FROM events WHERE ts IS NOT NULL GROUP BY ALL), {_cardinal_sql('SELECT h AS n FROM t UNION ALL SELECT m FROM t UNION ALL SELECT s FROM t')}
+""" + _recognized_sql("""SELECT h || ':' || lpad(CAST(m AS VARCHAR), 2, '0') || ':' || lpad(CAST(s AS VARCHAR), 2, '0') || CASE WHEN am THEN ' AM' ELSE ' PM' END AS written, 'time:seconds' AS type,
+  x.w || ' ' || CASE WHEN m = 0 THEN 'o''clock' WHEN m < 10 THEN 'o ' || y.w ELSE y.w END || ' and ' || z.w || CASE WHEN s = 1 THEN ' second' ELSE ' seconds' END || CASE WHEN am THEN ' a m' ELSE ' p m' END AS spoken, c FROM t JOIN words AS x ON x.n = h JOIN words AS y ON y.n = m JOIN words AS z ON z.n = s"""))
+def normalize_clock_forms(spark, sf_dir):
+    """Times of day with seconds and their half of the day."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    written = F.concat((F.pmod(F.hour("ts") + 11, F.lit(12)) + 1).cast("string"), F.lit(":"), two(F.minute("ts")), F.lit(":"), two(F.second("ts")), F.when(F.hour("ts") < 12, " AM").otherwise(" PM"))
+    return _recognized(read_table(spark, sf_dir, "events").where("ts IS NOT NULL"), written)
