@@ -13,6 +13,11 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def part(array: Column, first: Column, last: Column) -> Column:
+    """The places first to last of an array (a column or a bound value), in time of their number (slice() goes through the whole)."""
+    return F.transform(F.sequence(first, last), lambda i: F.get(array, i))
+
+
 def running(numbers: Column, join: Callable[[Column, Column], Column], block: int = 64, kind: str = "int") -> Column:
     """An array of ints (or of another kind) with each place joined to all before it. Blocks go first and what came before them is joined after,
     so that no growing array is copied for every place."""
@@ -24,9 +29,13 @@ def running(numbers: Column, join: Callable[[Column, Column], Column], block: in
         ends = within(F.transform(parts, last))
         return bound(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(bound(F.get(e, i - 1), lambda at: F.transform(p, lambda x: join(at, x)))))))
 
-    n = F.size(numbers)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / block).cast("int")), lambda k: within(F.slice(numbers, k * block + 1, F.lit(block))))
-    return F.when(n > 0, bound(cut, shifted)).otherwise(none)
+
+    def summed(whole: Column) -> Column:
+        n = F.size(whole)
+        blocks = F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / block).cast("int"))
+        return F.when(n > 0, bound(F.transform(blocks, lambda k: within(part(whole, k * block, F.least((k + 1) * block, n) - 1))), shifted)).otherwise(none)
+
+    return bound(numbers, summed)
 
 
 def running_sums(numbers: Column) -> Column:
