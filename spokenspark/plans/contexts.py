@@ -22,22 +22,25 @@ def _heard_lines(spark, sf_dir) -> DataFrame:
         F.round(F.col("l_discount") * 100).cast("long").alias("d"), F.year("l_shipdate").cast("long").alias("y"),
     ).distinct()
     ln, q, d, y, k = F.col("ln"), F.col("q"), F.col("d"), F.col("y"), (F.col("ok") + F.col("ln")) % 7
-    token = lambda kind, written, spoken: F.struct(F.lit(kind).alias("class"), written.cast("string").alias("written"), spoken.alias("spoken"))
-    number = lambda n: token("CARDINAL", n, say.cardinal(n))
-    dated = lambda n: token("DATE", n, F.when(q % 5 == 0, say.cardinal(n)).otherwise(say.year(n)))
+    token = lambda kind, written, how: F.struct(F.lit(kind).alias("class"), written.cast("string").alias("written"), how.alias("how"))
+    number = lambda n: token("CARDINAL", n, F.lit("cardinal"))
+    dated = lambda n: token("DATE", n, F.when(q % 5 == 0, "cardinal").otherwise("year"))
     sign = lambda s, said: token("PUNCT", F.lit(s), said)
     padded = lambda n, size: F.lpad(n.cast("string"), size, "0")
-    silent, to = F.lit("sil"), F.lit("to")
+    silent, to, digits = F.lit("sil"), F.lit("to"), F.lit("digits")
     phone, clock = F.concat_ws("-", padded(F.col("pk") % 1000, 3), padded(F.col("sk") % 10000, 4)), F.concat_ws(":", (q % 24).cast("string"), padded(q, 2))
     kinds = [
-        [number(q), sign("-", F.when(d % 2 == 0, to).otherwise(silent)), number(q + ln)], [dated(y), sign("–", to), dated(y + 1)], [token("TELEPHONE", phone, say.digits(phone))],
-        [number(q % 9 + 1), sign(":", to), number(q)], [token("TIME", clock, say.digits(clock))], [number(q), sign("x", F.when(d % 3 > 0, "by").otherwise("x")), number(d)],
+        [number(q), sign("-", F.when(d % 2 == 0, to).otherwise(silent)), number(q + ln)], [dated(y), sign("–", to), dated(y + 1)], [token("TELEPHONE", phone, digits)],
+        [number(q % 9 + 1), sign(":", to), number(q)], [token("TIME", clock, digits)], [number(q), sign("x", F.when(d % 3 > 0, "by").otherwise("x")), number(d)],
         [number(q), sign("-", silent), number(ln), sign("-", silent), number(d)],
     ]
-    sentence = F.lit(None).cast("array<struct<class:string,written:string,spoken:string>>")
+    sentence = F.lit(None).cast("array<struct<class:string,written:string,how:string>>")
     for i, tokens in enumerate(kinds):
         sentence = F.when(k == i, F.array(*tokens)).otherwise(sentence)
-    return lines.select(*_LINE_KEYS, F.posexplode(sentence).alias("place", "t")).select(*_LINE_KEYS, "place", "t.*")
+    tokens = lines.select(*_LINE_KEYS, F.posexplode(sentence).alias("place", "t")).select(*_LINE_KEYS, "place", "t.*")
+    n, how = F.col("written").try_cast("long"), F.col("how")  # said after the explode: one expression a form, not one a token
+    spoken = F.when(how == "cardinal", say.cardinal(n)).when(how == "year", say.year(n)).when(how == "digits", say.digits(F.col("written"))).otherwise(how)
+    return tokens.withColumn("spoken", spoken).drop("how")
 
 
 def _document_spans(spark, sf_dir) -> DataFrame:
@@ -77,14 +80,15 @@ def prior_range_emission(spark, sf_dir):
     return ranges.emission_counts(_heard_lines(spark, sf_dir), _LINE_KEYS)
 
 
-@query(f"""WITH {_RANGES_SQL}, found AS (SELECT s.doc_id, k.*, coalesce(o.as_range, w.as_range) AS as_range, coalesce(o.single, w.single) AS single
-  FROM (SELECT * FROM spans UNION ALL SELECT DISTINCT NULL, "left", sign, "right" FROM heard) AS s JOIN keys AS k USING ("left", sign, "right") LEFT JOIN emission AS o ON o.key = regexp_replace(k.key, ':0$', '') AND o.as_range + o.single >= 50 LEFT JOIN emission AS w ON w.key = k.kind)
-SELECT doc_id, "left", sign, "right", key, as_range, single, coalesce(as_range > 0 AND as_range >= single, false) AS emits FROM found""")
+@query(f"""WITH {_RANGES_SQL}, found AS (SELECT s.place, k.*, coalesce(o.as_range, w.as_range) AS as_range, coalesce(o.single, w.single) AS single
+  FROM (SELECT '' || doc_id AS place, "left", sign, "right" FROM spans UNION ALL SELECT DISTINCT 'heard', "left", sign, "right" FROM heard) AS s JOIN keys AS k USING ("left", sign, "right") LEFT JOIN emission AS o ON o.key = regexp_replace(k.key, ':0$', '') AND o.as_range + o.single >= 50 LEFT JOIN emission AS w ON w.key = k.kind)
+SELECT place, "left", sign, "right", key, as_range, single, coalesce(as_range > 0 AND as_range >= single, false) AS emits FROM found""")
 def range_decisions(spark, sf_dir):
-    """Every lone separator between two numbers of the documents, and the different heard ones (without a doc_id): whether it is a range,
-    by what was heard of its key."""
+    """Every lone separator between two numbers of the documents (place is the doc_id), and the different heard ones: whether it is a
+    range, by what was heard of its key."""
     tokens = _heard_lines(spark, sf_dir)
-    spans = _document_spans(spark, sf_dir).unionByName(_heard_spans(tokens).distinct().withColumn("doc_id", F.lit(None).cast("long")))
+    own = _document_spans(spark, sf_dir).select(F.col("doc_id").cast("string").alias("place"), "left", "sign", "right")
+    spans = own.unionByName(_heard_spans(tokens).distinct().withColumn("place", F.lit("heard")))
     return ranges.decided(spans, ranges.emission_counts(tokens, _LINE_KEYS))
 
 
