@@ -270,6 +270,50 @@ def locale_dates(spark, sf_dir):
     return locales.spoken(days, {"year": F.year(at), "month": F.month(at), "day": F.dayofmonth(at)}, "date", locales.rules(spark), locales.recipes(spark))
 
 
+_TIME_SQL = {
+    "en": ("hw || ' ' || CASE WHEN m < 10 THEN 'o ' ELSE '' END || mw",), "de": ("hs || ' Uhr ' || mw",), "fr": ("regexp_replace(hw, 'un$', 'une') || CASE WHEN h < 2 THEN ' heure ' ELSE ' heures ' END || regexp_replace(mw, 'un$', 'une')",),
+    "es": ("CASE WHEN h = 1 THEN 'la una' ELSE 'las ' || regexp_replace(hw, 'uno$', 'una') END || ' y ' || mw",), "sv": ("hw || ' ' || CASE WHEN m < 10 THEN 'noll ' ELSE '' END || mw", "'klockan ' || hw || ' ' || CASE WHEN m < 10 THEN 'noll ' ELSE '' END || mw"),
+}
+_FULL_SQL = {"en": ("hw || ' hundred'",), "de": ("hs || ' Uhr'",), "fr": ("regexp_replace(hw, 'un$', 'une') || CASE WHEN h < 2 THEN ' heure' ELSE ' heures' END",), "es": ("CASE WHEN h = 1 THEN 'la una' ELSE 'las ' || regexp_replace(hw, 'uno$', 'una') END || ' en punto'", "CASE WHEN h = 1 THEN 'la una' ELSE 'las ' || regexp_replace(hw, 'uno$', 'una') END"), "sv": ("'klockan ' || hw",)}
+
+
+@query(f"""WITH t AS (SELECT DISTINCT hour(ts) AS h, minute(ts) AS m FROM events), asked AS (SELECT * FROM range(60) AS r(n)), {_LOCALE_WORDS},
+said AS ({_EACH(lambda x: f"SELECT h, m, '{x}' AS locale, a.w AS hw, a.s AS hs, b.w AS mw FROM t JOIN spelled AS a ON a.locale = '{x}' AND a.n = h JOIN spelled AS b ON b.locale = '{x}' AND b.n = m")})
+{" UNION ALL ".join(f"SELECT CAST(h AS INTEGER) AS h, CAST(m AS INTEGER) AS m, locale, CAST({i} AS BIGINT) AS rank, {t} AS spoken FROM said WHERE locale = '{x}' AND {w}" for d, w in ((_TIME_SQL, 'm > 0'), (_FULL_SQL, 'm = 0')) for x in _LOCALES for i, t in enumerate(d[x], 1))}""")
+def locale_times(spark, sf_dir):
+    """Every different time of day of the events in five locales."""
+    times = read_table(spark, sf_dir, "events").select(F.hour("ts").alias("h"), F.minute("ts").alias("m")).distinct()
+    return locales.spoken(times, locales.time_fields(F.col("h"), F.col("m")), "time", locales.rules(spark), locales.recipes(spark))
+
+
+_PERCENT_SQL = {"en": (" point ", " percent", "w"), "de": (" Komma ", " Prozent", "s"), "fr": (" virgule ", " pour cent", "w"), "es": (" coma ", " por ciento", "w"), "sv": (" komma ", " procent", "w")}
+
+
+@query(f"""WITH p AS (SELECT DISTINCT CAST(round(l_discount * 100) AS BIGINT) * 100 + CAST(round(l_tax * 100) AS BIGINT) * 5 AS v FROM lineitem), asked AS (SELECT v // 100 AS n FROM p UNION SELECT * FROM range(10)), {_LOCALE_WORDS}
+{" UNION ALL ".join(f"SELECT v, '{x}' AS locale, CAST(1 AS BIGINT) AS rank, CASE WHEN v % 100 = 0 THEN a.{s} ELSE a.w || '{point}' || CASE WHEN v % 10 = 0 THEN b.w ELSE CASE WHEN b.n = 0 AND '{x}' = 'en' THEN 'o' ELSE b.w END || ' ' || c.w END END || '{sign}' AS spoken FROM p JOIN spelled AS a ON a.locale = '{x}' AND a.n = v // 100 JOIN spelled AS b ON b.locale = '{x}' AND b.n = v // 10 % 10 JOIN spelled AS c ON c.locale = '{x}' AND c.n = v % 10" for x, (point, sign, s) in _PERCENT_SQL.items())}""")
+def locale_percents(spark, sf_dir):
+    """Every different discount with a twentieth of the tax as hundredths of a percent, in five locales."""
+    whole = lambda c: F.round(F.col(c) * 100).cast("long")
+    rates = read_table(spark, sf_dir, "lineitem").select((whole("l_discount") * 100 + whole("l_tax") * 5).alias("v")).distinct()
+    return locales.spoken(rates, locales.percent_fields(F.col("v")), "percent", locales.rules(spark), locales.recipes(spark))
+
+
+#: Names of the denominators 2 to 10, of one and of more, the word before one of them, and what stands between two numbers.
+_PARTS_SQL = {
+    "en": ("half third quarter fifth sixth seventh eighth ninth tenth", "halves thirds quarters fifths sixths sevenths eighths ninths tenths", "one", "over"), "de": ("halb Drittel Viertel Fünftel Sechstel Siebtel Achtel Neuntel Zehntel", "Halbe Drittel Viertel Fünftel Sechstel Siebtel Achtel Neuntel Zehntel", "ein", "durch"),
+    "fr": ("demi tiers quart cinquième sixième septième huitième neuvième dixième", "demis tiers quarts cinquièmes sixièmes septièmes huitièmes neuvièmes dixièmes", "un", "sur"), "es": ("medio tercio cuarto quinto sexto séptimo octavo noveno décimo", "medios tercios cuartos quintos sextos séptimos octavos novenos décimos", "un", "sobre"),
+    "sv": ("halv tredjedel fjärdedel femtedel sjättedel sjundedel åttondel niondel tiondel", "halva tredjedelar fjärdedelar femtedelar sjättedelar sjundedelar åttondelar niondelar tiondelar", "en", "genom"),
+}
+
+
+@query(f"""WITH f AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS a, CAST(l_quantity AS BIGINT) AS b FROM lineitem), asked AS (SELECT a AS n FROM f UNION SELECT b FROM f), {_LOCALE_WORDS}
+{" UNION ALL ".join(f"SELECT a, b, '{x}' AS locale, CAST(1 AS BIGINT) AS rank, CASE WHEN a = 1 THEN '{one} ' || ({_list(p)})[b - 1] ELSE n.w || ' ' || ({_list(ps)})[b - 1] END AS spoken FROM f JOIN spelled AS n ON n.locale = '{x}' AND n.n = a WHERE b BETWEEN 2 AND 10 UNION ALL SELECT a, b, '{x}', CASE WHEN b BETWEEN 2 AND 10 THEN 2 ELSE 1 END, n.w || ' {over} ' || d.w FROM f JOIN spelled AS n ON n.locale = '{x}' AND n.n = a JOIN spelled AS d ON d.locale = '{x}' AND d.n = b" for x, (p, ps, one, over) in _PARTS_SQL.items())}""")
+def locale_fractions(spark, sf_dir):
+    """Every different pair of a line's number and quantity as a fraction in five locales: by the part's name, and as one number over another."""
+    pairs = read_table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("a"), F.col("l_quantity").cast("long").alias("b")).distinct()
+    return locales.spoken(pairs, locales.fraction_fields(F.col("a"), F.col("b")), "fraction", locales.rules(spark), locales.recipes(spark))
+
+
 def _heard_forms(spark, sf_dir) -> DataFrame:
     """Labelled rows (type, written, spoken): four-digit keys and years of the orders, fractions and percentages of their lines."""
     orders, lines = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
