@@ -479,4 +479,4 @@ def four_digit_forms(spark, sf_dir):
     return choices.four_digit_forms(tokens, priors.century_priors(_written(spark, sf_dir)))
 
 
-from . import contexts, forms  # noqa: E402, F401  their queries register themselves here
+from . import contexts, forms, signs  # noqa: E402, F401  their queries register themselves here
