@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 from .common import dropped, stored, table
 from .packing import default_ranks, subwords
 
-#: The attention model is fitted on one in SPARSE windows of all training documents, but on LEAST_WINDOWS if there are so many.
-SPARSE, LEAST_WINDOWS = 400, 6_000
-#: Windows that one task learns from, expected, and rounds; after each round the tasks' parameters are averaged.
-TASK_WINDOWS, ROUNDS, BATCH = 2048, 4, 32
+#: Windows of all training documents that a task has at least, if its input can be joined with others', and rounds; after each
+#: round the tasks' parameters are averaged. Each window is learned from in one round; where there are few, in several, so that
+#: a round has some LEAST_WINDOWS.
+TASK_WINDOWS, LEAST_WINDOWS, ROUNDS, BATCH = 2048, 6_000, 4, 32
 #: The most frequent words that every task holds; the others' counts are joined.
 FREQUENT = 200_000
 #: Ids of a window, and of those the ones that a window scores: the rest is context from the window before.
 WINDOW, STRIDE = 128, 96
 VOCABULARY = 50_257
 START = 50_256  # stands before a text and after it
+#: Of the last STRIDE places of a window: itself and what stands before, which a place sees.
+SEEN = np.tril(np.ones((STRIDE, STRIDE), np.float32))
 #: Places for pairs and triples of ids in the model (primes): of those that meet in a place the most frequent one stays, and
 #: what the others would have counts for the shorter context. DISCOUNT is what a count gives to the shorter context.
 PAIRS, TRIPLES, DISCOUNT = 1_048_573, 2_097_143, 0.6
@@ -93,6 +95,7 @@ class Attention:
     p: dict[str, np.ndarray]
     row: np.ndarray
     counts: Counts
+    learned: int = 0  # windows that the weights come from
 
     @classmethod
     def untrained(cls, counts: Counts, width: int = 8, rows: int = 1500, shared: int = 48, seed: int = 1) -> Attention:
@@ -109,30 +112,40 @@ class Attention:
         return cls(p, row, counts)
 
     def _attend(self, ids: np.ndarray) -> tuple:
-        """Of windows (a row of WINDOW ids each), for the last STRIDE places: vectors, queries, keys, values, weights."""
+        """Of windows (a row of WINDOW ids each), for the last STRIDE places: vectors, queries, keys, values with a one beside
+        them, weights that are not yet divided by their sums."""
         p, d, first = self.p, self.p["o"].shape[0], WINDOW - STRIDE
         here, table = self.row[ids], p["e"] @ p["qkv"]  # the vectors of ids and places are added, so each is multiplied once
         qkv = table[here] + p["at"] @ p["qkv"]
-        q, k, v = qkv[:, first:, :d] * np.float32(d**-0.5), qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
+        q, k = qkv[:, first:, :d] * qkv.dtype.type(d**-0.5), qkv[:, :, d : 2 * d]
+        v = np.concatenate([qkv[:, :, 2 * d :], np.ones((*ids.shape, 1), qkv.dtype)], axis=2)
         s = np.matmul(q, k.transpose(0, 2, 1))
-        s += np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)[first:]  # a place sees itself and what stands before
-        return here, q, k, v, _softmax(s)
+        if s.max() > 60:  # the largest that a place sees is taken out first only where some value is large
+            s[:, :, first:] += (SEEN - 1) * np.float32(1e9)
+            s -= s.max(axis=-1, keepdims=True)
+        np.exp(s, out=s)
+        s[:, :, first:] *= SEEN
+        return here, q, k, v, s
 
     def _mixed(self, ids: np.ndarray, follows: np.ndarray, without: int) -> tuple:
         """Probabilities of follows (windows x STRIDE), and what they come from."""
         p, first = self.p, WINDOW - STRIDE
         here, q, k, v, s = self._attend(ids)
-        after = np.concatenate([ids[:, 1:], np.full((len(ids), 1), -1, ids.dtype)], axis=1)  # what followed each place
-        same = follows[:, :, None] == after[:, None, :]
+        after = np.full(ids.shape, VOCABULARY, np.uint16)  # what followed each place; no id behind the last
+        after[:, :-1] = ids[:, 1:]
+        same = follows.astype(np.uint16)[:, :, None] == after[:, None, :]
         i = np.arange(STRIDE)
         same[:, i, i + first] = False  # a place doesn't know what follows itself
         none, one, two = self.counts.shares(ids[:, first - 1 : -1], ids[:, first:], follows, without)
-        copied = np.einsum("bij,bij->bi", s, same, optimize=False) + s[:, i, i + first] * none
+        copied = np.einsum("bij,bij->bi", s, same, optimize=False)
         mixed = np.matmul(s, v)
+        by = 1 / mixed[:, :, -1]
+        copied = (copied + s[:, i, i + first] * none) * by
+        mixed = mixed[:, :, :-1] * by[:, :, None]
         z = (p["e"] @ p["g"])[here[:, first:]] + (p["at"] @ p["g"])[first:] + mixed @ p["o"] + p["b"]
         gates = _softmax(z)
         forecasts = np.stack([none, one, two, copied], axis=2)
-        return np.einsum("bik,bik->bi", gates, forecasts), gates, forecasts, (here, q, k, v, s, same, mixed)
+        return np.einsum("bik,bik->bi", gates, forecasts), gates, forecasts, (here, q, k, v, s, same, mixed, by)
 
     def log10(self, ids: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """log10 probability of each of follows (windows x STRIDE), the ids after the last STRIDE places of the windows."""
@@ -141,15 +154,18 @@ class Attention:
     def step(self, ids: np.ndarray, follows: np.ndarray, without: int = 1) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss in nats over the scored places, and its gradients."""
         p, d, first, g = self.p, self.p["o"].shape[0], WINDOW - STRIDE, {}
-        chance, gates, forecasts, (here, q, k, v, s, same, mixed) = self._mixed(ids, follows, without)
+        chance, gates, forecasts, (here, q, k, v, s, same, mixed, by) = self._mixed(ids, follows, without)
         n, i = chance.size, np.arange(STRIDE)
         dz = (gates - gates * forecasts / chance[:, :, None]) / n
         dcopied = -gates[:, :, 3] / chance / n
         g["b"], g["o"] = dz.sum(axis=(0, 1)), mixed.reshape(-1, d).T @ dz.reshape(-1, EXPERTS)
         dm = dz @ p["o"].T
-        ds = np.matmul(dm, v.transpose(0, 2, 1)) + same * dcopied[:, :, None]
-        ds[:, i, i + first] += dcopied * forecasts[:, :, 0]
-        da = s * (ds - (ds * s).sum(axis=2, keepdims=True))
+        mean = (dm * mixed).sum(axis=2) + dcopied * forecasts[:, :, 3]  # of the weights' gradients, by the weights
+        dm, dcopied = dm * by[:, :, None], dcopied * by
+        da = np.matmul(np.concatenate([dm, -(mean * by)[:, :, None]], axis=2), v.transpose(0, 2, 1))
+        da += same * dcopied[:, :, None]
+        da[:, i, i + first] += dcopied * forecasts[:, :, 0]
+        da *= s
         dqkv = np.zeros((*ids.shape, 3 * d), s.dtype)
         dqkv[:, first:, :d] = np.matmul(da, k) * d**-0.5
         dqkv[:, :, d : 2 * d] = np.matmul(da.transpose(0, 2, 1), q)
@@ -160,8 +176,7 @@ class Attention:
         dx = dqkv @ p["qkv"].T
         dx[:, first:] += dz @ p["g"].T
         g["at"] = dx.sum(axis=0)
-        g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], here.ravel(), dx.reshape(-1, d))
+        g["e"] = np.stack([np.bincount(here.ravel(), dx[:, :, j].ravel(), len(p["e"])) for j in range(d)], axis=1).astype(s.dtype)
         return float(-np.log(chance).mean()), g
 
     def fit(self, full: np.ndarray, steps: int, rate: float = 0.01, last: float = 0.0, seed: int = 2) -> Attention:
@@ -169,7 +184,7 @@ class Attention:
         rng, m, v = np.random.default_rng(seed), {n: np.zeros_like(x) for n, x in self.p.items()}, {n: np.zeros_like(x) for n, x in self.p.items()}
         deal = np.concatenate([rng.permutation(len(full)) for _ in range(-(-steps * BATCH // len(full)))])
         for t in range(1, steps + 1):
-            x = full[deal[(t - 1) * BATCH : t * BATCH]]
+            x = full[deal[(t - 1) * BATCH : t * BATCH]].astype(np.int32)
             _, g = self.step(x[:, :-1], x[:, -STRIDE:])
             now = rate + (last - rate) * t / (steps + 1)
             for n, d in g.items():
@@ -190,7 +205,7 @@ def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return line[at + np.arange(WINDOW)], line[at + np.arange(WINDOW - STRIDE + 1, WINDOW + 1)]
 
 
-def text_scores(model: Attention, texts: list[np.ndarray], most: int = 64) -> np.ndarray:
+def text_scores(model: Attention, texts: list[np.ndarray], most: int = 16) -> np.ndarray:
     """log10 probability of each text (its ids and the end), windows of all texts in batches of at most `most`."""
     both = [windows(t) for t in texts]
     ids, follows = np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both])
@@ -307,8 +322,10 @@ def counted(tokens: DataFrame) -> Counts:
     return Counts(id_counts(tokens), *tables)
 
 
-def drawn_windows(tokens: DataFrame, share: float) -> DataFrame:
-    """(ids) of a share of the windows of all texts of tokens (key, ids), from any place, by a hash of key and place."""
+def drawn_windows(tokens: DataFrame, share: float, start: float = 0.0) -> DataFrame:
+    """(ids) of a share of the windows of all texts of tokens (key, ids), from any place, by a hash of key and place.
+
+    Hashes go round a circle, and the share begins at `start`: shares that lie side by side have each window once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,6 +336,7 @@ def drawn_windows(tokens: DataFrame, share: float) -> DataFrame:
                 h ^= np.uint64((key + 1) * 0xBF58476D1CE4E5B9 % (1 << 64))
                 for shift in (31, 29):
                     h = (h ^ (h >> np.uint64(shift))) * np.uint64(0x94D049BB133111EB)
+                h -= np.uint64(int(start * (1 << 64)))
                 at = np.flatnonzero((h >> np.uint64(11)) < share * (1 << 53))
                 if len(at):
                     ids, follows = windows(x)
@@ -331,16 +349,17 @@ def drawn_windows(tokens: DataFrame, share: float) -> DataFrame:
 def fit(tokens: DataFrame) -> Attention:
     """The attention model of tokens (key, ids). Its forecasts come from the counts of all ids, pairs and triples.
 
-    The weights learn from windows drawn from all places of all texts. Their number grows with the input, and with it the
-    number of tasks: each passes over its own windows from the same weights, and the weights are averaged, ROUNDS times.
+    The weights learn from every window of every text. Each of ROUNDS rounds takes its share of all windows: each task passes
+    over its own from the same weights, and the weights are averaged. Tasks are those that read the input, so the work grows
+    with it and nothing is dealt anew. A task holds its share of what it has read.
     """
     model = Attention.untrained(counted(tokens))
     total = int(tokens.agg(F.coalesce(F.sum(F.ceil((F.octet_length("ids") / 2 + 1) / STRIDE)), F.lit(0))).first()[0])
     if not total:
         return model
-    share = min(1.0, max(1 / SPARSE, LEAST_WINDOWS / total))
-    drawn = stored(drawn_windows(tokens, share), "windows")
+    share = max(1, min(ROUNDS, -(-ROUNDS * LEAST_WINDOWS // total))) / ROUNDS
     n = max(1, round(total * share / TASK_WINDOWS))
+    near = tokens.coalesce(n)
     names, shapes = list(model.p), [x.shape for x in model.p.values()]
     cuts = np.cumsum([x.size for x in model.p.values()])
     sc = tokens.sparkSession.sparkContext
@@ -354,21 +373,23 @@ def fit(tokens: DataFrame) -> Attention:
 
     fixed = sc.broadcast(model.counts)
     for turn in range(ROUNDS):
-        sent = sc.broadcast(Attention(model.p, model.row, None))
+        sent, drawn = sc.broadcast(Attention(model.p, model.row, None)), drawn_windows(near, share, turn / ROUNDS)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             rows = sorted(x for batch in batches for x in batch.column(0).to_pylist())
             if rows:
-                full = np.frombuffer(b"".join(rows), "<u2").reshape(-1, WINDOW + 1).astype(np.int32)
+                full = np.frombuffer(b"".join(rows), "<u2").reshape(-1, WINDOW + 1)
                 steps = -(-max(len(full), TASK_WINDOWS if n == 1 else 0) // BATCH)
                 own = Attention({k: x.copy() for k, x in sent.value.p.items()}, sent.value.row, fixed.value)
                 own.fit(full, steps, 0.01 * (1 - turn / ROUNDS), 0.01 * (1 - (turn + 1) / ROUNDS), seed=2 + turn)
                 flat = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * len(full)
                 yield pa.RecordBatch.from_arrays([pa.array([len(full)], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "p"])
 
-        made = drawn.repartition(n).mapInArrow(run, "n long, p binary").repartition(max(1, round(n**0.5))).mapInArrow(added, "n long, p binary").collect()
-        flat = sum(np.frombuffer(r["p"], np.float64) for r in made) / max(sum(r["n"] for r in made), 1)
-        if sum(r["n"] for r in made):
+        made = drawn.mapInArrow(run, "n long, p binary").repartition(max(1, round(n**0.5))).mapInArrow(added, "n long, p binary").collect()
+        size = sum(r["n"] for r in made)
+        flat = sum(np.frombuffer(r["p"], np.float64) for r in made) / max(size, 1)
+        model.learned += size
+        if size:
             model.p = {k: x.reshape(s).astype(np.float32) for k, x, s in zip(names, np.split(flat, cuts[:-1]), shapes)}
         sent.unpersist()
     fixed.unpersist()

@@ -361,6 +361,19 @@ def test_lm_learns_from_whole_texts(spark, monkeypatch):
     assert lm_scoring.score(docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_lm_weights_learn_from_every_window(spark, monkeypatch):
+    """Each window is learned from in one round, or in every round where there are few; the rounds' shares lie side by side."""
+    texts = {i: " the old fox" * (150 * i) for i in range(1, 40)} | {0: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    tokens = lm_scoring.tokenized(docs.selectExpr("doc_id AS key", "doc_id", "false AS held_out", "text"), packing.default_ranks()).persist()
+    every = sum(len(lm_scoring.windows(np.frombuffer(r["ids"], "<u2"))[0]) for r in tokens.collect())
+    rounds = [{(bytes(r["ids"]), i) for i, r in enumerate(lm_scoring.drawn_windows(tokens, 0.25, k / 4).collect())} for k in range(4)]
+    assert every > 3000 and sum(map(len, rounds)) == every and all(0.2 * every < len(x) < 0.3 * every for x in rounds)
+    assert lm_scoring.fit(tokens.where("key < 3")).learned == 4 * lm_scoring.drawn_windows(tokens.where("key < 3"), 1.0).count()
+    monkeypatch.setattr(lm_scoring, "LEAST_WINDOWS", 1)
+    assert lm_scoring.fit(tokens).learned == every
+
+
 def test_simhash(spark, docs):
     def slow(text):
         w = (text or "").encode().lower().split()
