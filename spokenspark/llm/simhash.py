@@ -18,8 +18,9 @@ SKETCHES, IN_SKETCH = 16, 4
 _MIX = [int(x) | 1 for x in np.random.default_rng(64).integers(1 << 62, 1 << 63, SKETCHES)]
 #: Bins of a signature: one byte of the least shingle hash in each, zero where there is none.
 BINS = 128
-#: Members of a group that are compared with each other, and how often those of a larger one are compared with one of them.
-SMALL, TURNS = 32, 3
+#: Members of a group that are paired as rows, and how often those of a larger one are compared with one of them before its
+#: different components are compared whole, in blocks of about so many bytes of shingles.
+SMALL, TURNS, BLOCK_BYTES = 32, 3, 1 << 25
 
 #: Shingle hashes whose bits are counted in one go.
 BLOCK = 1 << 14
@@ -150,11 +151,10 @@ def _alike(pairs: DataFrame, signatures: DataFrame, similarity: float) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard index of at least `similarity`.
+def _sets(asked: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles): the different shingle hashes, sorted, of the nodes in asked (node); a stored table.
 
-    Only a text that stands in some pair is read again, one for each node: the one with the node's least doc_id."""
-    asked = pairs.selectExpr("explode(array(a, b)) AS node").distinct()
+    One text is read for each node: the one with the node's least doc_id."""
     wanted = nodes.select("node", "least", "text_hash").hint("merge").join(asked, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int
 
     here = wanted.withColumnRenamed("text_hash", "h")
     read = texts.hint("merge").join(here, (texts.text_hash == here.h) & texts.doc_id.eqNullSafe(here.least)).select("node", "text")
-    sets = stored(read.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    return stored(read.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard index of at least `similarity`; only a text that stands in some
+    pair is read again."""
+    sets = _sets(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), texts, nodes, shingle)
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,6 +211,72 @@ def _crossing(shared: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     return out
 
 
+def cross_links(sets: list[np.ndarray], roots: np.ndarray, sides: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Places (i, j) of sets of shingle hashes with a Jaccard index of at least `similarity` and different roots: enough of them
+    that every such pair is joined, by the roots and by these links. With sides only pairs of different ones are compared.
+
+    A bit for each of B classes of hashes says whether a set has an odd number there. Two sets differ in as many hashes as
+    their bits differ, or more; so what the bits tell apart is not alike, and all other pairs are compared whole."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    sizes, side = sizes[order], None if sides is None else np.asarray(sides)[order]
+    part = np.unique(np.asarray(roots)[order], return_inverse=True)[1]
+    apart = (1 - similarity) / (1 + similarity)
+    bits = np.maximum(64, 1 << (2 + np.ceil(np.log2(np.maximum(sizes, 1)))).astype(np.int64))  # at least four for each hash
+    links = []
+    for b in np.unique(bits):
+        lo, hi = np.searchsorted(bits, b), np.searchsorted(bits, b, "right")
+        end = np.searchsorted(sizes, sizes[hi - 1] / similarity + 1e-6, "right")
+        if (part[lo:end] == part[lo]).all():
+            continue
+        maps = np.stack([np.packbits((np.bincount(sets[k] & np.uint32(b - 1), minlength=b) & 1).astype(np.uint8)) for k in order[lo:end]]).view(np.uint64)
+        for x in range(lo, hi):
+            to = np.searchsorted(sizes, sizes[x] / similarity + 1e-6, "right")
+            other = part[x + 1 : to] != part[x]
+            if side is not None:
+                other &= side[x + 1 : to] != side[x]
+            y = np.flatnonzero(other) + x + 1
+            if len(y):
+                unlike = np.bitwise_count(maps[y - lo] ^ maps[x - lo]).sum(axis=1, dtype=np.int64)
+                for z in y[unlike <= apart * (sizes[x] + sizes[y]) + 1e-6]:
+                    if part[z] != part[x]:
+                        common = len(np.intersect1d(sets[order[x]], sets[order[z]], assume_unique=True))
+                        if common >= similarity * (sizes[x] + sizes[z] - common):
+                            links.append((int(order[x]), int(order[z])))
+                            part[part == part[z]] = part[x]
+    return links
+
+
+def _apart(shared: DataFrame, roots: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all alike texts of different roots within the groups (node, bucket) of over SMALL members.
+
+    Every pair of a group is covered. A group's members are dealt to blocks of BLOCK_BYTES, and each two blocks, or one
+    with itself, meet in one task; a group in few bytes is one block. Only groups that hold different roots are read."""
+    joined = stored(shared.hint("merge").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    open_ = joined.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(f"lo <> hi AND n > {SMALL}")
+    members = stored(joined.hint("merge").join(open_.select("bucket"), "bucket").select("bucket", "node", "root"), "open")
+    dropped(joined)
+    if members.isEmpty():
+        return members.selectExpr("node AS a", "root AS b")
+    sets = _sets(members.select("node").distinct(), texts, nodes, shingle)
+    held = members.hint("merge").join(sets.selectExpr("node", "octet_length(shingles) AS size").hint("merge"), "node")
+    parts = stored(held.groupBy("bucket").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("parts")), "parts")
+    own = members.hint("merge").join(parts, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), "parts").cast("int"))
+    dealt = own.hint("merge").join(sets.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "shingles")
+
+    def run(group: pa.Table) -> pa.Table:
+        own, node, root = (group.column(k).to_numpy() for k in ("own", "node", "root"))
+        found = cross_links([np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("shingles")], root, None if group.column("i")[0] == group.column("j")[0] else own, similarity)
+        a, b = (np.array([node[x[k]] for x in found], np.int64) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    out = stored(dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct(), "apart")
+    dropped(sets, parts, members)
+    return out
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text) and component_id of every row: the smallest doc_id reachable over near copies.
 
@@ -215,9 +287,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     First each group of candidates is compared with its center, the text that shares most samples with others (of a text
     and its copies that is the text itself). Then, in groups that are not yet one component, up to SMALL members are compared
-    with each other if their components differ; members of larger groups TURNS times with one that is drawn anew. What is
-    compared grows with the number of texts and not with the square of a group. A pair is compared by signatures of BINS bytes and, if these allow it, on all shingles of the whole texts. Joins
-    are by sorted merges at every size.
+    with each other if their components differ; members of larger groups TURNS times with one that is drawn anew. Such a pair
+    is compared by signatures of BINS bytes and, if these allow it, on all shingles of the whole texts. Last, in larger groups
+    that are still not one component, all members of different components are compared, by bits that lose no pair and then on
+    all shingles; this part grows with the square of what such a group still holds apart. Joins are by sorted merges at every size.
 
     Null and empty texts are alike. Rows with a null doc_id keep it. Rows come out as often as they go in.
     """
@@ -261,6 +334,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         allowed = stored(_alike(crossing, nodes.select("node", "signature"), similarity), "allowed")
         more = _verified(allowed, texts, nodes, shingle, similarity)
         roots = stored(connected_components(roots.selectExpr("node AS a", "root AS b").unionAll(more)), "roots")
+    more = _apart(shared.select("node", "bucket"), roots, texts, nodes, shingle, similarity)
+    roots = stored(connected_components(roots.selectExpr("node AS a", "root AS b").unionAll(more)), "roots")
 
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -455,6 +455,58 @@ def test_similar_documents_without_a_hub(spark, monkeypatch):
     assert all(least[i] == least[c] for i, c in got.items()) and len(set(got.values())) < 70
 
 
+def test_cross_links_against_all_pairs():
+    """Texts of all sizes, some nearly alike: the links join what all pairs join, with roots and with sides."""
+    import random
+
+    rng, sets = random.Random(11), [np.zeros(0, np.uint32)]
+    for size in (1, 3, 9, 60, 63, 64, 65, 500):
+        base = [rng.getrandbits(32) for _ in range(size)]
+        for k in range(25):
+            x = [h for h in base if rng.random() > k / 150] + [rng.getrandbits(32) for _ in range(rng.randrange(1 + size // 8))]
+            sets.append(np.unique(np.array(x, np.uint32)))
+    alike = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) > 0
+    pairs = [(i, j) for i, j in combinations(range(len(sets)), 2) if alike(sets[i], sets[j])]
+
+    def joined(links, root):
+        root = list(root)
+        for i, j in links:
+            root = [root[i] if r == root[j] else r for r in root]
+        return [root.index(r) for r in root]
+
+    for roots in (list(range(len(sets))), [k // 3 for k in range(len(sets))]):
+        for sides in (None, np.arange(len(sets)) % 2):
+            want = [p for p in pairs if sides is None or sides[p[0]] != sides[p[1]]]
+            got = simhash.cross_links(sets, np.array(roots), sides, 0.8)
+            assert {tuple(sorted(p)) for p in got} <= set(want) and len(got) < len(sets) <= len(want)
+            assert joined(got, roots) == joined(want, roots)
+
+
+@pytest.mark.parametrize("block", [1 << 25, 100_000])
+def test_similar_documents_of_large_groups(spark, monkeypatch, block):
+    """Many versions of an absent text, few of them alike, in groups far over SMALL: no link of all pairs is lost."""
+    import random
+
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
+    rng, base, texts = random.Random(7), [f"w{i * 7919 % 1009}" for i in range(200)], {}
+    for k in range(500):
+        w, first = list(base), rng.randrange(0, 150)
+        for i in range(first, first + 17):
+            w[i] = f"n{k}x{i}"
+        texts[k] = " ".join(w)
+    sets = {k: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for k, t in texts.items()}
+    alike = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    prints = {k: simhash.simhash(t, 5) for k, t in texts.items()}
+    close = [(a, b) for a, b in combinations(texts, 2) if ((prints[a] ^ prints[b]) % (1 << 64)).bit_count() <= 2]
+    least = {k: k for k in texts}
+    for _ in texts:
+        for a, b in alike + close:
+            least[a] = least[b] = min(least[a], least[b])
+    assert len(alike) > 500 and len(set(least.values())) > 80
+    data = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in rows_of(simhash.similar_documents(data))} == least
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (103, 101), (7, 7)] + [(200, 200 + i) for i in range(1, 40)]
     got = {r["node"]: r["root"] for r in rows_of(connected_components(spark.createDataFrame(edges, "a long, b long")))}
