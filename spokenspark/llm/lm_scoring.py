@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +24,10 @@ FREQUENT = 200_000
 WINDOW, STRIDE = 128, 96
 VOCABULARY = 50_257
 START = 50_256  # stands before a text and after it
-#: Of the last STRIDE places of a window: itself and what stands before, which a place sees.
-SEEN = np.tril(np.ones((STRIDE, STRIDE), np.float32))
+#: Places that look back together, at what stands up to the last of them: what none of them sees is not computed. SEEN: of
+#: these places, itself and what stands before, which a place sees.
+BLOCK = 32
+SEEN = np.tril(np.ones((BLOCK, BLOCK), np.float32))
 #: Places for pairs and triples of ids in the model (primes): of those that meet in a place the most frequent one stays, and
 #: what the others would have counts for the shorter context. DISCOUNT is what a count gives to the shorter context.
 PAIRS, TRIPLES, DISCOUNT = 1_048_573, 2_097_143, 0.6
@@ -112,40 +114,56 @@ class Attention:
         return cls(p, row, counts)
 
     def _attend(self, ids: np.ndarray) -> tuple:
-        """Of windows (a row of WINDOW ids each), for the last STRIDE places: vectors, queries, keys, values with a one beside
-        them, weights that are not yet divided by their sums."""
+        """Of windows (a row of WINDOW ids each): vectors, queries of the last STRIDE places, keys, values with a one beside
+        them, and whether a query and a key may meet in a large value."""
         p, d, first = self.p, self.p["o"].shape[0], WINDOW - STRIDE
-        here, table = self.row[ids], p["e"] @ p["qkv"]  # the vectors of ids and places are added, so each is multiplied once
-        qkv = table[here] + p["at"] @ p["qkv"]
-        q, k = qkv[:, first:, :d] * qkv.dtype.type(d**-0.5), qkv[:, :, d : 2 * d]
-        v = np.concatenate([qkv[:, :, 2 * d :], np.ones((*ids.shape, 1), qkv.dtype)], axis=2)
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        if s.max() > 60:  # the largest that a place sees is taken out first only where some value is large
-            s[:, :, first:] += (SEEN - 1) * np.float32(1e9)
-            s -= s.max(axis=-1, keepdims=True)
-        np.exp(s, out=s)
-        s[:, :, first:] *= SEEN
-        return here, q, k, v, s
-
-    def _mixed(self, ids: np.ndarray, follows: np.ndarray, without: int) -> tuple:
-        """Probabilities of follows (windows x STRIDE), and what they come from."""
-        p, first = self.p, WINDOW - STRIDE
-        here, q, k, v, s = self._attend(ids)
+        here, table = self.row.take(ids), p["e"] @ p["qkv"]  # the vectors of ids and places are added, so each is multiplied once
+        qkv = table.take(here, axis=0)
+        qkv += p["at"] @ p["qkv"]
+        q, k = qkv[:, first:, :d] * qkv.dtype.type(d**-0.5), np.ascontiguousarray(qkv[:, :, d : 2 * d])
+        v = np.ones((*ids.shape, d + 1), qkv.dtype)
+        v[:, :, :d] = qkv[:, :, 2 * d :]
+        return here, q, k, v, d * max(q.max(), -q.min()) * max(k.max(), -k.min()) > 60
+
+    def _mixed(self, ids: np.ndarray, follows: np.ndarray, without: int, keep: bool = False) -> tuple:
+        """Probabilities of follows (windows x STRIDE), and what they come from. With `keep`, for each BLOCK of places also the
+        weights that are not yet divided by their sums, and those of the places that were followed by what follows."""
+        p, first, i = self.p, WINDOW - STRIDE, np.arange(BLOCK)
+        here, q, k, v, large = self._attend(ids)
         after = np.full(ids.shape, VOCABULARY, np.uint16)  # what followed each place; no id behind the last
         after[:, :-1] = ids[:, 1:]
-        same = follows.astype(np.uint16)[:, :, None] == after[:, None, :]
-        i = np.arange(STRIDE)
-        same[:, i, i + first] = False  # a place doesn't know what follows itself
+        wanted, turned = follows.astype(np.uint16), k.transpose(0, 2, 1)
         none, one, two = self.counts.shares(ids[:, first - 1 : -1], ids[:, first:], follows, without)
-        copied = np.einsum("bij,bij->bi", s, same, optimize=False)
-        mixed = np.matmul(s, v)
+        copied, mixed, blocks = np.empty(follows.shape, q.dtype), np.empty((*follows.shape, v.shape[2]), q.dtype), []
+        for low in range(0, STRIDE, BLOCK):
+            high, end = low + BLOCK, first + low + BLOCK
+            s = np.matmul(q[:, low:high], turned[:, :, :end])
+            if large and s.max() > 60:  # the largest that a place sees is taken out first only where some value is large
+                s[:, :, end - BLOCK :] += (SEEN - 1) * np.float32(1e9)
+                s -= s.max(axis=-1, keepdims=True)
+            np.exp(s, out=s)
+            s[:, :, end - BLOCK :] *= SEEN
+            same = wanted[:, low:high, None] == after[:, None, :end]
+            same[:, i, end - BLOCK + i] = False  # a place doesn't know what follows itself
+            own = s[:, i, end - BLOCK + i] * none[:, low:high]
+            if keep:
+                c = s * same
+                c[:, i, end - BLOCK + i] = own
+                np.matmul(c, np.ones(end, c.dtype), out=copied[:, low:high])
+                blocks.append((low, end, s, c))
+            else:
+                np.einsum("bij,bij->bi", s, same, out=copied[:, low:high], optimize=False)
+                copied[:, low:high] += own
+            np.matmul(s, v[:, :end], out=mixed[:, low:high])
         by = 1 / mixed[:, :, -1]
-        copied = (copied + s[:, i, i + first] * none) * by
+        copied *= by
         mixed = mixed[:, :, :-1] * by[:, :, None]
-        z = (p["e"] @ p["g"])[here[:, first:]] + (p["at"] @ p["g"])[first:] + mixed @ p["o"] + p["b"]
+        z = mixed @ p["o"]
+        z += (p["e"] @ p["g"]).take(here[:, first:], axis=0)
+        z += (p["at"] @ p["g"])[first:] + p["b"]
         gates = _softmax(z)
         forecasts = np.stack([none, one, two, copied], axis=2)
-        return np.einsum("bik,bik->bi", gates, forecasts), gates, forecasts, (here, q, k, v, s, same, mixed, by)
+        return np.einsum("bik,bik->bi", gates, forecasts), gates, forecasts, (here, q, k, v, blocks, mixed, by)
 
     def log10(self, ids: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """log10 probability of each of follows (windows x STRIDE), the ids after the last STRIDE places of the windows."""
@@ -154,23 +172,30 @@ class Attention:
     def step(self, ids: np.ndarray, follows: np.ndarray, without: int = 1) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss in nats over the scored places, and its gradients."""
         p, d, first, g = self.p, self.p["o"].shape[0], WINDOW - STRIDE, {}
-        chance, gates, forecasts, (here, q, k, v, s, same, mixed, by) = self._mixed(ids, follows, without)
-        n, i = chance.size, np.arange(STRIDE)
+        chance, gates, forecasts, (here, q, k, v, blocks, mixed, by) = self._mixed(ids, follows, without, keep=True)
+        n = chance.size
         dz = (gates - gates * forecasts / chance[:, :, None]) / n
         dcopied = -gates[:, :, 3] / chance / n
         g["b"], g["o"] = dz.sum(axis=(0, 1)), mixed.reshape(-1, d).T @ dz.reshape(-1, EXPERTS)
         dm = dz @ p["o"].T
-        mean = (dm * mixed).sum(axis=2) + dcopied * forecasts[:, :, 3]  # of the weights' gradients, by the weights
+        mean = (dm * mixed) @ np.ones(d, dm.dtype) + dcopied * forecasts[:, :, 3]  # of the weights' gradients, by the weights
         dm, dcopied = dm * by[:, :, None], dcopied * by
-        da = np.matmul(np.concatenate([dm, -(mean * by)[:, :, None]], axis=2), v.transpose(0, 2, 1))
-        da += same * dcopied[:, :, None]
-        da[:, i, i + first] += dcopied * forecasts[:, :, 0]
-        da *= s
-        dqkv = np.zeros((*ids.shape, 3 * d), s.dtype)
-        dqkv[:, first:, :d] = np.matmul(da, k) * d**-0.5
-        dqkv[:, :, d : 2 * d] = np.matmul(da.transpose(0, 2, 1), q)
-        dqkv[:, :, 2 * d :] = np.matmul(s.transpose(0, 2, 1), dm)
-        x = p["e"][here] + p["at"]
+        both, turned = np.concatenate([dm, -(mean * by)[:, :, None]], axis=2), v.transpose(0, 2, 1)
+        scaled = k * k.dtype.type(d**-0.5)
+        down, back = np.ascontiguousarray(dm.transpose(0, 2, 1)), np.ascontiguousarray(q.transpose(0, 2, 1))
+        dqkv, behind = np.zeros((*ids.shape, 3 * d), q.dtype), np.zeros((len(ids), 2 * d, ids.shape[1]), q.dtype)
+        for low, end, s, c in blocks:
+            high = low + BLOCK
+            da = np.matmul(both[:, low:high], turned[:, :, :end])
+            da *= s
+            c *= dcopied[:, low:high, None]
+            da += c
+            dqkv[:, first + low : first + high, :d] = np.matmul(da, scaled[:, :end])
+            behind[:, :d, :end] += np.matmul(back[:, :, low:high], da)
+            behind[:, d:, :end] += np.matmul(down[:, :, low:high], s)
+        dqkv[:, :, d:] = behind.transpose(0, 2, 1)
+        x = p["e"].take(here, axis=0)
+        x += p["at"]
         g["qkv"] = x.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d)
         g["g"] = x[:, first:].reshape(-1, d).T @ dz.reshape(-1, EXPERTS)
         dx = dqkv @ p["qkv"].T
@@ -194,18 +219,23 @@ class Attention:
         return self
 
 
+def line(ids: np.ndarray) -> np.ndarray:
+    """A text's ids with as many STARTs before them as its first window needs, and after them as its last one needs."""
+    n = -(-(len(ids) + 1) // STRIDE)
+    out = np.full(WINDOW - STRIDE + n * STRIDE + 1, START, np.int32)
+    out[WINDOW - STRIDE + 1 : WINDOW - STRIDE + 1 + len(ids)] = ids  # the end is the START that follows
+    return out
+
+
 def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Overlapping windows over a text's ids, and the ids that each scores: together every id and the end once.
 
     Rows past the end are filled up with START; only the first len(ids) + 1 scored places count."""
-    n = -(-(len(ids) + 1) // STRIDE)
-    line = np.full(WINDOW - STRIDE + n * STRIDE + 1, START, np.int32)
-    line[WINDOW - STRIDE + 1 : WINDOW - STRIDE + 1 + len(ids)] = ids  # the end is the START that follows
-    at = np.arange(n)[:, None] * STRIDE
-    return line[at + np.arange(WINDOW)], line[at + np.arange(WINDOW - STRIDE + 1, WINDOW + 1)]
+    x, at = line(ids), np.arange(-(-(len(ids) + 1) // STRIDE))[:, None] * STRIDE
+    return x[at + np.arange(WINDOW)], x[at + np.arange(WINDOW - STRIDE + 1, WINDOW + 1)]
 
 
-def text_scores(model: Attention, texts: list[np.ndarray], most: int = 16) -> np.ndarray:
+def text_scores(model: Attention, texts: list[np.ndarray], most: int = 32) -> np.ndarray:
     """log10 probability of each text (its ids and the end), windows of all texts in batches of at most `most`."""
     both = [windows(t) for t in texts]
     ids, follows = np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both])
@@ -226,19 +256,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) of all texts; the empty word stands for the ends of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "c"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(words(text.as_py()))
-                if len(seen) > 500_000:
-                    yield rows()
-                    seen.clear()
-            seen[b""] += batch.num_rows
-        yield rows()
+        for batch in batches:  # Arrow's ASCII white space is the same six characters
+            found = pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(batch.column(0)))).value_counts()
+            word, c = found.field("values").cast(pa.binary()), found.field("counts")
+            some = pc.not_equal(pc.binary_length(word), 0)  # white space at an end of a text has an empty word beside it
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([word.filter(some), pa.array([b""])]), pa.concat_arrays([c.filter(some), pa.array([batch.num_rows])])], ["word", "c"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -251,7 +273,7 @@ def tokenized(docs: DataFrame, ranks_path: str) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                ids = pa.array([np.frombuffer(bpe.ids(t.as_py() or ""), "<u4").astype("<u2").tobytes() for t in batch.column(3)], pa.binary())
+                ids = pa.array([np.frombuffer(bpe.whole(t.as_py() or ""), "<u4").astype("<u2").tobytes() for t in batch.column(3)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
     return docs.select("key", "doc_id", "held_out", "text").mapInArrow(run, "key long, doc_id long, held_out boolean, text string, ids binary")
@@ -294,10 +316,10 @@ def triple_counts(tokens: DataFrame, most: int = 1 << 22) -> DataFrame:
         for batch in batches:
             for ids in batch.column(0):
                 x = np.frombuffer(ids.as_py(), "<u2")
-                line = np.full(len(x) + 3, START, np.int64)
-                line[2:-1] = x
-                held.append((line[:-2] * VOCABULARY + line[1:-1]) * VOCABULARY + line[2:])
-                size += len(line)
+                row = np.full(len(x) + 3, START, np.int64)
+                row[2:-1] = x
+                held.append((row[:-2] * VOCABULARY + row[1:-1]) * VOCABULARY + row[2:])
+                size += len(row)
                 if size > most:
                     yield rows()
                     size = 0
@@ -329,7 +351,7 @@ def drawn_windows(tokens: DataFrame, share: float, start: float = 0.0) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found = [np.zeros((0, WINDOW + 1), "<u2")]
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = np.frombuffer(ids.as_py(), "<u2")
                 h = np.arange(1, 1 - (-(len(x) + 1) // STRIDE), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -339,9 +361,12 @@ def drawn_windows(tokens: DataFrame, share: float, start: float = 0.0) -> DataFr
                 h -= np.uint64(int(start * (1 << 64)))
                 at = np.flatnonzero((h >> np.uint64(11)) < share * (1 << 53))
                 if len(at):
-                    ids, follows = windows(x)
-                    found += [r.tobytes() for r in np.concatenate([ids[at], follows[at, -1:]], axis=1).astype("<u2")]  # up to the text's end and beyond
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["ids"])
+                    found.append(line(x)[at[:, None] * STRIDE + np.arange(WINDOW + 1)].astype("<u2"))  # up to the text's end and beyond
+            every = np.concatenate(found)
+            for k in range(0, max(1, len(every)), 1 << 20):
+                rows = every[k : k + (1 << 20)]
+                ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.itemsize * (WINDOW + 1))
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])], ["ids"])
 
     return tokens.select("key", "ids").mapInArrow(run, "ids binary")
 

@@ -374,6 +374,32 @@ def test_lm_weights_learn_from_every_window(spark, monkeypatch):
     assert lm_scoring.fit(tokens).learned == every
 
 
+def test_lm_attention_computes_what_is_seen_only(monkeypatch):
+    """Places look back in blocks; exponentials are taken up to the block's last place, and blocks of any size agree."""
+    counts, taken = small_counts([(np.arange(40) * k) % 7 for k in range(1, 6)]), []
+    model = lm_scoring.Attention.untrained(counts, width=4, rows=5, shared=3)
+    ids = np.arange(3 * lm_scoring.WINDOW).reshape(3, -1) ** 2 % 7
+    follows, exp = ids[:, -lm_scoring.STRIDE :] * 3 % 7, np.exp
+    with monkeypatch.context() as m:
+        m.setattr(np, "exp", lambda x, **k: taken.append(x.size if x.shape[-1] > 4 else 0) or exp(x, **k))
+        want = model.log10(ids, follows)
+    assert sum(taken) < 0.8 * 3 * lm_scoring.STRIDE * lm_scoring.WINDOW
+    _, g = model.step(ids, follows)
+    for block in (lm_scoring.STRIDE, lm_scoring.STRIDE // 2):
+        monkeypatch.setattr(lm_scoring, "BLOCK", block)
+        monkeypatch.setattr(lm_scoring, "SEEN", np.tril(np.ones((block, block), np.float32)))
+        assert np.allclose(model.log10(ids, follows), want, atol=1e-5)
+        assert all(np.allclose(x, g[n], atol=1e-5) for n, x in model.step(ids, follows)[1].items())
+    model.p["qkv"] *= 100  # large values: the largest that a place sees is taken out
+    assert np.isfinite(model.log10(ids, follows)).all() and all(np.isfinite(x).all() for x in model.step(ids, follows)[1].values())
+
+
+def test_whole_texts_have_the_ids_of_their_chunks():
+    bpe = packing.subwords(packing.default_ranks())
+    for t in [*(x or "" for x in TEXTS), " a", "a ", "a  b", "a\n b\n", "<|endoftext|>", "one\u3000two\u3000", "\x1c a\x1c b"]:
+        assert bpe.whole(t) == bpe.ids(t)
+
+
 def test_simhash(spark, docs):
     def slow(text):
         w = (text or "").encode().lower().split()
