@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -257,14 +258,32 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # Arrow's ASCII white space is the same six characters
-            found = pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(batch.column(0)))).value_counts()
-            word, c = found.field("values").cast(pa.binary()), found.field("counts")
-            some = pc.not_equal(pc.binary_length(word), 0)  # white space at an end of a text has an empty word beside it
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([word.filter(some), pa.array([b""])]), pa.concat_arrays([c.filter(some), pa.array([batch.num_rows])])], ["word", "c"])
+            parts = [pa.table({"word": pa.array([b""]), "c": pa.array([batch.num_rows])})]
+            for k in range(0, batch.num_rows, 1024):
+                found = pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(batch.column(0).slice(k, 1024)))).value_counts()
+                word = found.field("values").cast(pa.binary())
+                some = pc.not_equal(pc.binary_length(word), 0)  # white space at an end of a text has an empty word beside it
+                parts.append(pa.table({"word": word.filter(some), "c": found.field("counts").filter(some)}))
+            summed = pa.concat_tables(parts).group_by("word").aggregate([("c", "sum")])
+            yield from summed.rename_columns({"word": "word", "c_sum": "c"}).select(["word", "c"]).to_batches()
+            del parts, summed
+            pa.default_memory_pool().release_unused()  # workers are used again, and what they hold counts for the executor
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 2048) -> Iterator[None]:
+    """Meanwhile whole texts go to Python so many at a time: an executor holds fewer of them at once, on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tokenized(docs: DataFrame, ranks_path: str) -> DataFrame:
     """docs (key, doc_id, held_out, text) with ids: the subword ids of the whole text in 16 bits each."""
 
@@ -432,7 +451,8 @@ def score(docs: DataFrame, held_out, ranks_path: str | None = None, frequent: in
     """
     ranks_path = ranks_path or default_ranks()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    docs = stored(tokenized(docs.withColumn("key", F.monotonically_increasing_id()), ranks_path), "tokens")
+    with short_batches(docs.sparkSession):
+        docs = stored(tokenized(docs.withColumn("key", F.monotonically_increasing_id()), ranks_path), "tokens")
     train = docs.where(~F.col("held_out"))
     counts = stored(word_counts(train), "word_counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -467,7 +487,8 @@ def score(docs: DataFrame, held_out, ranks_path: str | None = None, frequent: in
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
     keyed = docs.select("key", "doc_id", "text", "held_out", "ids")
-    scored = stored(keyed.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>"), "scored")
+    with short_batches(docs.sparkSession):
+        scored = stored(keyed.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>"), "scored")
     asked = scored.select("key", F.explode("rare").alias("word")).join(counts, "word", "left")
     more = asked.groupBy("key").agg(F.count("c").alias("more_known"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / below)).alias("more"))
     out = scored.drop("rare").join(more, "key", "left")

@@ -394,6 +394,19 @@ def test_lm_attention_computes_what_is_seen_only(monkeypatch):
     assert np.isfinite(model.log10(ids, follows)).all() and all(np.isfinite(x).all() for x in model.step(ids, follows)[1].values())
 
 
+def test_lm_short_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield type(b).from_pydict({"id": [b.num_rows]})
+
+    with lm_scoring.short_batches(spark, 10):
+        assert max(r["id"] for r in spark.range(0, 100, 1, 1).mapInArrow(sizes, "id long").collect()) == 10
+    assert spark.conf.get(name) == before
+
+
 def test_whole_texts_have_the_ids_of_their_chunks():
     bpe = packing.subwords(packing.default_ranks())
     for t in [*(x or "" for x in TEXTS), " a", "a ", "a  b", "a\n b\n", "<|endoftext|>", "one\u3000two\u3000", "\x1c a\x1c b"]:
