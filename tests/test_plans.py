@@ -90,3 +90,13 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = sorted((r.start, r.sent) for r in spark.table("settled").collect())
     assert got == [tuple(x) for x in spark.createDataFrame([(text,)], "t string").select(F.explode(sentences(F.col("t"))).alias("s")).select("s.start", "s.sent").collect()]
+
+
+def test_values_are_judged_once(spark, tmp_path):
+    """Each different value is said once and by all tasks, its rows are all counted; a null price is wrong."""
+    rows = spark.sql("SELECT * FROM VALUES (CAST(1500 AS BIGINT), DATE'1994-03-01', CAST(12.5 AS DOUBLE)), (7, DATE'1994-05-01', 12.5), (8, DATE'2001-01-01', NULL), (9, NULL, 12.5) AS t(o_orderkey, o_orderdate, o_totalprice)")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    found = plans.evaluate_normalization(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "Repartition 4, true" in plan and "Deduplicate" in plan
+    assert {r["class"]: (r.tokens, r.first, r.any, r.sentences) for r in found.collect()} == {"CARDINAL": (4, 0.75, 0.75, 0.75), "DATE": (4, 0.75, 0.75, 0.75), "MONEY": (4, 0.75, 0.75, 0.75)}
