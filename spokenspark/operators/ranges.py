@@ -73,15 +73,16 @@ def _said_by_class() -> Column:
     return F.array_contains(F.element_at(options, F.col("kind")), F.col("said"))
 
 
-def emission_counts(tokens: DataFrame, keys: list[str]) -> DataFrame:
+def emission_counts(tokens: DataFrame, keys: list[str], often: str | None = None) -> DataFrame:
     """key, as_range and single: how often numbers with a separator were heard as a range, and how often as one token of another kind;
-    a row for each narrow key and for each class."""
-    ranges = triples(tokens, keys).where(_said_by_class()).select("key", "kind", F.lit(1).alias("r"))
+    a row for each narrow key and for each class. A sentence counts once, or as often as its key `often` says."""
+    times = (F.col(often) if often else F.lit(1)).alias("_times")
+    ranges = triples(tokens, keys).where(_said_by_class()).select("key", "kind", F.lit(1).alias("r"), times)
     piece = lambda i: F.regexp_extract("written", rf"\A({_NUMBER})({_SIGN})({_NUMBER})\z", i)
     whole = tokens.where(F.col("written").rlike(rf"\A{_NUMBER}{_SIGN}{_NUMBER}\z"))
-    singles = whole.select(sub_key(piece(1), piece(2), piece(3)).alias("key"), separator_class(piece(2)).alias("kind"), F.lit(0).alias("r"))
-    each = ranges.unionAll(singles).select(F.explode(F.array(emit_key(F.col("key")), F.col("kind"))).alias("key"), "r")
-    return each.groupBy("key").agg(F.sum("r").alias("as_range"), F.sum(1 - F.col("r")).alias("single"))
+    singles = whole.select(sub_key(piece(1), piece(2), piece(3)).alias("key"), separator_class(piece(2)).alias("kind"), F.lit(0).alias("r"), times)
+    each = ranges.unionAll(singles).select(F.explode(F.array(emit_key(F.col("key")), F.col("kind"))).alias("key"), "r", "_times")
+    return each.groupBy("key").agg(F.sum(F.col("r") * F.col("_times")).alias("as_range"), F.sum((1 - F.col("r")) * F.col("_times")).alias("single"))
 
 
 def decided(spans: DataFrame, counts: DataFrame) -> DataFrame:
@@ -104,12 +105,13 @@ def forms(number: Column) -> Column:
     return F.array(year, F.when(plain, say.cardinal(n)), F.when(~number.contains(","), say.digits(number)))
 
 
-def joint_counts(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """kind, key, source (left+connector+right) and n of heard ranges whose ends both say one of their forms; the first such form counts."""
+def joint_counts(tokens: DataFrame, keys: list[str], often: str | None = None) -> DataFrame:
+    """kind, key, source (left+connector+right) and n of heard ranges whose ends both say one of their forms; the first such form counts.
+    A sentence counts once, or as often as its key `often` says."""
     heard = triples(tokens, keys).where(_said_by_class())
     which = lambda number, said: F.get(F.array(*[F.lit(e) for e in ENDS]), (F.array_position(F.transform(forms(F.col(number)), lambda f: F.coalesce(normal_spoken(f), F.lit("\0"))), normal_spoken(F.col(said))) - 1).cast("int"))
-    ends = heard.select("kind", "key", which("left", "left_said").alias("_a"), F.when(F.col("said") == "", "silent").otherwise(F.col("said")).alias("_c"), which("right", "right_said").alias("_b"))
-    return ends.where("_a IS NOT NULL AND _b IS NOT NULL").groupBy("kind", "key", F.concat_ws("+", "_a", "_c", "_b").alias("source")).agg(F.count("*").alias("n"))
+    ends = heard.select("kind", "key", which("left", "left_said").alias("_a"), F.when(F.col("said") == "", "silent").otherwise(F.col("said")).alias("_c"), which("right", "right_said").alias("_b"), (F.col(often) if often else F.lit(1)).alias("_times"))
+    return ends.where("_a IS NOT NULL AND _b IS NOT NULL").groupBy("kind", "key", F.concat_ws("+", "_a", "_c", "_b").alias("source")).agg(F.sum("_times").alias("n"))
 
 
 def connector_shares(joint: DataFrame) -> DataFrame:

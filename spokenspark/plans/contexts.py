@@ -11,24 +11,29 @@ from ..sources.tables import read_table
 from .forms import _DIGIT_WORDS
 from .queries import _YEAR, _cardinal_sql, query
 
-_LINE_KEYS = ["ok", "ln", "pk", "sk", "q", "d", "y"]
+#: What tells sentences apart, and how many lines say them.
+_LINE_KEYS = ["k", "q", "ln", "d", "y", "pk", "sk", "n"]
 
 
 def _heard_lines(spark, sf_dir) -> DataFrame:
     """Labelled tokens of seven kinds of sentences, made of the different lines of orders: two ranges with a dash, ratios, dimensions,
-    telephone numbers and times as single tokens, and three numbers in a row."""
+    telephone numbers and times as single tokens, and three numbers in a row. Lines that say the same are one sentence, n times."""
     lines = read_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("ok"), F.col("l_linenumber").cast("long").alias("ln"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_quantity").cast("long").alias("q"),
         F.round(F.col("l_discount") * 100).cast("long").alias("d"), F.year("l_shipdate").cast("long").alias("y"),
     ).distinct()
-    ln, q, d, y, k = F.col("ln"), F.col("q"), F.col("d"), F.col("y"), (F.col("ok") + F.col("ln")) % 7
+    kind = (F.col("ok") + F.col("ln")) % 7
+    said_by = {"q": [0, 1, 3, 4, 5, 6], "ln": [0, 6], "d": [0, 5, 6], "y": [1], "pk": [2], "sk": [2]}  # the kinds that a column is said in
+    own = {"pk": F.col("pk") % 1000, "sk": F.col("sk") % 10000}
+    lines = lines.groupBy(kind.alias("k"), *[F.when(kind.isin(kinds), own.get(c, F.col(c))).alias(c) for c, kinds in said_by.items()]).agg(F.count("*").alias("n"))
+    ln, q, d, y, k = (F.col(c) for c in ("ln", "q", "d", "y", "k"))
     token = lambda kind, written, how: F.struct(F.lit(kind).alias("class"), written.cast("string").alias("written"), how.alias("how"))
     number = lambda n: token("CARDINAL", n, F.lit("cardinal"))
     dated = lambda n: token("DATE", n, F.when(q % 5 == 0, "cardinal").otherwise("year"))
     sign = lambda s, said: token("PUNCT", F.lit(s), said)
     padded = lambda n, size: F.lpad(n.cast("string"), size, "0")
     silent, to, digits = F.lit("sil"), F.lit("to"), F.lit("digits")
-    phone, clock = F.concat_ws("-", padded(F.col("pk") % 1000, 3), padded(F.col("sk") % 10000, 4)), F.concat_ws(":", (q % 24).cast("string"), padded(q, 2))
+    phone, clock = F.concat_ws("-", padded(F.col("pk"), 3), padded(F.col("sk"), 4)), F.concat_ws(":", (q % 24).cast("string"), padded(q, 2))
     kinds = [
         [number(q), sign("-", F.when(d % 2 == 0, to).otherwise(silent)), number(q + ln)], [dated(y), sign("–", to), dated(y + 1)], [token("TELEPHONE", phone, digits)],
         [number(q % 9 + 1), sign(":", to), number(q)], [token("TIME", clock, digits)], [number(q), sign("x", F.when(d % 3 > 0, "by").otherwise("x")), number(d)],
@@ -77,7 +82,7 @@ emission AS (SELECT key, CAST(sum(r) AS BIGINT) AS as_range, CAST(sum(1 - r) AS
 @query(f"WITH {_RANGES_SQL} SELECT * FROM emission")
 def prior_range_emission(spark, sf_dir):
     """How often separators between numbers were heard as ranges and how often as single tokens, by narrow key and by class."""
-    return ranges.emission_counts(_heard_lines(spark, sf_dir), _LINE_KEYS)
+    return ranges.emission_counts(_heard_lines(spark, sf_dir), _LINE_KEYS, "n")
 
 
 @query(f"""WITH {_RANGES_SQL}, found AS (SELECT s.place, k.*, coalesce(o.as_range, w.as_range) AS as_range, coalesce(o.single, w.single) AS single
@@ -89,14 +94,14 @@ def range_decisions(spark, sf_dir):
     tokens = _heard_lines(spark, sf_dir)
     own = _document_spans(spark, sf_dir).select(F.col("doc_id").cast("string").alias("place"), "left", "sign", "right")
     spans = own.unionByName(_heard_spans(tokens).distinct().withColumn("place", F.lit("heard")))
-    return ranges.decided(spans, ranges.emission_counts(tokens, _LINE_KEYS))
+    return ranges.decided(spans, ranges.emission_counts(tokens, _LINE_KEYS, "n"))
 
 
 @query(f"""WITH {_RANGES_SQL}, each AS (SELECT kind, split_part(source, '+', 2) AS connector FROM observed WHERE r = 1)
 SELECT kind, connector, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY kind) AS share FROM each GROUP BY kind, connector""")
 def connector_shares(spark, sf_dir):
     """What separators say between the ends of heard ranges, by class."""
-    return ranges.connector_shares(ranges.joint_counts(_heard_lines(spark, sf_dir), _LINE_KEYS))
+    return ranges.connector_shares(ranges.joint_counts(_heard_lines(spark, sf_dir), _LINE_KEYS, "n"))
 
 
 _ENDS_SQL = f"""ends AS (SELECT v, CASE WHEN regexp_full_match(v, '[1-9][0-9]{{3}}') THEN CAST(v AS BIGINT) END AS y, CASE WHEN regexp_full_match(replace(v, ',', ''), '0|[1-9][0-9]{{0,17}}') THEN CAST(replace(v, ',', '') AS BIGINT) END AS n FROM (SELECT "left" AS v FROM keys UNION SELECT "right" FROM keys)),
@@ -118,7 +123,7 @@ def range_readings(spark, sf_dir):
     """Ranked readings of every different pair of numbers with a separator, in the documents and in heard text."""
     tokens = _heard_lines(spark, sf_dir)
     spans = _heard_spans(tokens).unionByName(_document_spans(spark, sf_dir).drop("doc_id"))
-    return ranges.readings(spans, ranges.joint_counts(tokens, _LINE_KEYS))
+    return ranges.readings(spans, ranges.joint_counts(tokens, _LINE_KEYS, "n"))
 
 
 _SPLIT = r"string_split_regex(text, '[^\p{L}\p{M}\p{N}_]+')"

@@ -114,3 +114,10 @@ def test_bare_inches(spark):
     assert {r.word_class: (r.measure, r.preposition) for r in counts.collect()} == {"pipe": (4, 1), "total": (0, 4), "</s>": (1, 0)}
     asked = spark.createDataFrame([("Pipe", "x"), ("total", None), (None, None), ("rare", None), ("rare", "x"), ("in", None)], "a string, b string")
     assert {(r.a, r.b): r.is_measure for r in letters.bare_inches(asked, "a", "b", counts, frequent).collect()} == {("Pipe", "x"): True, ("total", None): False, (None, None): True, ("rare", None): True, ("rare", "x"): False, ("in", None): False}
+
+
+def test_sentences_count_as_often_as_they_were_said(spark):
+    rows = [("a", 3, 0, "CARDINAL", "1", "one"), ("a", 3, 1, "PUNCT", "-", "to"), ("a", 3, 2, "CARDINAL", "5", "five"), ("b", 2, 0, "TELEPHONE", "1-5", "one five")]
+    tokens = spark.createDataFrame(rows, "k string, n long, place int, class string, written string, spoken string")
+    assert {(r.key, r.as_range, r.single) for r in ranges.emission_counts(tokens, ["k", "n"], "n").collect()} == {("dash:1+1", 3, 2), ("dash", 3, 2)}
+    assert [(r.source, r.n) for r in ranges.joint_counts(tokens, ["k", "n"], "n").collect()] == [("cardinal+to+cardinal", 3)]
