@@ -100,3 +100,9 @@ def test_values_are_judged_once(spark, tmp_path):
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "Repartition 4, true" in plan and "Deduplicate" in plan
     assert {r["class"]: (r.tokens, r.first, r.any, r.sentences) for r in found.collect()} == {"CARDINAL": (4, 0.75, 0.75, 0.75), "DATE": (4, 0.75, 0.75, 0.75), "MONEY": (4, 0.75, 0.75, 0.75)}
+
+
+def test_order_forms_are_counted_first(spark):
+    """Days and prices are counted before they are written, so that no row is written for itself."""
+    plan = plans.normalize_order_forms(spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate [o_orderdate#" in plan and "Aggregate [o_totalprice#" in plan
